@@ -1,0 +1,5 @@
+"""Reserved: the surveyed toolkit has no streaming operators, so none are built.
+
+Append-only sample batches live in :mod:`tremorframe.sources.sample_store` and resumable runs in
+:mod:`tremorframe.plans.relocate`; both are batch jobs.
+"""
