@@ -426,9 +426,10 @@ _SLON, _SLAT = q.inverse_lonlat("x0 + dx", "y0 + dy")
 
 @query(
     q.with_(*q.BASE, *_SGLD_STEPS)
-    + f"""SELECT evid, draw, CAST(0 AS BIGINT) AS batch_id, {q.r(_SLON, 3, 'longitude')},
-{q.r(_SLAT, 3, 'latitude')}, {q.r('z0 + dz', 3, 'depth')}, {q.r('dt', 4, 'delta_t')},
-{q.r('dx', 4, '"X"')}, {q.r('dy', 4, '"Y"')}, {q.r('dz', 4, '"Z"')}
+    + f"""SELECT evid, draw, CAST(0 AS BIGINT) AS batch_id, {q.r(q.single(_SLON), 3, 'longitude')},
+{q.r(q.single(_SLAT), 3, 'latitude')}, {q.r(q.single('z0 + dz'), 3, 'depth')},
+{q.r(q.single('dt'), 4, 'delta_t')}, {q.r(q.single('dx'), 4, '"X"')}, {q.r(q.single('dy'), 4, '"Y"')},
+{q.r(q.single('dz'), 4, '"Z"')}
 FROM (SELECT *, CAST(0 AS BIGINT) AS draw FROM s5 UNION ALL SELECT *, CAST(1 AS BIGINT) FROM s6)"""
 )
 def langevin_run(spark, sf_dir):

@@ -35,6 +35,11 @@ def r(expr: str, digits: int, name: str) -> str:
     return f"CASE WHEN round({expr}, {digits}) = 0 THEN 0e0 ELSE round({expr}, {digits}) END AS {name}"
 
 
+def single(expr: str) -> str:
+    """The value as stored in single precision."""
+    return f"CAST(CAST({expr} AS FLOAT) AS DOUBLE)"
+
+
 STATIONS = """stations AS (
 SELECT concat('N', CAST(s_nationkey % 5 AS VARCHAR)) AS network,
   concat('S', CAST(s_suppkey AS VARCHAR)) AS station,

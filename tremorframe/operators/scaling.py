@@ -114,7 +114,8 @@ def exact_quantiles(
     Groups of at most ``gather_rows`` rows use the built-in exact aggregate. Larger groups are
     narrowed by counting: each pass counts rows per value cell, keeps the cell that holds the
     wanted rank, and counts again inside it, so no task ever sees more than cell counts and the few
-    distinct values left at the end. NULL and NaN values are ignored.
+    distinct values left at the end. The values are written to shared storage once for that, and
+    the small table of cells after each pass. NULL and NaN values are ignored.
     """
     by = list(by)
     data = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(
@@ -141,6 +142,7 @@ def _narrowed_quantiles(
         data = data.withColumn("_all", F.lit(0))
         n_groups = 1
     keys = by or ["_all"]
+    data = lineage.as_table(data, "values")
 
     totals = data.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
@@ -168,6 +170,7 @@ def _narrowed_quantiles(
     targets = totals.select(*keys, "_lo", "_hi", F.explode(F.array(*wanted)).alias("_w")).select(
         *keys, "_lo", "_hi", "_w.*"
     )
+    targets = lineage.cut(targets)
 
     width = len(wanted)
     for _ in range(2):
@@ -187,14 +190,17 @@ def _narrowed_quantiles(
                 F.max("_x").alias("_chi"),
             )
         )
-        targets = _pick(targets, counted, keys, "_cell", ["_clo", "_chi"]).select(
-            *keys,
-            F.col("_clo").alias("_lo"),
-            F.col("_chi").alias("_hi"),
-            "q",
-            "side",
-            "rank",
-            "share",
+        narrowed = _pick(targets, counted, keys, "_cell", ["_clo", "_chi"])
+        targets = lineage.cut(
+            narrowed.select(
+                *keys,
+                F.col("_clo").alias("_lo"),
+                F.col("_chi").alias("_hi"),
+                "q",
+                "side",
+                "rank",
+                "share",
+            )
         )
 
     cells = targets.select(*keys, "_lo", "_hi").distinct()
