@@ -152,7 +152,10 @@ def first_events(spark, sf_dir):
     return chains.first_events(fx.samples(spark, sf_dir), 24)
 
 
-@query()
+@query(
+    f"""SELECT vec_id AS evid FROM embeddings
+ORDER BY {q.unit("concat_ws(':', '1', CAST(vec_id AS VARCHAR))")}, vec_id LIMIT 24"""
+)
 def random_events(spark, sf_dir):
     return chains.random_events(fx.samples(spark, sf_dir), 24, seed=1)
 

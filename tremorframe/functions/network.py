@@ -139,16 +139,13 @@ class NetworkTravelTime:
         udf = self._correction(df.sparkSession, 2, "source" if gradients else None)
         inputs = [*RECEIVER, "phase", "x1", "y1", "z1", "x2", "y2", "z2"]
         out = plain.withColumn("_c", udf(*[F.col(c).cast("double") for c in inputs]))
-        updates = {}
-        for end in ("1", "2"):
-            correction, base = F.col(f"_c.c{end}"), F.col(f"t{end}")
-            if gradients:
-                for axis in "xyz":
-                    updates[f"g{end}{axis}"] = (
-                        correction * F.col(f"g{end}{axis}") + base * F.col(f"_c.k{end}{axis}")
-                    )
-            updates[f"t{end}"] = base * correction
-        return out.withColumns(updates).drop("_c")
+        corrected = [f"t{e} * _c.c{e} AS t{e}" for e in "12"]
+        if gradients:
+            # product rule: correction times the ray's slope plus ray time times the correction's
+            corrected += [
+                f"_c.c{e} * g{e}{a} + t{e} * _c.k{e}{a} AS g{e}{a}" for e in "12" for a in "xyz"
+            ]
+        return out.selectExpr(*df.columns, *corrected)
 
     def time(self, df: DataFrame, src: tuple, rec: tuple, name: str = "travel_time") -> DataFrame:
         udf = self._correction(df.sparkSession, 1, None)

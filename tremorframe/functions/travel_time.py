@@ -3,27 +3,33 @@
 A model is anything with ``attach(df, gradients)``: given rows that carry the receiver ``X, Y, Z``,
 ``phase`` and both source positions ``x1, y1, z1`` and ``x2, y2, z2``, it adds ``t1`` and ``t2``
 and, on request, the gradients ``g1x .. g1z`` and ``g2x .. g2z`` with respect to each source.
+
+Expressions of the iterated path are SQL text: one call per projection instead of one per operator.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from tremorframe.functions.geodesy import distance3
+from pyspark.sql import DataFrame
 
 RECEIVER = ("X", "Y", "Z")
 
 
-def phase_velocity(phase: Column, vp: float, vs: float) -> Column:
-    return F.when(phase >= 0.5, F.lit(float(vs))).otherwise(F.lit(float(vp)))
+def number(value: float) -> str:
+    """A double literal."""
+    return f"({float(value)!r}D)"
+
 
+def reach(src: Sequence[str], rec: Sequence[str]) -> str:
+    """Distance between two points given as column names."""
+    squares = [f"({s} - {r}) * ({s} - {r})" for s, r in zip(src, rec)]
+    return f"sqrt({' + '.join(squares)})"
 
-def straight_ray_time(src: tuple, rec: tuple, phase: Column, vp: float, vs: float) -> Column:
-    """Homogeneous-medium time: distance over the phase's velocity."""
-    return distance3(*src, *rec) / phase_velocity(phase, vp, vs)
+
+def source(end: str) -> list[str]:
+    return [f"{axis}{end}" for axis in "xyz"]
 
 
 @dataclass(frozen=True)
@@ -33,33 +39,30 @@ class StraightRay:
     vp: float = 6.0
     vs: float = 3.3
 
+    @property
+    def velocity(self) -> str:
+        return f"CASE WHEN phase >= 0.5D THEN {number(self.vs)} ELSE {number(self.vp)} END"
+
     def attach(self, df: DataFrame, gradients: bool = False) -> DataFrame:
-        rec = tuple(F.col(c) for c in RECEIVER)
-        velocity = phase_velocity(F.col("phase"), self.vp, self.vs)
-        out = df
-        for end in ("1", "2"):
-            src = tuple(F.col(f"{axis}{end}") for axis in "xyz")
-            out = out.withColumn(f"_d{end}", distance3(*src, *rec))
-        cols = [(F.col(f"_d{end}") / velocity).alias(f"t{end}") for end in ("1", "2")]
+        reaches = [f"{reach(source(e), RECEIVER)} AS _d{e}" for e in "12"]
+        timed = [f"_d{e} / _v AS t{e}" for e in "12"]
         if gradients:
-            for end in ("1", "2"):
-                reach = F.col(f"_d{end}")
-                for axis, receiver in zip("xyz", RECEIVER):
-                    # a source at its receiver has no direction: gradient 0
-                    slope = (F.col(f"{axis}{end}") - F.col(receiver)) / (
-                        velocity * F.nullif(reach, F.lit(0.0))
-                    )
-                    flat = F.when(reach == 0, F.lit(0.0))
-                    cols.append(flat.otherwise(slope).alias(f"g{end}{axis}"))
-        return out.select("*", *cols).drop("_d1", "_d2")
-
-    def time(self, df: DataFrame, src: tuple, rec: tuple, name: str = "travel_time") -> DataFrame:
+            # a source at its receiver has no direction: gradient 0
+            timed += [
+                f"CASE WHEN _d{e} = 0 THEN 0D ELSE ({a}{e} - {r}) / (_v * nullif(_d{e}, 0D)) END"
+                f" AS g{e}{a}"
+                for e in "12"
+                for a, r in zip("xyz", RECEIVER)
+            ]
+        near = df.selectExpr("*", *reaches, f"{self.velocity} AS _v")
+        return near.selectExpr(*df.columns, *timed)
+
+    def time(
+        self, df: DataFrame, src: Sequence[str], rec: Sequence[str], name: str = "travel_time"
+    ) -> DataFrame:
         """Add the travel time from ``src`` to ``rec`` (triples of column names)."""
-        time = straight_ray_time(
-            tuple(map(F.col, src)), tuple(map(F.col, rec)), F.col("phase"), self.vp, self.vs
-        )
-        return df.withColumn(name, time)
+        return df.selectExpr("*", f"{reach(src, rec)} / ({self.velocity}) AS {name}")
 
     def receiver_slowness(self, df: DataFrame, name: str = "slowness") -> DataFrame:
         """Gradient norm at the receiver; 1 / v for straight rays."""
-        return df.withColumn(name, 1 / phase_velocity(F.col("phase"), self.vp, self.vs))
+        return df.selectExpr("*", f"1D / ({self.velocity}) AS {name}")

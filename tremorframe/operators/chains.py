@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tremorframe.functions.portable_random import uniform
 from tremorframe.operators.scaling import number_rows, small_side
 
 
@@ -136,9 +137,9 @@ def first_events(samples: DataFrame, n: int) -> DataFrame:
 
 
 def random_events(samples: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """``n`` distinct event ids in an order given by a hash of id and ``seed``."""
+    """``n`` distinct event ids in an order given by a hash of ``seed`` and id."""
     ids = samples.select("evid").distinct()
-    return ids.orderBy(F.xxhash64("evid", F.lit(seed)), "evid").limit(n)
+    return ids.orderBy(uniform(F.lit(seed), F.col("evid")), "evid").limit(n)
 
 
 def events_at(samples: DataFrame, indices: Sequence[int]) -> DataFrame:

@@ -38,12 +38,10 @@ def attach_sources(obs: DataFrame, state: DataFrame, n_events: Optional[int] = N
     """
     out = obs
     for end in ("1", "2"):
-        side = state.select(
-            F.col("evid").alias(f"evid{end}"),
-            (F.col("x0") + F.col("dx")).alias(f"x{end}"),
-            (F.col("y0") + F.col("dy")).alias(f"y{end}"),
-            (F.col("z0") + F.col("dz")).alias(f"z{end}"),
-            F.col("dt").alias(f"s{end}"),
+        side = state.selectExpr(
+            f"evid AS evid{end}",
+            *[f"{a}0 + d{a} AS {a}{end}" for a in "xyz"],
+            f"dt AS s{end}",
         )
         out = out.join(small_side(side, n_events), f"evid{end}")
     return out
@@ -58,8 +56,7 @@ def predict_dt(
 ) -> DataFrame:
     """Add ``dt_pred`` = (T2 + shift2) - (T1 + shift1)."""
     joined = model.attach(attach_sources(obs, state, n_events), gradients)
-    pred = (F.col("t2") + F.col("s2")) - (F.col("t1") + F.col("s1"))
-    return joined.withColumn("dt_pred", pred)
+    return joined.selectExpr("*", "(t2 + s2) - (t1 + s1) AS dt_pred")
 
 
 def residuals(

@@ -9,6 +9,7 @@ from typing import Optional, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tremorframe.functions.travel_time import number
 from tremorframe.operators.forward import predict_dt
 from tremorframe.operators.scaling import small_side
 from tremorframe.schemas import COMPONENTS
@@ -31,20 +32,14 @@ def negative_log_normal(values: Sequence[Column], stds: Sequence[float]) -> Colu
     return total
 
 
-def huber(scaled: Column) -> Column:
-    size = F.abs(scaled)
-    return F.when(size <= 1, 0.5 * scaled * scaled).otherwise(size - 0.5)
+def _scaled(predicted: DataFrame, phase_unc: tuple[float, float]) -> DataFrame:
+    """Add ``_sigma`` of the phase and the scaled residual ``_u``."""
+    p, s = map(number, phase_unc)
+    with_sigma = predicted.selectExpr("*", f"CASE WHEN phase < 0.5D THEN {p} ELSE {s} END AS _sigma")
+    return with_sigma.selectExpr("*", "dt / _sigma - dt_pred / _sigma AS _u")
 
 
-def _sigma(phase_unc: tuple[float, float]) -> Column:
-    return F.when(F.col("phase") < 0.5, F.lit(float(phase_unc[0]))).otherwise(
-        F.lit(float(phase_unc[1]))
-    )
-
-
-def scaled_residual(predicted: DataFrame, phase_unc: tuple[float, float]) -> Column:
-    sigma = _sigma(phase_unc)
-    return F.col("dt") / sigma - F.col("dt_pred") / sigma
+_HUBER = "CASE WHEN abs(_u) <= 1 THEN 0.5D * _u * _u ELSE abs(_u) - 0.5D END"
 
 
 def likelihood(
@@ -55,10 +50,9 @@ def likelihood(
     n_events: Optional[int] = None,
 ) -> DataFrame:
     """One row: ``n_obs`` and the mean Huber loss of phase-scaled residuals."""
-    predicted = predict_dt(obs, state, model, n_events=n_events)
-    return predicted.agg(
-        F.count(F.lit(1)).alias("n_obs"),
-        F.avg(huber(scaled_residual(predicted, phase_unc))).alias("likelihood_loss"),
+    scaled = _scaled(predict_dt(obs, state, model, n_events=n_events), phase_unc)
+    return scaled.agg(
+        F.count(F.lit(1)).alias("n_obs"), F.avg(F.expr(_HUBER)).alias("likelihood_loss")
     )
 
 
@@ -117,41 +111,26 @@ def event_sums(
 ) -> DataFrame:
     """Likelihood gradient summed per event, not yet divided by the observation count.
 
-    Every observation contributes to its two events. Its Huber loss and a count of one go to its
-    second event, so the totals over events are the totals over observations. The sums are
-    pre-aggregated in each map task, so an event with very many observations does not concentrate.
+    Every observation contributes to its two events. Its Huber loss goes to its second event, so the
+    total over events is the total over observations. The sums are pre-aggregated in each map task,
+    so an event with very many observations does not concentrate.
     """
     predicted = predict_dt(obs, state, model, gradients=True, n_events=n_events)
-    sigma = _sigma(phase_unc)
-    scaled = scaled_residual(predicted, phase_unc)
-    pull = F.greatest(F.least(scaled, F.lit(1.0)), F.lit(-1.0)) / sigma
-    weighed = predicted.select(
+    weighed = _scaled(predicted, phase_unc).selectExpr(
         "evid1",
         "evid2",
-        pull.alias("w"),
-        huber(scaled).alias("h"),
+        "greatest(least(_u, 1D), -1D) / _sigma AS w",
+        f"{_HUBER} AS h",
         *[f"g{end}{axis}" for end in "12" for axis in "xyz"],
     )
-
-    def side(end: str, sign: int, own: int) -> Column:
-        w = F.col("w") * sign
-        return F.struct(
-            F.col(f"evid{end}").alias("evid"),
-            *[(w * F.col(f"g{end}{axis}")).alias(f"g_d{axis}") for axis in "xyz"],
-            w.alias("g_dt"),
-            (F.col("h") * own).alias("h"),
-            F.lit(own).cast("long").alias("n"),
-        )
-
-    ends = weighed.select(F.explode(F.array(side("1", 1, 0), side("2", -1, 1))).alias("e"))
-    return (
-        ends.select("e.*")
-        .groupBy("evid")
-        .agg(
-            *[F.sum(f"g_{c}").alias(f"g_{c}") for c in COMPONENTS],
-            F.sum("h").alias("huber_sum"),
-            F.sum("n").alias("n_end2"),
-        )
+    first = ", ".join(f"w * g1{a} AS g_d{a}" for a in "xyz")
+    second = ", ".join(f"-w * g2{a} AS g_d{a}" for a in "xyz")
+    ends = weighed.selectExpr(
+        f"inline(array(struct(evid1 AS evid, {first}, w AS g_dt, 0D AS huber_sum),"
+        f" struct(evid2 AS evid, {second}, -w AS g_dt, h AS huber_sum)))"
+    )
+    return ends.groupBy("evid").sum(*[f"g_{c}" for c in COMPONENTS], "huber_sum").toDF(
+        "evid", *[f"g_{c}" for c in COMPONENTS], "huber_sum"
     )
 
 
@@ -161,8 +140,8 @@ def event_gradient(
     model,
     phase_unc: tuple[float, float],
     priors: Priors,
-    n_obs: int | Column,
-    n_batch: int | Column | None = None,
+    n_obs: int,
+    n_batch: Optional[int] = None,
     n_events: Optional[int] = None,
 ) -> DataFrame:
     """State columns with the gradient ``g_dx .. g_dt`` of the normalized posterior loss.
@@ -170,19 +149,19 @@ def event_gradient(
     ``n_batch`` is the row count of ``obs`` when that is a minibatch of the ``n_obs`` rows. Events
     without observations keep the prior's gradient only.
     """
-    as_col = lambda n: F.lit(n) if isinstance(n, int) else n
-    total = as_col(n_obs)
-    batch = as_col(n_batch) if n_batch is not None else total
+    batch = n_obs if n_batch is None else n_batch
     sums = event_sums(obs, state, model, phase_unc, n_events)
-    centre = state.agg(F.struct(*[F.avg(c).alias(c) for c in COMPONENTS])).scalar()
-    joined = state.drop("huber_sum").join(small_side(sums, n_events), "evid", "left")
-    out = {}
-    for c, std, cstd in zip(COMPONENTS, priors.event_std, priors.centroid_std):
-        data = F.coalesce(F.col(f"g_{c}"), F.lit(0.0)) / batch
-        pull = (F.col(c) / (std * std) + centre[c] / (cstd * cstd)) / total
-        out[f"g_{c}"] = data + pull
-    out["huber_sum"] = F.coalesce(F.col("huber_sum"), F.lit(0.0))
-    return joined.withColumns(out).drop("n_end2")
+    centre = state.selectExpr(f"struct({', '.join(f'avg({c}) AS {c}' for c in COMPONENTS)})").scalar()
+    own = [c for c in state.columns if c != "huber_sum"]
+    joined = state.select(*own).join(small_side(sums, n_events), "evid", "left")
+    grads = [
+        f"coalesce(g_{c}, 0D) / {number(batch)}"
+        f" + ({c} / {number(std * std)} + _centre.{c} / {number(cstd * cstd)}) / {number(n_obs)} AS g_{c}"
+        for c, std, cstd in zip(COMPONENTS, priors.event_std, priors.centroid_std)
+    ]
+    return joined.select("*", centre.alias("_centre")).selectExpr(
+        *own, *grads, "coalesce(huber_sum, 0D) AS huber_sum"
+    )
 
 
 def loss_from_state(

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremorframe.functions.portable_random import gaussian
+from tremorframe.functions.travel_time import number
 from tremorframe.schemas import COMPONENTS
 
 # The common Adam defaults.
@@ -19,15 +20,30 @@ def adam_update(graded: DataFrame, step: int, lr: float) -> DataFrame:
     """Adam with bias correction; ``graded`` is the state with ``g_*``, ``step`` counts from 1."""
     if step < 1:
         raise ValueError(f"step must be >= 1, got {step}")
-    out = {}
+    b1, b2 = number(ADAM_BETA1), number(ADAM_BETA2)
+    moments = []
     for c in COMPONENTS:
-        g = F.col(f"g_{c}")
-        m = ADAM_BETA1 * F.col(f"m_{c}") + (1 - ADAM_BETA1) * g
-        v = ADAM_BETA2 * F.col(f"v_{c}") + (1 - ADAM_BETA2) * g * g
-        root = F.sqrt(v) / math.sqrt(1 - ADAM_BETA2**step) + ADAM_EPS
-        out[c] = F.col(c) - (lr / (1 - ADAM_BETA1**step)) * (m / root)
-        out[f"m_{c}"], out[f"v_{c}"] = m, v
-    return graded.withColumns(out).drop(*[f"g_{c}" for c in COMPONENTS])
+        moments.append(f"{b1} * m_{c} + {number(1 - ADAM_BETA1)} * g_{c} AS m_{c}")
+        moments.append(f"{b2} * v_{c} + {number(1 - ADAM_BETA2)} * g_{c} * g_{c} AS v_{c}")
+    size = number(lr / (1 - ADAM_BETA1**step))
+    spread = number(math.sqrt(1 - ADAM_BETA2**step))
+    moves = [
+        f"{c} - {size} * (m_{c} / (sqrt(v_{c}) / {spread} + {number(ADAM_EPS)})) AS {c}"
+        for c in COMPONENTS
+    ]
+    return _apply(graded, moments, moves)
+
+
+def _apply(graded: DataFrame, first: list[str], second: list[str]) -> DataFrame:
+    """Two projections: ``first`` replaces columns by name, ``second`` sees the result.
+
+    The gradient and noise columns go, all others stay in order.
+    """
+    out = graded
+    for step in (first, second):
+        new = {text.rsplit(" AS ", 1)[1]: text for text in step}
+        out = out.selectExpr(*[new.get(c, c) for c in out.columns])
+    return out.select(*[c for c in graded.columns if not c.startswith(("g_", "_noise_"))])
 
 
 def check_langevin(lr: float, beta: float, eps: float, n_obs: int, preconditioner: str) -> None:
@@ -68,30 +84,31 @@ def langevin_update(
     check_langevin(lr, beta, eps, n_obs, preconditioner)
     if step < 1:
         raise ValueError(f"step must be >= 1, got {step}")
-    out = {}
+    rate, damping = number(lr), number(eps)
+    scale = number(n_obs if scale_by_n_obs else 1)
+    memory, moves = [], []
     for c in COMPONENTS:
-        g = F.col(f"g_{c}")
-        drift = g * float(n_obs) if scale_by_n_obs else g
+        move = f"{rate} * g_{c} * {scale}"
+        damped = "1D"
         if preconditioning:
-            v = beta * F.col(f"v_{c}") + (1 - beta) * g * g
-            used = v if preconditioner == "rmsprop" else v / (1 - beta**step)
-            root = F.sqrt(used)
-            damped = eps + root
-            metric = 1 / damped
-            move = lr * metric * drift
+            memory.append(f"{number(beta)} * v_{c} + {number(1 - beta)} * g_{c} * g_{c} AS v_{c}")
+            used = f"v_{c}" if preconditioner == "rmsprop" else f"(v_{c} / {number(1 - beta**step)})"
+            damped = f"({damping} + sqrt({used}))"
+            move = f"{rate} / {damped} * g_{c} * {scale}"
             if include_gamma:
-                move = move + lr * (-(1 - beta) * g * (root / (damped * damped)))
-            out[f"v_{c}"] = v
-        else:
-            metric = F.lit(1.0)
-            move = lr * drift
+                shrink = number(lr * (1 - beta))
+                move += f" - {shrink} * g_{c} * sqrt({used}) / ({damped} * {damped})"
         if noise_scale > 0:
-            draw = gaussian(
-                F.col("evid"), F.lit(c), F.lit(step if noise_step is None else noise_step), F.lit(seed)
-            )
-            move = move + draw * math.sqrt(2 * lr) * F.sqrt(metric) * noise_scale
-        out[c] = F.col(c) - move
-    return graded.withColumns(out).drop(*[f"g_{c}" for c in COMPONENTS])
+            deviation = number(math.sqrt(2 * lr) * noise_scale)
+            move += f" + _noise_{c} * {deviation} * sqrt(1D / {damped})"
+        moves.append(f"{c} - ({move}) AS {c}")
+    if noise_scale > 0:
+        at = F.lit(step if noise_step is None else noise_step)
+        draws = {
+            f"_noise_{c}": gaussian(F.col("evid"), F.lit(c), at, F.lit(seed)) for c in COMPONENTS
+        }
+        graded = graded.withColumns(draws)
+    return _apply(graded, memory, moves)
 
 
 def carry_second_moment(state: DataFrame) -> DataFrame:
