@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import Optional
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,12 +42,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def as_table(df: DataFrame, name: str) -> DataFrame:
+def as_table(
+    df: DataFrame, name: str, partition_by: Optional[str] = None, path: Optional[str] = None
+) -> DataFrame:
     """``df`` written once to shared storage and read back as a columnar table.
 
     Preferred over :func:`cut` for large inputs that later steps read many times: the scan keeps
-    column pruning, filter pushdown and size statistics.
+    column pruning, filter pushdown and size statistics. A given ``path`` is overwritten.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    path = path or scratch_path(df.sparkSession, name)
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

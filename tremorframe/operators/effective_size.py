@@ -65,25 +65,28 @@ def effective_sample_size(
     draws = thinned_chain(samples, burn_in, thin, layout).select(
         "evid", "rank", *[F.col(a.upper()).cast("double").alias(a) for a in AXES]
     )
-    moments = draws.groupBy("evid").agg(
+    moments = [
         F.count(F.lit(1)).alias("n"),
         *[F.avg(a).alias(f"m_{a}") for a in AXES],
         *[F.var_samp(a).alias(f"v_{a}") for a in AXES],
-    )
+    ]
+    gather = F.sort_array(F.collect_list(F.struct("rank", *AXES))).alias("_d")
     if n <= block:
-        pieces = draws.withColumn("_block", F.lit(0).cast("long"))
+        # whole chains: one grouping gives the draws and their moments
+        gathered = draws.groupBy("evid").agg(gather, *moments).withColumn("_own", F.col("n"))
     else:
         home = F.floor(F.col("rank") / block)
         # the first ``lag`` draws of a block also close the block before it
         shared = (F.col("rank") % block < lag) & (home > 0)
         homes = F.when(shared, F.array(home, home - 1)).otherwise(F.array(home))
-        pieces = draws.withColumn("_block", F.explode(homes))
-    start = F.col("_block") * block
-    gathered = pieces.groupBy("evid", "_block").agg(
-        F.sort_array(F.collect_list(F.struct("rank", *AXES))).alias("_d"),
-        F.sum((F.col("rank") < start + block).cast("int")).alias("_own"),
-    )
-    chains = gathered.join(moments, "evid").select(
+        own = F.sum((F.col("rank") < (F.col("_block") + 1) * block).cast("long")).alias("_own")
+        gathered = (
+            draws.withColumn("_block", F.explode(homes))
+            .groupBy("evid", "_block")
+            .agg(gather, own)
+            .join(draws.groupBy("evid").agg(*moments), "evid")
+        )
+    chains = gathered.select(
         "evid",
         "n",
         "_own",

@@ -1,7 +1,8 @@
 """Filters, de-duplication and joins that turn three input tables into observations.
 
-Joins against catalogs and station lists carry no broadcast hint: Spark broadcasts them when their
-size allows and otherwise shuffles, where adaptive execution splits skewed keys.
+Joins against catalogs and station lists take the list's row count when the caller knows it and
+broadcast lists below the checked limit. Larger or uncounted ones are left to Spark, which compares
+sizes itself and splits skewed keys of shuffled joins.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tremorframe.functions.geodesy import EqualArea, distance3
 from tremorframe.functions.portable_random import uniform
-from tremorframe.operators.scaling import first_per_key, keep_frequent, number_rows
+from tremorframe.operators.scaling import first_per_key, keep_frequent, number_rows, small_side
 from tremorframe.schemas import require_columns
 
 DTIME_COLUMNS = ["network", "station", "dt", "evid1", "evid2", "phase", "cc"]
@@ -116,19 +117,21 @@ def distinct_observations(dtimes: DataFrame) -> DataFrame:
     return first_per_key(keyed, keys, order).drop("evid_min", "evid_max")
 
 
-def with_known_events(dtimes: DataFrame, origins: DataFrame) -> DataFrame:
+def with_known_events(
+    dtimes: DataFrame, origins: DataFrame, n_events: Optional[int] = None
+) -> DataFrame:
     """Differential times whose two events are both in the catalog."""
     ids = origins.select("evid")
     out = dtimes
     for end in ("evid1", "evid2"):
-        out = out.join(ids.withColumnRenamed("evid", end), end, "left_semi")
+        side = small_side(ids.withColumnRenamed("evid", end), n_events)
+        out = out.join(side, end, "left_semi")
     return out.select(*dtimes.columns)
 
 
 def used_event_ids(dtimes: DataFrame) -> DataFrame:
     """Distinct event ids over both ends."""
-    first = dtimes.select(F.col("evid1").alias("evid"))
-    return first.union(dtimes.select("evid2")).distinct()
+    return dtimes.select(F.explode(F.array("evid1", "evid2")).alias("evid")).distinct()
 
 
 def used_origins(origins: DataFrame, dtimes: DataFrame) -> DataFrame:
@@ -164,11 +167,15 @@ def project_stations(stations: DataFrame, lat_min: float, lon_min: float) -> Dat
 
 
 def join_stations(
-    dtimes: DataFrame, stations: DataFrame, lat_min: float, lon_min: float
+    dtimes: DataFrame,
+    stations: DataFrame,
+    lat_min: float,
+    lon_min: float,
+    n_stations: Optional[int] = None,
 ) -> DataFrame:
     """Observations with station coordinates; rows of unknown stations drop out."""
     projected = project_stations(stations, lat_min, lon_min)
-    return dtimes.join(projected, ["network", "station"])
+    return dtimes.join(small_side(projected, n_stations), ["network", "station"])
 
 
 def project_origins(origins: DataFrame, lat_min: float, lon_min: float) -> DataFrame:
@@ -177,7 +184,12 @@ def project_origins(origins: DataFrame, lat_min: float, lon_min: float) -> DataF
 
 
 def cut_long_edges(
-    dtimes: DataFrame, origins: DataFrame, r_max: float, lat_min: float, lon_min: float
+    dtimes: DataFrame,
+    origins: DataFrame,
+    r_max: float,
+    lat_min: float,
+    lon_min: float,
+    n_events: Optional[int] = None,
 ) -> DataFrame:
     """Differential times whose events lie less than ``r_max`` km apart.
 
@@ -193,7 +205,7 @@ def cut_long_edges(
             F.col("Y").alias(f"_y{end}"),
             F.col("depth").alias(f"_z{end}"),
         )
-        joined = joined.join(side, f"evid{end}")
+        joined = joined.join(small_side(side, n_events), f"evid{end}")
     at = lambda end: [F.col(f"_{axis}{end}") for axis in "xyz"]
     return joined.filter(distance3(*at("1"), *at("2")) < float(r_max)).select(*dtimes.columns)
 

@@ -12,8 +12,8 @@ from tremorframe import lineage
 
 # Groups up to this many rows may be gathered by one task.
 GATHER_ROWS = 1_000_000
-# Tables up to this many rows of a few numbers (tens of MB) may be broadcast.
-BROADCAST_ROWS = 1_000_000
+# Tables up to this many rows of a few numbers (about 100 MB) may be broadcast.
+BROADCAST_ROWS = 2_000_000
 _CELLS = 4096
 
 

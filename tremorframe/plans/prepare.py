@@ -1,16 +1,21 @@
-"""The fixed chain from three input tables to observations, as one lazy plan."""
+"""The fixed chain from three input tables to observations."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tremorframe import lineage
 from tremorframe.operators import observations as ops
 from tremorframe.params import RunParams
 from tremorframe.sources import tables
 
 
 def prepare_observations(
-    stations: DataFrame, origins: DataFrame, dtimes: DataFrame, params: RunParams
+    stations: DataFrame,
+    origins: DataFrame,
+    dtimes: DataFrame,
+    params: RunParams,
+    stage: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(stations, observations, origins) ready for relocation.
 
@@ -18,13 +23,19 @@ def prepare_observations(
     counted before unknown stations drop out and unordered pairs after. Restricting the catalog to
     used events happens once, at the end: the earlier restriction after the ordered-pair count
     keeps a superset of it.
+
+    Events and stations are counted first, so that joins with them broadcast within a checked limit.
+    A pair filter reads its input twice, to count and to select. ``stage`` writes that input to
+    shared storage once instead of repeating the steps before it; worth it when those are costly,
+    as parsing text or removing duplicates is.
     """
     stations = ops.distinct_stations(stations)
     origins = ops.parse_origin_time(origins)
     origins = ops.spatial_subset(origins, params.event_lat_bounds, params.event_lon_bounds)
+    n_events, n_stations = origins.count(), stations.count()
 
     obs = ops.prune_columns(ops.encode_phase(dtimes))
-    obs = ops.with_known_events(obs, origins)
+    obs = ops.with_known_events(obs, origins, n_events)
     if params.remove_duplicates:
         obs = ops.distinct_observations(obs)
     obs = ops.limit_abs_dt(obs, params.max_abs_input_dt)
@@ -32,9 +43,11 @@ def prepare_observations(
     if params.flip_dt_sign:
         obs = ops.flip_sign(obs)
     obs = ops.limit_cc(obs, params.cc_min)
+    if stage and (params.min_dtimes_per_pair > 0 or params.min_dtimes > 0):
+        obs = lineage.as_table(obs, "filtered-dtimes")
     if params.min_dtimes_per_pair > 0:
         obs = ops.min_rows_per_ordered_pair(obs, params.min_dtimes_per_pair)
-    obs = ops.join_stations(obs, stations, params.lat_min, params.lon_min)
+    obs = ops.join_stations(obs, stations, params.lat_min, params.lon_min, n_stations)
     if params.min_dtimes > 0:
         obs = ops.min_rows_per_unordered_pair(obs, params.min_dtimes)
     return stations, obs, ops.used_origins(origins, obs)
@@ -52,4 +65,5 @@ def prepare_inputs(
         tables.read_catalog(spark, params.catalog_infile, parse_time=False),
         tables.read_dtimes(spark, params.dtime_file),
         params,
+        stage=tables.is_text(params.dtime_file) or params.remove_duplicates,
     )

@@ -11,13 +11,14 @@ from tremorframe.operators.observations import parse_origin_time
 from tremorframe.schemas import require_columns
 
 
-def _is_csv(path: str) -> bool:
+def is_text(path: str) -> bool:
+    """Whether the path names a CSV or text file rather than Parquet."""
     name = path.rstrip("/").lower()
     return name.endswith((".csv", ".csv.gz", ".txt"))
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, what: str) -> DataFrame:
-    if not _is_csv(path):
+    if not is_text(path):
         df = require_columns(spark.read.parquet(path), schema.fieldNames(), what)
         return df.withColumns(
             {f.name: F.col(f.name).cast(f.dataType) for f in schema if f.name != "time"}
@@ -68,7 +69,7 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 def write_catalog(catalog: DataFrame, path: str) -> None:
     """Catalog as CSV with a header, or Parquet when the path does not look like CSV."""
     writer = catalog.write.mode("overwrite")
-    if _is_csv(path):
+    if is_text(path):
         writer.option("header", True).csv(path)
     else:
         writer.parquet(path)
