@@ -135,7 +135,7 @@ def test_full_run_saves_each_draw_once(spark, tmp_path, synthetic):
     )
     params = replace(params, phase3_epochs=2)
     run = plan.relocate(origins, obs, params, StraightRay())
-    assert run.global_step == 11 and run.draws == []
+    assert run.global_step == 11 and run.n_draws == 0
     stored = sample_store.read_samples(spark, params.samples_outfile)
     per_batch = {r["batch_id"]: r["sample_count"] for r in sample_store.batch_metadata(stored).collect()}
     # sampler steps 4 .. 10 of which the even ones are kept; flushed at epochs 3, 6 and the end
