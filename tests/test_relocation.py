@@ -22,7 +22,7 @@ PARAMS = RunParams(
     phase_unc=(0.05, 0.05),
     prior_event_std=(0.5, 0.5, 0.5, 0.2),
     prior_centroid_std=(0.05, 0.05, 0.05, 0.05),
-    lr_warmup=0.02,
+    lr_warmup=0.04,
     lr_sgld=1e-9,
     phase3_epochs=0,
     metrics_every=5,
@@ -77,13 +77,13 @@ def positions(run):
 
 def test_descent_recovers_positions(spark, tmp_path, synthetic):
     origins, obs, true = synthetic
-    params = folders(tmp_path, phase1_epochs=40, metrics_every=39)
+    params = folders(tmp_path, phase1_epochs=18, metrics_every=17)
     run = plan.start_run(origins, obs, params, StraightRay())
     before = np.abs(positions(run) - true).mean()
     plan.map_phase(run)
-    assert np.abs(positions(run) - true).mean() < 0.3 * before
+    assert np.abs(positions(run) - true).mean() < 0.5 * before
     logged = read_metrics(spark, params.metrics_outfile).orderBy("epoch").collect()
-    assert [r["epoch"] for r in logged] == [0, 39]
+    assert [r["epoch"] for r in logged] == [0, 17]
     assert logged[-1]["loss"] < logged[0]["loss"] and logged[-1]["mad_p"] < logged[0]["mad_p"]
     catalog = tables.read_catalog(spark, tables.map_catalog_path(params.catalog_outfile))
     got = {r["evid"]: r for r in catalog.collect()}
@@ -91,7 +91,7 @@ def test_descent_recovers_positions(spark, tmp_path, synthetic):
     assert float(got[0]["X"]) == pytest.approx(positions(run)[0, 0])
     assert got[0]["unc_x"] in (None, "") and str(got[0]["time"]) == "2023-01-01 00:00:00"
     row, state = RunStore(spark, params.checkpoint_dir).load()
-    assert (row["phase"], row["epoch"], row["optimizer_step"], row["optimizer_type"]) == ("phase1", 39, 40, "Adam")
+    assert (row["phase"], row["epoch"], row["optimizer_step"], row["optimizer_type"]) == ("phase1", 17, 18, "Adam")
     assert set(row["stats"]) >= {"max_radius", "mean_dX"} and state.count() == 10
 
 
@@ -214,12 +214,12 @@ def test_checkpoints_of_runs_stay_apart(spark, tmp_path, synthetic):
 
 def test_probe_halves_until_flat(spark, synthetic):
     origins, obs, _ = synthetic
-    run = plan.start_run(origins, obs, replace(PARAMS, lr_sgld=1e-8))
+    run = plan.start_run(origins, obs, replace(PARAMS, lr_sgld=1e-8, batch_size_sgld=300))
     # fewer losses than the window count as flat
     assert plan.probe_step_size(run, probe_steps=3, win=50) == 1e-8
     # a window of 2 that never looks flat uses up the halvings
-    got = plan.probe_step_size(run, max_halves=2, win=2, rel_slope=0.0)
-    assert got == pytest.approx(1e-8 / 4) or got == pytest.approx(1e-8 / 8)
+    got = plan.probe_step_size(run, max_halves=1, win=2, rel_slope=0.0)
+    assert got == pytest.approx(1e-8 / 4)
 
 
 def test_uncertainty_columns_come_from_a_summary(spark, synthetic):
