@@ -475,7 +475,7 @@ def latest_checkpoint(spark, sf_dir):
 # --- learned travel time -----------------------------------------------------------------------------
 
 
-def network_model(width: int = 128, blocks: int = 5) -> NetworkTravelTime:
+def network_model(width: int = 128, blocks: int = 5, dtype=np.float32) -> NetworkTravelTime:
     """A network of the full architecture with weights from a fixed rule."""
     sizes = [(width, 4)] + [(width, width)] * (2 * blocks) + [(1, width)]
     layers = []
@@ -483,7 +483,7 @@ def network_model(width: int = 128, blocks: int = 5) -> NetworkTravelTime:
         i = np.arange(n_out * n_in, dtype=np.float64)
         w = np.sin(1.0 + 0.7 * i + 3.0 * k).reshape(n_out, n_in) / np.sqrt(n_in)
         layers.append((w, 0.1 * np.cos(np.arange(n_out) + k)))
-    return NetworkTravelTime(layers, scale=400.0)
+    return NetworkTravelTime(layers, scale=400.0, dtype=dtype)
 
 
 @query()

@@ -90,7 +90,7 @@ def _brute(layers, x):
 
 
 def test_network_matches_brute_force_and_differences():
-    layers = network_model(16, 3).layers
+    layers = network_model(16, 3, np.float64).layers
     x = np.random.default_rng(0).uniform(-1, 1, (20, 4))
     value, grad = evaluate(layers, x, True)
     assert value == pytest.approx([_brute(layers, row) for row in x], rel=1e-12)
@@ -113,7 +113,7 @@ COLUMNS = "id long, phase int, X double, Y double, Z double, x1 double, y1 doubl
 
 @pytest.mark.parametrize("kind", ["ray", "network"])
 def test_source_gradients_against_differences(spark, kind):
-    model = StraightRay(6.0, 3.3) if kind == "ray" else network_model(16, 2)
+    model = StraightRay(6.0, 3.3) if kind == "ray" else network_model(16, 2, np.float64)
     df = spark.createDataFrame(SCENE[:2], COLUMNS)
     exact = {r["id"]: r for r in model.attach(df, True).collect()}
     step = 1e-5
@@ -135,7 +135,7 @@ def test_source_at_receiver_has_zero_gradient(spark):
 
 
 def test_receiver_slowness_of_network(spark):
-    model = network_model(16, 2)
+    model = network_model(16, 2, np.float64)
     src, rec = ("x_src", "y_src", "z_src"), ("x_rec", "y_rec", "z_rec")
     df = spark.createDataFrame(
         [(1, 0, 10.0, 20.0, 5.0, 40.0, 3.0, -1.0), (2, 1, 1.0, 2.0, 8.0, 30.0, 12.0, 2.0)],
@@ -153,7 +153,7 @@ def test_receiver_slowness_of_network(spark):
 
 
 def test_weights_table_round_trip(spark):
-    layers = network_model(8, 1).layers
+    layers = network_model(8, 1, np.float64).layers
     rows = [
         (k, *w.shape, w.ravel().tolist(), b.tolist()) for k, (w, b) in enumerate(layers)
     ]

@@ -40,7 +40,7 @@ def loss(obs, state, model):
 @pytest.mark.parametrize("kind", ["ray", "network"])
 def test_gradient_against_differences(scene, kind):
     obs, state = scene
-    model = StraightRay() if kind == "ray" else network_model(8, 1)
+    model = StraightRay() if kind == "ray" else network_model(8, 1, np.float64)
     graded = objective.event_gradient(obs, state, model, UNC, PRIORS, obs.count())
     exact = {r["evid"]: r for r in graded.collect()}
     assert len(exact) == 12

@@ -45,6 +45,8 @@ def evaluate(
     """Correction for each feature row and, on request, its gradient by the four features."""
     slopes: list[np.ndarray] = []
 
+    features = features.astype(layers[0][0].dtype, copy=False)
+
     def hidden(k: int, a: np.ndarray) -> np.ndarray:
         z = a @ layers[k][0].T + layers[k][1]
         decay = np.exp(np.minimum(z, 0.0))
@@ -69,7 +71,11 @@ def evaluate(
 
 
 class NetworkTravelTime:
-    """Straight-ray time multiplied by the learned correction."""
+    """Straight-ray time multiplied by the learned correction.
+
+    The network runs in single precision by default, as its weights are trained; ``dtype`` changes
+    that. Positions, ray times and their products stay in double precision.
+    """
 
     def __init__(
         self,
@@ -77,8 +83,9 @@ class NetworkTravelTime:
         scale: float,
         vp: float = 6.0,
         vs: float = 3.3,
+        dtype: type = np.float32,
     ):
-        self.layers = layers
+        self.layers = [(w.astype(dtype), b.astype(dtype)) for w, b in layers]
         self.scale = float(scale)
         self.base = StraightRay(vp, vs)
         self._shared = None

@@ -75,16 +75,22 @@ def phase_mad(
     Medians are the lower middle element, or the mean of the middle two when ``averaging``.
     ``rows``, when known, bounds the group sizes and saves counting them.
     """
-    sizes = (2, rows) if rows is not None else group_sizes(resid, ["phase"])
-    options = {"lower": not averaging, "sizes": sizes, **narrow}
-    centre = exact_quantiles(resid, ["phase"], "residual", {"_m": 0.5}, **options)
-    # one row per phase
-    spread = resid.join(F.broadcast(centre), "phase").select(
+    # phase codes are 0, 1 or NULL, so this collects at most three counts
+    counted = resid.groupBy("phase").agg(F.count("residual").alias("n")).collect()
+    counts = {int(r["phase"]): r["n"] for r in counted if r["phase"] is not None}
+    largest = max(counts.values(), default=0) if rows is None else rows
+    options = {"lower": not averaging, "sizes": (len(counts), largest), **narrow}
+    known = resid.filter(F.col("phase").isNotNull())
+    centre = exact_quantiles(known, ["phase"], "residual", {"_m": 0.5}, **options)
+    spread = known.join(F.broadcast(centre), "phase").select(
         "phase", F.abs(F.col("residual") - F.col("_m")).alias("_a")
     )
     mad = exact_quantiles(spread, ["phase"], "_a", {"mad": 0.5}, **options)
-    counts = resid.groupBy("phase").agg(F.count("residual").alias("n_obs"))
-    return counts.join(mad, "phase").select("phase", "n_obs", "mad")
+    n_obs = F.coalesce(
+        *[F.when(F.col("phase") == k, F.lit(n)) for k, n in counts.items()],
+        F.lit(0),
+    )
+    return mad.select("phase", n_obs.cast("long").alias("n_obs"), "mad")
 
 
 def shift_stats(state: DataFrame, n_events: Optional[int] = None, **narrow) -> DataFrame:
