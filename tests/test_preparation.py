@@ -7,7 +7,10 @@ from tremorframe.operators import observations as ops
 from tremorframe.operators import repair
 from tremorframe.params import RunParams
 from tremorframe.plans.prepare import prepare_inputs, prepare_observations
+from tremorframe.plans.relocate import relocate
 from tremorframe.sources import tables
+from tremorframe.sources.run_store import RunStore
+from tremorframe.sources.sample_store import read_samples
 
 DT = "network string, station string, dt double, evid1 long, evid2 long, phase string, cc double"
 PARAMS = RunParams(lat_min=32.5, lon_min=-118.5)
@@ -185,3 +188,40 @@ def test_truth_file(spark, tmp_path):
         (-117.0, 33.0, 5.0),
         (-116.5, 33.5, 6.0),
     ]
+
+
+def test_text_event_ids(spark, tmp_path, files):
+    """Ids that are not all integers stay text through preparation, a step, checkpoints and draws."""
+    names = {}
+    for key in ("catalog_infile", "dtime_file"):
+        with open(files[key]) as f:
+            text = f.read().replace("\n1,", "\nev1,").replace(",1,2,", ",ev1,2,").replace(",2,1,", ",2,ev1,")
+        names[key] = write(tmp_path / f"text-{key}.csv", text)
+    params = RunParams.from_dict(
+        {
+            **files,
+            **names,
+            "lat_min": 32.5,
+            "lon_min": -118.5,
+            "min_dtimes": 2,
+            "phase1_epochs": 1,
+            "phase3_epochs": 0,
+            "phase4_epochs": 1,
+            "lr_sgld": 1e-9,
+            "checkpoint_dir": str(tmp_path / "checkpoints"),
+            "samples_outfile": str(tmp_path / "samples"),
+            "save_every_n": 1,
+        }
+    )
+    assert tables.catalog_id_type(spark, files["catalog_infile"]) == "long"
+    assert tables.catalog_id_type(spark, params.catalog_infile) == "string"
+    _, obs, origins = prepare_inputs(spark, params)
+    assert sorted(r["evid"] for r in origins.collect()) == ["2", "ev1"]
+    relocate(origins, obs, params)
+    stored = read_samples(spark, params.samples_outfile)
+    assert sorted((r["evid"], r["batch_id"], r["draw"]) for r in stored.collect()) == [
+        ("2", 0, 0),
+        ("ev1", 0, 0),
+    ]
+    _, state = RunStore(spark, params.checkpoint_dir).load()
+    assert sorted(r["evid"] for r in state.collect()) == ["2", "ev1"]

@@ -24,6 +24,7 @@ class RunParams:
     checkpoint_dir: Optional[str] = None
     metrics_outfile: Optional[str] = None
 
+    evid_type: str = "auto"
     event_lat_bounds: Optional[tuple[float, float]] = None
     event_lon_bounds: Optional[tuple[float, float]] = None
     remove_duplicates: bool = False

@@ -56,14 +56,20 @@ def prepare_observations(
 def prepare_inputs(
     spark: SparkSession, params: RunParams
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Read the three files that ``params`` names and prepare them."""
+    """Read the three files that ``params`` names and prepare them.
+
+    Event ids are integers when all ids of the catalog are, else text, unless ``params`` says which.
+    """
     for name in ("station_file", "catalog_infile", "dtime_file"):
         if getattr(params, name) is None:
             raise KeyError(f"parameters lack {name}")
+    ids = params.evid_type
+    if ids == "auto":
+        ids = tables.catalog_id_type(spark, params.catalog_infile)
     return prepare_observations(
         tables.read_stations(spark, params.station_file),
-        tables.read_catalog(spark, params.catalog_infile, parse_time=False),
-        tables.read_dtimes(spark, params.dtime_file),
+        tables.read_catalog(spark, params.catalog_infile, parse_time=False, id_type=ids),
+        tables.read_dtimes(spark, params.dtime_file, id_type=ids),
         params,
         stage=tables.is_text(params.dtime_file) or params.remove_duplicates,
     )

@@ -25,6 +25,16 @@ def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         raise
 
 
+def _event_states(spark: SparkSession, path: str) -> DataFrame:
+    # the schema comes from the files, because event ids may be integers or text
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return spark.createDataFrame([], _EVENT_STATE)
+        raise
+
+
 def _write_partition(df: DataFrame, path: str, by: str) -> None:
     (
         df.write.mode("overwrite")
@@ -97,14 +107,18 @@ class RunStore:
         row = self.load_row()
         if row is None:
             return None
-        events = _read(self.spark, self.event_path, _EVENT_STATE)
+        events = _event_states(self.spark, self.event_path)
         return row, events.filter(F.col("seq") == row["seq"]).drop("seq")
 
     def clear(self) -> bool:
         """Empty this run's checkpoints; True also when there were none."""
-        for path, schema in ((self.state_path, _RUN_STATE), (self.event_path, _EVENT_STATE)):
-            if not _read(self.spark, path, schema).isEmpty():
-                empty = self.spark.createDataFrame([], schema)
+        stored = (
+            (self.state_path, _read(self.spark, self.state_path, _RUN_STATE)),
+            (self.event_path, _event_states(self.spark, self.event_path)),
+        )
+        for path, rows in stored:
+            if not rows.isEmpty():
+                empty = self.spark.createDataFrame([], rows.schema)
                 empty.write.mode("overwrite").option(
                     "partitionOverwriteMode", "static"
                 ).partitionBy("seq").parquet(path)

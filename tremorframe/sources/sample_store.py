@@ -17,12 +17,14 @@ from tremorframe.schemas import SAMPLE_FIELDS, SAMPLES
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:
+    # the schema comes from the files, because event ids may be integers or text
     try:
-        return spark.read.schema(SAMPLES).parquet(path)
+        found = spark.read.parquet(path)
     except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return spark.createDataFrame([], SAMPLES)
         raise
+    return found.withColumn("batch_id", F.col("batch_id").cast("long"))
 
 
 def build_rows(

@@ -33,22 +33,41 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, what: str) -> Da
     return spark.read.schema(full).option("header", True).option("mode", "FAILFAST").csv(path)
 
 
+def _with_ids(schema: T.StructType, names: tuple[str, ...], id_type: str) -> T.StructType:
+    """The schema with its event-id columns as ``long`` or ``string``."""
+    kinds = {"long": T.LongType(), "string": T.StringType()}
+    if id_type not in kinds:
+        raise ValueError(f"id_type must be 'long' or 'string', got {id_type!r}")
+    return T.StructType(
+        [T.StructField(f.name, kinds[id_type] if f.name in names else f.dataType) for f in schema]
+    )
+
+
+def catalog_id_type(spark: SparkSession, path: str) -> str:
+    """``long`` when every event id of the catalog is an integer, else ``string``."""
+    ids = read_catalog(spark, path, parse_time=False, id_type="string").select("evid")
+    unreadable = F.col("evid").isNotNull() & F.col("evid").try_cast("bigint").isNull()
+    return "long" if ids.filter(unreadable).isEmpty() else "string"
+
+
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, schemas.STATIONS, "station table").select(
         *schemas.STATIONS.fieldNames()
     )
 
 
-def read_catalog(spark: SparkSession, path: str, parse_time: bool = True) -> DataFrame:
+def read_catalog(
+    spark: SparkSession, path: str, parse_time: bool = True, id_type: str = "long"
+) -> DataFrame:
     """Event catalog; extra columns are kept."""
-    df = _read(spark, path, schemas.CATALOG, "event catalog")
+    schema = _with_ids(schemas.CATALOG, ("evid",), id_type)
+    df = _read(spark, path, schema, "event catalog")
     return parse_origin_time(df) if parse_time else df
 
 
-def read_dtimes(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, schemas.DTIMES, "differential times").select(
-        *schemas.DTIMES.fieldNames()
-    )
+def read_dtimes(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
+    schema = _with_ids(schemas.DTIMES, ("evid1", "evid2"), id_type)
+    return _read(spark, path, schema, "differential times").select(*schema.fieldNames())
 
 
 def read_velocity_model(spark: SparkSession, path: str) -> DataFrame:
