@@ -5,8 +5,8 @@ times: the whole part surely, the rest as an inclusion probability. The cube met
 probabilities into 0 and 1: while more than two documents of a block are open, three of them move
 along the null space of their constraints (number of documents, number of words) until one is
 decided. Blocks are decided apart from each other, by hash; what stays open of them meets in larger
-blocks. A reserve of each source and the last open documents form its small landing problem, which
-is rounded from the largest document down, each rounding error being spread over those left.
+blocks. A small reserve of each source and the last open documents form its landing problem: it is
+decided by draws from the largest document down, each rounding error being spread over those left.
 
 Defined cases: NULL text has size 0; documents of size 0 are taken 0 times. The NULL source is a
 source of its own, last in order. Empty tables give no rows. Randomness is a hash of the row's id
@@ -31,6 +31,8 @@ MOST_REPEATS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 # Documents per block, and the open documents of a source that one task may land.
 BLOCK, LANDING = 512, 8192
+# Documents of a source that do not fly, so that the landing can even out large documents.
+RESERVE = 48
 _OPEN = 1e-9
 
 
@@ -100,12 +102,12 @@ def flight(sizes: np.ndarray, chances: np.ndarray, draws: np.ndarray) -> np.ndar
     return np.array(p)
 
 
-def landing(sizes: np.ndarray, chances: np.ndarray) -> np.ndarray:
+def landing(sizes: np.ndarray, chances: np.ndarray, draws: np.ndarray) -> np.ndarray:
     """Decide all entries, largest first; the words won or lost are spread over the smaller ones."""
     p = chances.astype(np.float64).copy()
     order = [i for i in np.argsort(-sizes, kind="stable") if 0.0 < p[i] < 1.0]
     for at, i in enumerate(order):
-        decided = float(p[i] >= 0.5)
+        decided = float(draws[i] < p[i])
         owed = sizes[i] * (p[i] - decided)
         p[i] = decided
         rest = np.array(order[at + 1 :], dtype=np.int64)
@@ -137,8 +139,12 @@ def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _land(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = _fly(pdf)
-    return pdf.assign(chance=landing(pdf["size"].to_numpy(dtype=np.float64), pdf["chance"].to_numpy()))
+    pdf = pdf.sort_values(["seed", "doc_id", "copy"], na_position="last")
+    pdf = pd.concat([_fly(pdf.iloc[RESERVE:]), pdf.iloc[:RESERVE][list(pdf.columns)]])
+    pdf = pdf.sort_values(["size", "seed", "doc_id", "copy"], ascending=False, na_position="last")
+    sizes, draws = pdf["size"].to_numpy(dtype=np.float64), _uniform(pdf["seed"] + 1)
+    pdf = pdf.assign(chance=landing(sizes, pdf["chance"].to_numpy(), draws))
+    return pdf[["doc_id", "copy", "source_key", "size", "seed", "chance"]]
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
