@@ -225,6 +225,30 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFram
     )
 
 
+def apply_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
+    """Rows of ``docs``, each as often as the mix takes it; its columns stay as they are."""
+    mixed = mix_sources(docs, weights).filter("taken > 0")
+    mixed = common.staged(
+        mixed.select(
+            F.col("doc_id").alias("_mix_id"),
+            F.col("copy").alias("_mix_copy"),
+            (F.col("taken") / F.col("size")).cast("int").alias("_mix_times"),
+        ),
+        "mixed",
+    )
+    if mixed.filter("_mix_copy > 0").head(1):
+        # rows that share an id are told apart in the order in which mix_sources numbers them
+        size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+        number = F.row_number().over(W.partitionBy("doc_id").orderBy("source", size))
+        rows = docs.withColumn("_mix_row", (number - 1).cast("long"))
+        same = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_row") == F.col("_mix_copy"))
+    else:
+        rows, same = docs, F.col("doc_id").eqNullSafe(F.col("_mix_id"))
+    rows = rows.join(mixed, same)
+    rows = rows.withColumn("_mix_each", F.explode(F.array_repeat(F.lit(1), F.col("_mix_times"))))
+    return rows.select(*[F.col(f"`{name}`") for name in docs.columns])
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents", "doc_id", "text", "source")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")

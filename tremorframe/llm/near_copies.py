@@ -74,7 +74,7 @@ def signatures(n: int, owner: np.ndarray, run: np.ndarray, weight: np.ndarray, s
     step = 0
     while len(alive):
         step += 1
-        state = common.mix(run[alive] + _GOLD * np.uint64(step))
+        state = common.mix(run[alive] + np.uint64(int(_GOLD) * step % (1 << 64)))
         gap = -np.log(((state >> np.uint64(11)).astype(np.float64) + 1.0) / float((1 << 53) + 1))
         time[alive] += gap / weight[alive]
         slot = (common.mix(state ^ _GOLD) % np.uint64(slots)).astype(np.int64)
@@ -263,13 +263,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without all but one row of each group; its columns stay as they are."""
-    found = near_duplicates(docs)
+    found = common.staged(near_duplicates(docs), "kept")
     name = "_node_of_text"
     keep = found.filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("node").alias("_keep_node"))
     keyed = docs.withColumn(name, node_id(F.col("text")))
     same = keyed["doc_id"].eqNullSafe(F.col("_keep_id")) & keyed[name].eqNullSafe(F.col("_keep_node"))
-    kept = keyed.join(keep.distinct(), same, "left_semi").drop(name)
-    return kept.dropDuplicates(["doc_id", "text"])
+    kept = keyed.join(keep, same, "left_semi").drop(name)
+    if keep.groupBy("_keep_id", "_keep_node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").head(1):
+        # repeated rows of one id share all that a group is named by
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept
 
 
 def op4_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
