@@ -4,11 +4,12 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import compare
+from checks.registry import ORACLES, QUERIES
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(name, spark, oracle, sf_dir):
-    ok, note = compare(spark, oracle, entry.queries()[name], entry.oracle_sql().get(name), sf_dir)
+    ok, note = compare(spark, oracle, QUERIES[name], ORACLES.get(name), sf_dir)
     assert ok, note
 
 
