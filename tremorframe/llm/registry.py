@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from tremorframe.llm import language, mixing, near_copies, pieces, quality
+from tremorframe.llm import (
+    bigram_trie,
+    chat,
+    language,
+    mixing,
+    multi_index,
+    near_copies,
+    pieces,
+    quality,
+    url_rules,
+    vector_groups,
+)
 
-_MODULES = (pieces, near_copies, mixing, language, quality)
+_MODULES = (pieces, multi_index, vector_groups, near_copies, mixing, chat, language, quality, url_rules, bigram_trie)
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
