@@ -7,11 +7,12 @@ cannot matter and end the run early. Two texts agree in a slot with the probabil
 similarity of their weighted runs. Slots form bands; texts that share a band are candidates, and
 candidates are verified on their whole texts.
 
-Bands are not expanded into all pairs. Small ones (``SMALL`` texts) compare everyone; in larger ones
-everyone is compared with the text that shares the most bands with others. Bands whose texts are
-then still in several groups are divided by the other bands of their texts, in which linked texts
-meet again while chance companions part, and treated in the same way; what even that leaves large
-compares with one leader after the other until its groups are one or all have led.
+Bands are not expanded into all pairs. In every round the texts of a band that are outside its
+largest group so far meet the band's leaders: the text that shares the most bands with others and a
+hashed choice of one, then 8, 64, ... texts. Groups grow, so ever fewer texts are outside when
+leaders become many; bands whose texts are one group are done. The rounds end when all are, or when
+those outside have met every text of their bands, so no candidate that could join two groups is
+left out.
 
 Links are exact: probability Jaccard, or plain Jaccard of the distinct runs, of at least 0.8. With
 36 bands of 6 slots a pair at 0.8 shares no band with a chance of 1.8e-5.
@@ -35,7 +36,8 @@ from tremorframe.llm import common
 RUN = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 36, 6
-SMALL = 8
+# Factor by which the leaders of a band become more from round to round.
+GROWTH = 8
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLIERS = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 
@@ -161,12 +163,8 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return docs.select("doc_id", node_id(F.col("text")).alias("node"), keys("text").alias("bands"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """Pairs (a, b) with the exact similarity ``s`` of their whole texts."""
-    pairs = common.staged(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(node_id(F.col("text")).alias("node"), "text").join(wanted, "node")
-    texts = common.staged(texts.groupBy("node").agg(F.first("text").alias("text")), f"{name}-texts")
+def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """Different pairs (a, b), a < b, with the exact similarity ``s`` of their whole texts."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
     both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
@@ -174,74 +172,72 @@ def _verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
         for pdf in batches:
             yield pdf[["a", "b"]].assign(s=similarities(list(pdf["x"]), list(pdf["y"])))
 
-    return common.staged(both.mapInPandas(check, "a long, b long, s double"), f"{name}-checked")
+    return common.staged(both.mapInPandas(check, "a long, b long, s double"), name)
 
 
-def _candidates(members: DataFrame) -> DataFrame:
-    """Pairs of ``members`` (key, node, label): everyone in small keys, the leader's in all.
+def _candidates(open_: DataFrame, leaders: int) -> DataFrame:
+    """Different pairs between members outside their key's largest group and leaders of the key.
 
-    Pairs inside one group (equal labels) are left out.
+    ``open_`` has key, node, label. A hash picks about ``leaders`` members of each key, all of them
+    if it has no more, besides the one that shares the most keys with others. More leaders include
+    the fewer.
     """
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    sized = members.join(sizes, "key")
-    degree = sized.groupBy("node").agg(F.sum("n").alias("degree"))
-    ranked = sized.join(degree, "node")
-    leaders = ranked.groupBy("key").agg(F.max(F.struct("degree", "node", "label")).alias("lead"))
-    star = members.join(leaders, "key").filter("label <> lead.label")
-    star = star.select(F.col("node").alias("a"), F.col("lead.node").alias("b"))
-    small = sized.filter(F.col("n").between(3, SMALL))
-    other = small.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
-    inside = small.join(other, "key").filter("node < b AND label <> other")
-    return star.unionByName(inside.select(F.col("node").alias("a"), "b"))
-
-
-def _labelled(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members with their current group as label, without the keys that lie in one group."""
-    named = members.select("key", "node").join(groups, "node", "left")
-    named = named.select("key", "node", F.coalesce("root", "node").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"))
-    return named.join(mixed.filter("l <> h").select("key"), "key", "left_semi")
+    groups_ = open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    keys = groups_.groupBy("key").agg(
+        F.sum("n").alias("size"), F.max(F.struct("n", "label"))["label"].alias("main")
+    )
+    sized = open_.join(keys, "key")
+    degree = sized.groupBy("node").agg(F.sum("size").alias("degree"))
+    top = sized.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node", "label")).alias("lead"))
+    draw = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = sized.filter(draw * F.col("size") < leaders).select("key", F.col("node").alias("b"), F.col("label").alias("other"))
+    lead = top.select("key", F.col("lead.node").alias("b"), F.col("lead.label").alias("other")).unionByName(drawn)
+    outside = sized.filter("label <> main").select("key", "node", "label")
+    pairs = outside.join(lead, "key").filter("label <> other")
+    return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(node, root) of all nodes that are linked to another one."""
-    nodes = sketches.filter("bands IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"))
+    """(node, root) of all nodes that share a band with another one."""
+    worded = sketches.filter("bands IS NOT NULL")
+    nodes = worded.groupBy("node").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id"))
+    nodes = common.staged(nodes, "nodes")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     members = common.staged(keyed.join(shared, "key"), "members")
-    links = None
-    roots = None
-    round_ = 0
+    # one row with the text of each member; rows that repeat an id only repeat a comparison
+    wanted = members.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("_id")), "node")
+    keyed_docs = docs.select("doc_id", node_id(F.col("text")).alias("_node"), "text")
+    here = (F.col("_node") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    texts = common.staged(keyed_docs.join(wanted, here).select("node", "text"), "member-texts")
+
+    roots = common.staged(members.select("node").distinct().withColumn("root", F.col("node")), "roots")
+    seen = None
+    leaders, largest = 1, None
     while True:
-        if roots is None:
-            current = members.withColumn("label", F.col("node"))
-        else:
-            current = common.staged(_labelled(members, roots), f"open-{round_}")
-            if not current.head(1):
-                return roots
-        found = _verified(_candidates(current), docs, f"pairs-{round_}").filter(F.col("s") >= SIMILARITY)
-        found = found.select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        roots = common.components(links)
-        if round_ < 3:
-            # keys of more than SMALL texts in several groups part by the other bands of their texts
-            large = current.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SMALL)
-            wide = current.join(large.select("key"), "key", "left_semi").select("key", "node")
-            wide = _labelled(wide, roots).select(F.col("key").alias("outer"), "node")
-            inner = wide.join(keyed.withColumnRenamed("key", "inner"), "node")
-            inner = inner.select(F.xxhash64("outer", "inner").alias("key"), "node")
-            again = inner.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-            members = common.staged(inner.join(again, "key"), f"members-{round_}")
-        else:
-            # each key's leader has met all its texts; the next one leads among the rest
-            sizes = current.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-            sized = current.join(sizes, "key")
-            degree = sized.groupBy("node").agg(F.sum("n").alias("degree"))
-            led = sized.join(degree, "node").groupBy("key")
-            led = led.agg(F.max(F.struct("degree", "node", "label")).alias("lead"), F.first("n").alias("n"))
-            rest = current.join(led.filter(F.col("n") > SMALL), "key").filter("node <> lead.node")
-            members = common.staged(rest.select("key", "node"), f"members-{round_}")
-        round_ += 1
+        named = members.join(roots.withColumnRenamed("root", "label"), "node")
+        mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("n"))
+        mixed = mixed.filter("l <> h")
+        open_ = common.staged(named.join(mixed.select("key", "n"), "key"), f"open-{leaders}")
+        largest = open_.agg(F.max("n")).first()[0]
+        if largest is None:
+            return roots
+        pairs = _candidates(open_.select("key", "node", "label"), leaders)
+        if seen is not None:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        checked = _verified(pairs, texts, f"checked-{leaders}")
+        seen = checked.select("a", "b") if seen is None else seen.unionByName(checked.select("a", "b"))
+        # links between groups join them; the groups are the nodes here
+        at = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+        to = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        links = checked.filter(F.col("s") >= SIMILARITY).join(at, "a").join(to, "b").select("ra", "rb")
+        merged = common.components(links, "ra", "rb").withColumnRenamed("root", "into")
+        roots = roots.join(merged.withColumnRenamed("node", "root"), "root", "left")
+        roots = common.staged(roots.select("node", F.coalesce("into", "root").alias("root")), f"roots-{leaders}")
+        if leaders >= largest:
+            # everyone outside the largest group of a key has met all its members
+            return roots
+        leaders *= GROWTH
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
