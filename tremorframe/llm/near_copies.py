@@ -111,21 +111,15 @@ def band_keys(texts: list, bands: int = BANDS, rows: int = ROWS) -> list[Optiona
     return out
 
 
-def similarities(left: list, right: list) -> np.ndarray:
-    """Larger of the exact probability Jaccard and the plain Jaccard similarity of each pair of texts."""
-    out = np.zeros(len(left))
-    for i, (x, y) in enumerate(zip(left, right)):
-        owner, run, weight = runs([x, y])
-        a, wa = run[owner == 0], weight[owner == 0]
-        b, wb = run[owner == 1], weight[owner == 1]
-        if not len(a) or not len(b):
-            continue
-        _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-        plain = len(ia) / (len(a) + len(b) - len(ia))
-        out[i] = plain
-        if plain < SIMILARITY and len(ia):
-            out[i] = max(plain, _probability_jaccard(wa, wb, ia, ib))
-    return out
+def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
+    """Larger of the exact probability Jaccard and the plain Jaccard similarity of two weighted run sets."""
+    if not len(a) or not len(b):
+        return 0.0
+    _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    plain = len(ia) / (len(a) + len(b) - len(ia))
+    if plain >= SIMILARITY or not len(ia):
+        return plain
+    return max(plain, _probability_jaccard(wa, wb, ia, ib))
 
 
 def _probability_jaccard(wa: np.ndarray, wb: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> float:
@@ -169,8 +163,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}  # runs of the texts that were met last
+
+        def of(node: int, text: str) -> tuple:
+            if node not in held:
+                if len(held) >= 2000:
+                    held.clear()
+                held[node] = runs([text])[1:]
+            return held[node]
+
         for pdf in batches:
-            yield pdf[["a", "b"]].assign(s=similarities(list(pdf["x"]), list(pdf["y"])))
+            found = [
+                similarity(*of(a, x), *of(b, y)) for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["x"], pdf["y"])
+            ]
+            yield pdf[["a", "b"]].assign(s=np.array(found, dtype=np.float64))
 
     return common.staged(both.mapInPandas(check, "a long, b long, s double"), name)
 
