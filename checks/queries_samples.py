@@ -35,7 +35,8 @@ def sample_read(spark, sf_dir):
 
 
 @query(
-    q.with_(q.SAMPLES) + f"SELECT evid, batch_id, draw, {_SINGLE} FROM samples WHERE draw % 5 = 0"
+    q.with_(q.SAMPLES)
+    + f"SELECT evid, batch_id, CAST(draw // 5 AS BIGINT) AS draw, {_SINGLE} FROM samples WHERE draw % 5 = 0"
 )
 def sample_thin(spark, sf_dir):
     return rounded(sample_store.read_samples(spark, stored(spark, sf_dir), thin=5), 4)
@@ -204,6 +205,21 @@ quantile_cont("{n}", 0.005) {_KEPT} AS l{n}"""
     )
 
 
+def _thinned(thin: int, width: int) -> str:
+    """View ``thin``: every ``thin``-th stored draw of each batch of 16, as one chain of ``width`` a batch."""
+    fields = ", ".join(f'{q.single(chr(34) + n + chr(34))} AS "{n}"' for n in FIELDS)
+    return (
+        f"thin AS (SELECT evid, {fields}, batch_id * {width} + draw // {thin} AS pos FROM samples WHERE draw % {thin} = 0)"
+    )
+
+
+@query(_cat_sql().replace("q AS (", _thinned(2, 8) + ",\nq AS (", 1).replace("FROM samples WHERE pos >= 10", "FROM thin WHERE pos >= 10"))
+def thinned_catalog(spark, sf_dir):
+    """A thinned read of the store, then burn-in and thinning of what it gave."""
+    samples = sample_store.read_samples(spark, stored(spark, sf_dir), thin=2)
+    return rounded(posterior.posterior_catalog(samples, burn_in=10, thin=3), 7)
+
+
 @query(_cat_sql())
 def posterior_catalog(spark, sf_dir):
     return rounded(posterior.posterior_catalog(fx.samples(spark, sf_dir), burn_in=10, thin=3), 7)
@@ -347,6 +363,15 @@ def ess(spark, sf_dir):
     return rounded(ess_ops.effective_sample_size(fx.samples(spark, sf_dir)), 6)
 
 
+@query(
+    q.with_(q.SAMPLES, _thinned(5, 4), q.LONG.replace("FROM samples", "FROM thin"), _ESS.replace("range(1, 17)", "range(1, 5)"))
+    + f"SELECT evid, n, {_ESS_SHOW} FROM s"
+)
+def thinned_ess(spark, sf_dir):
+    samples = sample_store.read_samples(spark, stored(spark, sf_dir), thin=5)
+    return rounded(ess_ops.effective_sample_size(samples), 6)
+
+
 @query(q.with_(q.SAMPLES, q.LONG, _ESS) + f"SELECT evid, n, {_ESS_SHOW} FROM s")
 def ess_long_chains(spark, sf_dir):
     """The same sizes with chains cut into overlapping blocks, as very long ones are."""

@@ -68,7 +68,32 @@ def test_lonlat_can_stay_out(spark):
 def test_thinning_restarts_in_every_batch(spark):
     df = chain_frame(spark, {1: range(10)}, width=5)
     got = sorted((r["batch_id"], r["draw"]) for r in store.thin_batches(df, 3).collect())
-    assert got == [(0, 0), (0, 3), (1, 0), (1, 3)]
+    assert got == [(0, 0), (0, 1), (1, 0), (1, 1)]
+    thinned = store.thin_batches(df, 3)
+    assert chains.chain_layout(thinned).n_draws == 4
+    with pytest.raises(ValueError):
+        chains.thinned_chain(thinned, burn_in=4, thin=1)
+
+
+def test_short_chains_and_zero_lag_keep_their_events(spark):
+    df = chain_frame(spark, {1: [float(i % 7) for i in range(40)], 2: [float(i % 5) for i in range(40)]}, width=10)
+    df = df.filter("evid = 1 OR (batch_id = 0 AND draw < 2)")
+    for lag in (None, 0, 5):
+        sizes = [
+            sorted((r["evid"], r["n"], round(r["ess"], 9)) for r in ess_ops.effective_sample_size(df, max_lag=lag, block_draws=b).collect())
+            for b in (1000, 8)
+        ]
+        assert sizes[0] == sizes[1] and [s[:2] for s in sizes[0]] == [(1, 40), (2, 2)]
+
+
+def test_missing_draws_do_not_depend_on_the_path(spark):
+    df = chain_frame(spark, {1: [1.0, 2.0, float("nan"), 4.0, 5.0, 6.0], 2: [float("nan")] * 6}, width=6)
+    both = [
+        [tuple(r) for r in posterior.posterior_catalog(df, gather_rows=g).orderBy("evid").collect()]
+        for g in (1000, 0)
+    ]
+    assert len(both[0]) == 2
+    assert np.allclose(*[np.array(rows, dtype=float) for rows in both], equal_nan=True)
     with pytest.raises(ValueError):
         store.thin_batches(df, 0)
 

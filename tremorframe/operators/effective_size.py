@@ -60,6 +60,9 @@ def effective_sample_size(
     if lag < 0:
         raise ValueError(f"max_lag must be >= 0, got {lag}")
     lag = min(lag, n - 1)
+    # chains may differ in length: each has its own largest lag, and needs two draws for any
+    quarter = F.least(F.lit(1000), F.floor(F.col("n") / 4)) if max_lag is None else F.lit(lag)
+    own_lag = F.least(quarter, F.col("n") - 1)
     block = max(int(block_draws), lag, 1)
 
     draws = thinned_chain(samples, burn_in, thin, layout).select(
@@ -120,11 +123,14 @@ def effective_sample_size(
 
     if n > block:
         keys = ["evid", "n", *[f"v_{a}" for a in AXES]]
-        lags = summed.select(*keys, F.posexplode(F.arrays_zip(*AXES)).alias("_k", "_z"))
+        lags = summed.select(*keys, F.posexplode_outer(F.arrays_zip(*AXES)).alias("_k", "_z"))
         lags = lags.groupBy(*keys, "_k").agg(*[F.sum(f"_z.{a}").alias(a) for a in AXES])
-        clipped = lambda a: F.greatest(
-            F.col(a) / ((F.col("n") - F.col("_k") - 1) * F.nullif(F.col(f"v_{a}"), F.lit(0.0))),
-            F.lit(0.0),
+        clipped = lambda a: F.when(
+            F.col("_k") < own_lag,
+            F.greatest(
+                F.col(a) / ((F.col("n") - F.col("_k") - 1) * F.nullif(F.col(f"v_{a}"), F.lit(0.0))),
+                F.lit(0.0),
+            ),
         )
         totals = lags.groupBy(*keys).agg(*[F.sum(clipped(a)).alias(a) for a in AXES])
     else:
@@ -132,10 +138,13 @@ def effective_sample_size(
         def total(a: str):
             terms = F.transform(
                 F.col(a),
-                lambda s, k: F.greatest(
-                    s / ((F.col("n") - k - 1) * F.nullif(F.col(f"v_{a}"), F.lit(0.0))),
-                    F.lit(0.0),
-                ),
+                lambda s, k: F.when(
+                    k < own_lag,
+                    F.greatest(
+                        s / ((F.col("n") - k - 1) * F.nullif(F.col(f"v_{a}"), F.lit(0.0))),
+                        F.lit(0.0),
+                    ),
+                ).otherwise(F.lit(0.0)),
             )
             return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)
 

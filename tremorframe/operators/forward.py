@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremorframe.functions.geodesy import EqualArea
-from tremorframe.operators.scaling import exact_quantiles, group_sizes, small_side
+from tremorframe.operators.scaling import exact_quantiles, first_per_key, group_sizes, small_side
 from tremorframe.schemas import COMPONENTS
 
 
 def initial_state(origins: DataFrame, lat_min: float, lon_min: float) -> DataFrame:
     """Event state at the catalog positions, with zero shifts and zero optimizer memory.
 
-    Event ids must be unique in ``origins``.
+    Of rows that share an event id one counts: the latest in time, then in longitude, latitude and
+    depth.
     """
+    order = [F.col(n).desc_nulls_last() for n in ("time", "longitude", "latitude", "depth") if n in origins.columns]
+    origins = first_per_key(origins, ["evid"], order)
     x, y = EqualArea(lat_min, lon_min).forward(F.col("longitude"), F.col("latitude"))
     zeros = [
         F.lit(0.0).alias(f"{prefix}{c}") for prefix in ("", "m_", "v_") for c in COMPONENTS

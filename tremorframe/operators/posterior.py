@@ -50,7 +50,9 @@ def posterior_catalog(
     means += [F.avg(_value(n, True)).alias(n) for n in SHIFTS]
     if n_kept <= gather_rows:
         # (batch_id, evid, draw) is the key of the store, so n_kept bounds every group
-        spans = [F.percentile(_value(n, True), [HIGH, LOW]).alias(f"_q{n}") for n in SHIFTS]
+        # NaN draws take no part in the spans, as on the other path
+        finite = lambda n: F.when(~F.isnan(_value(n, True)), _value(n, True))
+        spans = [F.percentile(finite(n), [HIGH, LOW]).alias(f"_q{n}") for n in SHIFTS]
         out = draws.groupBy("evid").agg(*means, *spans)
         sigmas = {n: 0.5 * (F.col(f"_q{n}")[0] - F.col(f"_q{n}")[1]) for n in SHIFTS}
     else:
@@ -62,7 +64,7 @@ def posterior_catalog(
         wide = spans.groupBy("evid").agg(
             *[F.max(F.when(F.col("coord") == n, F.col("hi") - F.col("lo"))).alias(f"_w{n}") for n in SHIFTS]
         )
-        out = draws.groupBy("evid").agg(*means).join(wide, "evid")
+        out = draws.groupBy("evid").agg(*means).join(wide, "evid", "left")
         sigmas = {n: 0.5 * F.col(f"_w{n}") for n in SHIFTS}
     columns = [*PLACES]
     for n in SHIFTS:

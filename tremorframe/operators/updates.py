@@ -57,7 +57,7 @@ def check_langevin(lr: float, beta: float, eps: float, n_obs: int, preconditione
     if n_obs <= 0:
         raise ValueError(f"n_obs must be > 0, got {n_obs}")
     if preconditioner not in ("rmsprop", "adam"):
-        raise ValueError("preconditioner must be 'rmsprop' or 'adam'")
+        raise ValueError(f"unknown preconditioner {preconditioner!r}: rmsprop and adam are known")
 
 
 def langevin_update(

@@ -111,10 +111,13 @@ def read_samples(
 
 
 def thin_batches(samples: DataFrame, thin: int) -> DataFrame:
-    """Draws 0, n, 2n, ... of each batch; the count restarts in every batch."""
+    """Draws 0, n, 2n, ... of each batch, numbered anew from 0; the count restarts in every batch."""
     if thin < 1:
         raise ValueError(f"thin must be >= 1, got {thin}")
-    return samples if thin == 1 else samples.filter(F.col("draw") % thin == 0)
+    if thin == 1:
+        return samples
+    kept = samples.filter(F.col("draw") % thin == 0)
+    return kept.withColumn("draw", F.expr(f"draw div {int(thin)}"))
 
 
 def select_events(

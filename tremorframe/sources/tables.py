@@ -30,7 +30,9 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, what: str) -> Da
     full = T.StructType(
         [T.StructField(name, known.get(name, T.StringType())) for name in header.columns]
     )
-    return spark.read.schema(full).option("header", True).option("mode", "FAILFAST").csv(path)
+    # a file of the folder whose columns are in another order fails instead of being misread
+    reader = spark.read.schema(full).option("header", True).option("enforceSchema", False)
+    return reader.option("mode", "FAILFAST").csv(path)
 
 
 def _with_ids(schema: T.StructType, names: tuple[str, ...], id_type: str) -> T.StructType:
