@@ -12,7 +12,8 @@ largest group so far meet the band's leaders: the text that shares the most band
 hashed choice of one, then 8, 64, ... texts. Groups grow, so ever fewer texts are outside when
 leaders become many; bands whose texts are one group are done. The rounds end when all are, or when
 those outside have met every text of their bands, so no candidate that could join two groups is
-left out.
+left out. Bands with few such pairs emit them; in larger ones blocks of outside texts meet blocks of
+leaders as products of their run matrices, and only links that join groups leave the task.
 
 Links are exact: probability Jaccard, or plain Jaccard of the distinct runs, of at least 0.8. With
 36 bands of 6 slots a pair at 0.8 shares no band with a chance of 1.8e-5.
@@ -38,6 +39,12 @@ SIMILARITY = 0.8
 BANDS, ROWS = 36, 6
 # Factor by which the leaders of a band become more from round to round.
 GROWTH = 8
+# Bands with more meetings of outside texts and leaders than this compare blocks; no block is
+# expected to hold more texts or runs than these.
+PAIRED = 4096
+BLOCK_TEXTS, BLOCK_RUNS = 512, 500_000
+# Columns of a run matrix that are multiplied at a time.
+_COLUMNS = 4096
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLIERS = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 
@@ -119,9 +126,20 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     plain = len(ia) / (len(a) + len(b) - len(ia))
     if plain >= SIMILARITY or not len(ia):
         return plain
+    if highest(wa[ia].sum() / wa.sum(), wb[ib].sum() / wb.sum()) < SIMILARITY - 1e-6:
+        return plain
     return max(plain, _probability_jaccard(wa, wb, ia, ib))
 
 
+def highest(x, y):
+    """Upper bound of the probability Jaccard of texts whose common runs weigh shares ``x`` and ``y`` of them.
+
+    Every term of the sum is at most 1 / (A / a_i + (B - B_common) / b_i), which is concave and
+    homogeneous in (a_i, b_i); so the sum is at most that value at the sums of the common weights.
+    """
+    return 1.0 / (1.0 / x + 1.0 / y - 1.0)
+
+
 def _probability_jaccard(wa: np.ndarray, wb: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> float:
     """Sum over common i of 1 / sum over all j of max(a_j / a_i, b_j / b_i).
 
@@ -157,32 +175,158 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return docs.select("doc_id", node_id(F.col("text")).alias("node"), keys("text").alias("bands"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+def _run_table(texts: DataFrame) -> DataFrame:
+    """node, runs, weights, n_runs of ``texts`` (node, text): sorted run hashes and their weights as bytes."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            values = list(pdf["text"])
+            for lo, hi in common.slices(values, 2_000_000):
+                owner, run, weight = runs(values[lo:hi])
+                ends = np.searchsorted(owner, np.arange(hi - lo + 1))
+                spans = list(zip(ends[:-1], ends[1:]))
+                yield pd.DataFrame(
+                    {
+                        "node": pdf["node"].iloc[lo:hi],
+                        "runs": [run[i:j].astype("<u8").tobytes() for i, j in spans],
+                        "weights": [weight[i:j].astype("<f8").tobytes() if (weight[i:j] > 1).any() else b"" for i, j in spans],
+                        "n_runs": np.diff(ends),
+                    }
+                )
+
+    return texts.mapInPandas(count, "node long, runs binary, weights binary, n_runs long")
+
+
+def _unpacked(packed: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Run hashes and weights; no bytes of weights stand for ones."""
+    run = np.frombuffer(packed, dtype="<u8")
+    return run, np.frombuffer(weights, dtype="<f8") if len(weights) else np.ones(len(run))
+
+
+def _verified(pairs: DataFrame, table: DataFrame, name: str) -> DataFrame:
     """Different pairs (a, b), a < b, with the exact similarity ``s`` of their whole texts."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    both = pairs.join(table.select(F.col("node").alias("a"), F.col("runs").alias("x"), F.col("weights").alias("wx")), "a")
+    both = both.join(table.select(F.col("node").alias("b"), F.col("runs").alias("y"), F.col("weights").alias("wy")), "b")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict = {}  # runs of the texts that were met last
-
-        def of(node: int, text: str) -> tuple:
-            if node not in held:
-                if len(held) >= 2000:
-                    held.clear()
-                held[node] = runs([text])[1:]
-            return held[node]
-
         for pdf in batches:
             found = [
-                similarity(*of(a, x), *of(b, y)) for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["x"], pdf["y"])
+                similarity(*_unpacked(x, wx), *_unpacked(y, wy))
+                for x, wx, y, wy in zip(pdf["x"], pdf["wx"], pdf["y"], pdf["wy"])
             ]
             yield pdf[["a", "b"]].assign(s=np.array(found, dtype=np.float64))
 
     return common.staged(both.mapInPandas(check, "a long, b long, s double"), name)
 
 
-def _candidates(open_: DataFrame, leaders: int) -> DataFrame:
-    """Different pairs between members outside their key's largest group and leaders of the key.
+def block_links(left: list, right: list) -> np.ndarray:
+    """(i, j) of all texts of ``left`` and ``right``, lists of (runs, weights), that are linked."""
+    runs_l, runs_r = (np.concatenate([r for r, _ in side]) for side in (left, right))
+    weights_l, weights_r = (np.concatenate([w for _, w in side]) for side in (left, right))
+    row_l, row_r = (np.repeat(np.arange(len(side)), [len(r) for r, _ in side]) for side in (left, right))
+    size_l, size_r = (np.array([float(len(r)) for r, _ in side]) for side in (left, right))
+    all_l, all_r = (np.array([w.sum() for _, w in side]) for side in (left, right))
+    shared = np.intersect1d(runs_l, runs_r)
+    columns = []
+    for run in (runs_l, runs_r):
+        at = np.searchsorted(shared, run)
+        at[at == len(shared)] = 0
+        columns.append(np.where(shared[at] == run, at, -1) if len(shared) else np.full(len(run), -1))
+    uniform = (weights_l == 1).all() and (weights_r == 1).all()
+    count = np.zeros((len(left), len(right)))
+    common_l, common_r = np.zeros_like(count), np.zeros_like(count)
+    for lo in range(0, len(shared), _COLUMNS):
+        width = min(_COLUMNS, len(shared) - lo)
+        parts = []
+        for side, row, column, weight in ((left, row_l, columns[0], weights_l), (right, row_r, columns[1], weights_r)):
+            inside = (column >= lo) & (column < lo + width)
+            there = np.zeros((len(side), width), dtype=np.float32)
+            there[row[inside], column[inside] - lo] = 1
+            weighed = there
+            if not uniform:
+                weighed = np.zeros_like(there)
+                weighed[row[inside], column[inside] - lo] = weight[inside]
+            parts.append((there, weighed))
+        (has_l, heavy_l), (has_r, heavy_r) = parts
+        count += has_l @ has_r.T
+        if not uniform:
+            common_l += heavy_l @ has_r.T
+            common_r += has_l @ heavy_r.T
+    linked = count / (size_l[:, None] + size_r[None, :] - count) >= SIMILARITY
+    if not uniform:
+        some = count > 0
+        x = np.where(some, common_l / all_l[:, None], 1)
+        y = np.where(some, common_r / all_r[None, :], 1)
+        open_ = some & ~linked & (highest(x, y) >= SIMILARITY - 1e-6)
+        for i, j in np.argwhere(open_):
+            linked[i, j] = similarity(*left[i], *right[j]) >= SIMILARITY
+    return np.argwhere(linked)
+
+
+def _joining(pairs: np.ndarray, left: np.ndarray, right: np.ndarray) -> list:
+    """The pairs (i, j) that join two groups of labels not joined by the pairs before them."""
+    into: dict = {}
+
+    def top(x: int) -> int:
+        while x in into:
+            x = into[x]
+        return x
+
+    kept = []
+    for i, j in pairs:
+        x, y = top(left[i]), top(right[j])
+        if x != y:
+            into[max(x, y)] = min(x, y)
+            kept.append((i, j))
+    return kept
+
+
+def _block_links(outside: DataFrame, leading: DataFrame, keys: DataFrame, table: DataFrame, name: str) -> DataFrame:
+    """Links (a, b) that join groups, of outside texts and leaders (both key, node, label) of large keys.
+
+    Each side is dealt by hash into as many blocks as its texts and runs need, and each block meets
+    every block of the other side once.
+    """
+    sized = table.select("node", "n_runs")
+    outside = outside.join(keys, "key", "left_semi").join(sized, "node").withColumn("side", F.lit(0))
+    leading = leading.join(keys, "key", "left_semi").join(sized, "node").withColumn("side", F.lit(1))
+    rows = common.staged(outside.unionByName(leading), f"{name}-rows")
+
+    def blocks(side: int) -> Column:
+        here = F.col("side") == side
+        texts = F.sum(F.when(here, 1)) / F.lit(BLOCK_TEXTS)
+        held = F.sum(F.when(here, F.col("n_runs"))) / F.lit(BLOCK_RUNS)
+        return F.greatest(F.ceil(texts), F.ceil(held), F.lit(1)).cast("int")
+
+    dealt = rows.join(rows.groupBy("key").agg(blocks(0).alias("n0"), blocks(1).alias("n1")), "key")
+    draw = F.xxhash64("node", "key", F.lit("block"))
+    own = F.pmod(draw, F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0")) - 1))
+    dealt = dealt.select("key", "node", "label", "side", own.alias("own"), other.alias("met"))
+    dealt = dealt.withColumn("i", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("met")))
+    dealt = dealt.withColumn("j", F.when(F.col("side") == 0, F.col("met")).otherwise(F.col("own")))
+    dealt = dealt.drop("own", "met").join(table.drop("n_runs"), "node")
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [pdf[pdf["side"] == k] for k in (0, 1)]
+        none = pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        if not len(sides[0]) or not len(sides[1]):
+            return none
+        held = [[_unpacked(r, w) for r, w in zip(x["runs"], x["weights"])] for x in sides]
+        labels = [x["label"].to_numpy() for x in sides]
+        nodes = [x["node"].to_numpy() for x in sides]
+        kept = _joining(block_links(*held), *labels)
+        if not kept:
+            return none
+        i, j = np.array(kept).T
+        return pd.DataFrame({"a": np.minimum(nodes[0][i], nodes[1][j]), "b": np.maximum(nodes[0][i], nodes[1][j])})
+
+    links = dealt.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long")
+    return common.staged(links, name)
+
+
+def _candidates(open_: DataFrame, leaders: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members outside their key's largest group, leaders (both key, node, label), and keys with sizes.
 
     ``open_`` has key, node, label. A hash picks about ``leaders`` members of each key, all of them
     if it has no more, besides the one that shares the most keys with others. More leaders include
@@ -190,16 +334,24 @@ def _candidates(open_: DataFrame, leaders: int) -> DataFrame:
     """
     groups_ = open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     keys = groups_.groupBy("key").agg(
-        F.sum("n").alias("size"), F.max(F.struct("n", "label"))["label"].alias("main")
+        F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most")
     )
-    sized = open_.join(keys, "key")
+    keys = keys.select("key", "size", F.col("most.label").alias("main"), (F.col("size") - F.col("most.n")).alias("out"))
+    sized = common.staged(open_.join(keys, "key"), f"sized-{leaders}")
     degree = sized.groupBy("node").agg(F.sum("size").alias("degree"))
     top = sized.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node", "label")).alias("lead"))
     draw = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = sized.filter(draw * F.col("size") < leaders).select("key", F.col("node").alias("b"), F.col("label").alias("other"))
-    lead = top.select("key", F.col("lead.node").alias("b"), F.col("lead.label").alias("other")).unionByName(drawn)
+    drawn = sized.filter(draw * F.col("size") < leaders).select("key", "node", "label")
+    lead = top.select("key", "lead.node", "lead.label").unionByName(drawn).distinct()
     outside = sized.filter("label <> main").select("key", "node", "label")
-    pairs = outside.join(lead, "key").filter("label <> other")
+    sizes = sized.select("key", (F.col("out") * F.least("size", F.lit(leaders))).alias("meetings")).distinct()
+    return outside, lead, sizes
+
+
+def _pairs(outside: DataFrame, lead: DataFrame, keys: DataFrame) -> DataFrame:
+    """Different pairs (a, b) of outside members and leaders of the same key and different labels."""
+    lead = lead.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
+    pairs = outside.join(keys, "key", "left_semi").join(lead, "key").filter("label <> other")
     return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
@@ -215,7 +367,8 @@ def groups(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     wanted = members.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("_id")), "node")
     keyed_docs = docs.select("doc_id", node_id(F.col("text")).alias("_node"), "text")
     here = (F.col("_node") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    texts = common.staged(keyed_docs.join(wanted, here).select("node", "text"), "member-texts")
+    texts = keyed_docs.join(wanted, here).select("node", "text")
+    table = common.staged(_run_table(texts).dropDuplicates(["node"]), "member-runs")
 
     roots = common.staged(members.select("node").distinct().withColumn("root", F.col("node")), "roots")
     seen = None
@@ -228,15 +381,20 @@ def groups(docs: DataFrame, sketches: DataFrame) -> DataFrame:
         largest = open_.agg(F.max("n")).first()[0]
         if largest is None:
             return roots
-        pairs = _candidates(open_.select("key", "node", "label"), leaders)
+        outside, lead, keys = _candidates(open_.select("key", "node", "label"), leaders)
+        pairs = _pairs(outside, lead, keys.filter(F.col("meetings") <= PAIRED))
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        checked = _verified(pairs, texts, f"checked-{leaders}")
+        checked = _verified(pairs, table, f"checked-{leaders}")
         seen = checked.select("a", "b") if seen is None else seen.unionByName(checked.select("a", "b"))
         # links between groups join them; the groups are the nodes here
         at = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         to = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        links = checked.filter(F.col("s") >= SIMILARITY).join(at, "a").join(to, "b").select("ra", "rb")
+        links = checked.filter(F.col("s") >= SIMILARITY).select("a", "b")
+        large = keys.filter(F.col("meetings") > PAIRED)
+        if large.head(1):
+            links = links.unionByName(_block_links(outside, lead, large, table, f"blocks-{leaders}"))
+        links = links.join(at, "a").join(to, "b").select("ra", "rb")
         merged = common.components(links, "ra", "rb").withColumnRenamed("root", "into")
         roots = roots.join(merged.withColumnRenamed("node", "root"), "root", "left")
         roots = common.staged(roots.select("node", F.coalesce("into", "root").alias("root")), f"roots-{leaders}")
