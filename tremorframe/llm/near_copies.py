@@ -9,7 +9,7 @@ candidates are verified on their whole texts.
 
 Bands are not expanded into all pairs. In every round the texts of a band that are outside its
 largest group so far meet the band's leaders: the text that shares the most bands with others and a
-hashed choice of one, then 8, 64, ... texts. Groups grow, so ever fewer texts are outside when
+hashed choice of one, then 64, 4096, ... texts. Groups grow, so ever fewer texts are outside when
 leaders become many; bands whose texts are one group are done. The rounds end when all are, or when
 those outside have met every text of their bands, so no candidate that could join two groups is
 left out. Bands with few such pairs emit them; in larger ones blocks of outside texts meet blocks of
@@ -38,7 +38,7 @@ RUN = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 36, 6
 # Factor by which the leaders of a band become more from round to round.
-GROWTH = 8
+GROWTH = 64
 # Bands with more meetings of outside texts and leaders than this compare blocks; no block is
 # expected to hold more texts or runs than these.
 PAIRED = 4096
@@ -325,26 +325,32 @@ def _block_links(outside: DataFrame, leading: DataFrame, keys: DataFrame, table:
     return common.staged(links, name)
 
 
+def _opened(members: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    """key, node, label, size, main, out: members (key, node) of the keys that hold several groups.
+
+    ``main`` is the key's largest group, ``out`` the number of members outside it.
+    """
+    named = members.join(roots.withColumnRenamed("root", "label"), "node")
+    groups_ = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    keys = groups_.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most"))
+    keys = keys.filter("size > most.n")
+    keys = keys.select("key", "size", F.col("most.label").alias("main"), (F.col("size") - F.col("most.n")).alias("out"))
+    return common.staged(named.join(keys, "key"), name)
+
+
 def _candidates(open_: DataFrame, leaders: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members outside their key's largest group, leaders (both key, node, label), and keys with sizes.
 
-    ``open_`` has key, node, label. A hash picks about ``leaders`` members of each key, all of them
-    if it has no more, besides the one that shares the most keys with others. More leaders include
-    the fewer.
+    A hash picks about ``leaders`` members of each key, all of them if it has no more, besides the
+    one that shares the most keys with others. More leaders include the fewer.
     """
-    groups_ = open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    keys = groups_.groupBy("key").agg(
-        F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most")
-    )
-    keys = keys.select("key", "size", F.col("most.label").alias("main"), (F.col("size") - F.col("most.n")).alias("out"))
-    sized = common.staged(open_.join(keys, "key"), f"sized-{leaders}")
-    degree = sized.groupBy("node").agg(F.sum("size").alias("degree"))
-    top = sized.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node", "label")).alias("lead"))
+    degree = open_.groupBy("node").agg(F.sum("size").alias("degree"))
+    top = open_.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node", "label")).alias("lead"))
     draw = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = sized.filter(draw * F.col("size") < leaders).select("key", "node", "label")
+    drawn = open_.filter(draw * F.col("size") < leaders).select("key", "node", "label")
     lead = top.select("key", "lead.node", "lead.label").unionByName(drawn).distinct()
-    outside = sized.filter("label <> main").select("key", "node", "label")
-    sizes = sized.select("key", (F.col("out") * F.least("size", F.lit(leaders))).alias("meetings")).distinct()
+    outside = open_.filter("label <> main").select("key", "node", "label")
+    sizes = open_.select("key", (F.col("out") * F.least("size", F.lit(leaders))).alias("meetings")).distinct()
     return outside, lead, sizes
 
 
@@ -372,16 +378,14 @@ def groups(docs: DataFrame, sketches: DataFrame) -> DataFrame:
 
     roots = common.staged(members.select("node").distinct().withColumn("root", F.col("node")), "roots")
     seen = None
-    leaders, largest = 1, None
+    leaders = 1
     while True:
-        named = members.join(roots.withColumnRenamed("root", "label"), "node")
-        mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("n"))
-        mixed = mixed.filter("l <> h")
-        open_ = common.staged(named.join(mixed.select("key", "n"), "key"), f"open-{leaders}")
-        largest = open_.agg(F.max("n")).first()[0]
+        open_ = _opened(members, roots, f"open-{leaders}")
+        largest = open_.agg(F.max("size")).first()[0]
         if largest is None:
             return roots
-        outside, lead, keys = _candidates(open_.select("key", "node", "label"), leaders)
+        members = open_.select("key", "node")  # keys of one group stay so
+        outside, lead, keys = _candidates(open_, leaders)
         pairs = _pairs(outside, lead, keys.filter(F.col("meetings") <= PAIRED))
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
@@ -395,9 +399,11 @@ def groups(docs: DataFrame, sketches: DataFrame) -> DataFrame:
         if large.head(1):
             links = links.unionByName(_block_links(outside, lead, large, table, f"blocks-{leaders}"))
         links = links.join(at, "a").join(to, "b").select("ra", "rb")
-        merged = common.components(links, "ra", "rb").withColumnRenamed("root", "into")
-        roots = roots.join(merged.withColumnRenamed("node", "root"), "root", "left")
-        roots = common.staged(roots.select("node", F.coalesce("into", "root").alias("root")), f"roots-{leaders}")
+        links = common.staged(links.filter("ra <> rb").distinct(), f"links-{leaders}")
+        if links.head(1):
+            merged = common.components(links, "ra", "rb").withColumnRenamed("root", "into")
+            roots = roots.join(merged.withColumnRenamed("node", "root"), "root", "left")
+            roots = common.staged(roots.select("node", F.coalesce("into", "root").alias("root")), f"roots-{leaders}")
         if leaders >= largest:
             # everyone outside the largest group of a key has met all its members
             return roots
