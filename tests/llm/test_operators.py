@@ -401,3 +401,36 @@ def test_pipeline_keeps_columns_and_ends_in_pieces(spark, sf_dir):
         if i < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns, name
     assert docs.columns == ["doc_id", "source", "piece_ids", "n_pieces"] and docs.count() > 50
+
+
+def test_blocks_of_runs_find_what_pairs_find():
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for k in range(40):
+        words = [w if rng.random() > 0.02 else f"x{k}" for w in base]
+        texts.append(" ".join(words + words[: 8 * (k % 3)]))
+    held = []
+    for text in texts:
+        owner, run, weight = near_copies.runs([text])
+        held.append((run, weight))
+    pairs = [(i, j) for i in range(15) for j in range(25)]
+    exact = [(i, j) for i, j in pairs if near_copies.similarity(*held[i], *held[15 + j]) >= 0.8]
+    assert 0 < len(exact) < len(pairs)
+    assert [tuple(p) for p in near_copies.block_links(held[:15], held[15:]).tolist()] == exact
+    for i, j in pairs:
+        (a, wa), (b, wb) = held[i], held[15 + j]
+        _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        if len(ia):
+            bound = near_copies.highest(wa[ia].sum() / wa.sum(), wb[ib].sum() / wb.sum())
+            assert near_copies._probability_jaccard(wa, wb, ia, ib) <= bound + 1e-9
+
+
+def test_classes_do_not_depend_on_how_large_bands_are_compared(spark, awkward, monkeypatch):
+    def classes():
+        return {(r["doc_id"], r["component_id"]) for r in near_copies.near_duplicates(awkward).collect()}
+
+    paired = classes()
+    monkeypatch.setattr(near_copies, "PAIRED", 0)
+    monkeypatch.setattr(near_copies, "BLOCK_TEXTS", 2)
+    assert classes() == paired

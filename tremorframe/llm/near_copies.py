@@ -281,28 +281,17 @@ def _joining(pairs: np.ndarray, left: np.ndarray, right: np.ndarray) -> list:
     return kept
 
 
-def _block_links(outside: DataFrame, leading: DataFrame, keys: DataFrame, table: DataFrame, name: str) -> DataFrame:
-    """Links (a, b) that join groups, of outside texts and leaders (both key, node, label) of large keys.
+def _block_links(outside: DataFrame, leading: DataFrame, table: DataFrame, name: str) -> DataFrame:
+    """Links (a, b) that join groups, of outside texts and leaders of large keys.
 
     Each side is dealt by hash into as many blocks as its texts and runs need, and each block meets
     every block of the other side once.
     """
-    sized = table.select("node", "n_runs")
-    outside = outside.join(keys, "key", "left_semi").join(sized, "node").withColumn("side", F.lit(0))
-    leading = leading.join(keys, "key", "left_semi").join(sized, "node").withColumn("side", F.lit(1))
-    rows = common.staged(outside.unionByName(leading), f"{name}-rows")
-
-    def blocks(side: int) -> Column:
-        here = F.col("side") == side
-        texts = F.sum(F.when(here, 1)) / F.lit(BLOCK_TEXTS)
-        held = F.sum(F.when(here, F.col("n_runs"))) / F.lit(BLOCK_RUNS)
-        return F.greatest(F.ceil(texts), F.ceil(held), F.lit(1)).cast("int")
-
-    dealt = rows.join(rows.groupBy("key").agg(blocks(0).alias("n0"), blocks(1).alias("n1")), "key")
+    rows = outside.withColumn("side", F.lit(0)).unionByName(leading.withColumn("side", F.lit(1)))
     draw = F.xxhash64("node", "key", F.lit("block"))
     own = F.pmod(draw, F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0")) - 1))
-    dealt = dealt.select("key", "node", "label", "side", own.alias("own"), other.alias("met"))
+    dealt = rows.select("key", "node", "label", "side", own.alias("own"), other.alias("met"))
     dealt = dealt.withColumn("i", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("met")))
     dealt = dealt.withColumn("j", F.when(F.col("side") == 0, F.col("met")).otherwise(F.col("own")))
     dealt = dealt.drop("own", "met").join(table.drop("n_runs"), "node")
@@ -326,38 +315,61 @@ def _block_links(outside: DataFrame, leading: DataFrame, keys: DataFrame, table:
 
 
 def _opened(members: DataFrame, roots: DataFrame, name: str) -> DataFrame:
-    """key, node, label, size, main, out: members (key, node) of the keys that hold several groups.
+    """key, node, label, size, main, out, held, held_out: members (key, node) of keys that hold several groups.
 
-    ``main`` is the key's largest group, ``out`` the number of members outside it.
+    ``main`` is the key's largest group, ``out`` the number of members outside it; ``held`` and
+    ``held_out`` are the runs of all members and of those outside.
     """
     named = members.join(roots.withColumnRenamed("root", "label"), "node")
-    groups_ = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    keys = groups_.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most"))
-    keys = keys.filter("size > most.n")
-    keys = keys.select("key", "size", F.col("most.label").alias("main"), (F.col("size") - F.col("most.n")).alias("out"))
-    return common.staged(named.join(keys, "key"), name)
-
-
-def _candidates(open_: DataFrame, leaders: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members outside their key's largest group, leaders (both key, node, label), and keys with sizes.
-
-    A hash picks about ``leaders`` members of each key, all of them if it has no more, besides the
-    one that shares the most keys with others. More leaders include the fewer.
+    groups_ = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_runs").alias("held"))
+    keys = groups_.groupBy("key").agg(
+        F.sum("n").alias("size"), F.sum("held").alias("held"), F.max(F.struct("n", "label", "held")).alias("most")
+    )
+    keys = keys.filter("size > most.n").select(
+        "key",
+        "size",
+        "held",
+        F.col("most.label").alias("main"),
+        (F.col("size") - F.col("most.n")).alias("out"),
+        (F.col("held") - F.col("most.held")).alias("held_out"),
+    )
+    return common.staged(named.drop("n_runs").join(keys, "key"), name)
+
+
+def _candidates(open_: DataFrame, leaders: int) -> tuple[DataFrame, DataFrame]:
+    """Members outside their key's largest group, and leaders, which may repeat: key, node, label, meetings, n0, n1.
+
+    A hash picks about ``leaders`` members of each key, all of them if it has no more; the first
+    round adds the one that shares the most keys with others. More leaders include the fewer.
+    ``meetings`` is the expected number of the key's pairs, ``n0`` and ``n1`` the blocks of the sides.
     """
-    degree = open_.groupBy("node").agg(F.sum("size").alias("degree"))
-    top = open_.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node", "label")).alias("lead"))
+    led = F.least(F.col("size"), F.lit(leaders))
+
+    def blocks(texts: Column, held: Column) -> Column:
+        return F.greatest(F.ceil(texts / BLOCK_TEXTS), F.ceil(held / BLOCK_RUNS), F.lit(1)).cast("int")
+
+    sized = open_.withColumns(
+        {
+            "meetings": F.col("out") * led,
+            "n0": blocks(F.col("out"), F.col("held_out")),
+            "n1": blocks(led, F.col("held") * led / F.col("size")),
+        }
+    )
+    columns = ["key", "node", "label", "meetings", "n0", "n1"]
     draw = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = open_.filter(draw * F.col("size") < leaders).select("key", "node", "label")
-    lead = top.select("key", "lead.node", "lead.label").unionByName(drawn).distinct()
-    outside = open_.filter("label <> main").select("key", "node", "label")
-    sizes = open_.select("key", (F.col("out") * F.least("size", F.lit(leaders))).alias("meetings")).distinct()
-    return outside, lead, sizes
+    lead = sized.filter(draw * F.col("size") < leaders).select(*columns)
+    if leaders == 1:
+        degree = open_.groupBy("node").agg(F.sum("size").alias("degree"))
+        widest = F.max(F.struct("degree", *columns[1:])).alias("lead")
+        top = sized.join(degree, "node").groupBy("key").agg(widest)
+        lead = lead.unionByName(top.select("key", *[f"lead.{c}" for c in columns[1:]]))
+    return sized.filter("label <> main").select(*columns), lead
 
 
-def _pairs(outside: DataFrame, lead: DataFrame, keys: DataFrame) -> DataFrame:
+def _pairs(outside: DataFrame, lead: DataFrame) -> DataFrame:
     """Different pairs (a, b) of outside members and leaders of the same key and different labels."""
     lead = lead.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
-    pairs = outside.join(keys, "key", "left_semi").join(lead, "key").filter("label <> other")
+    pairs = outside.join(lead, "key").filter("label <> other")
     return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
@@ -376,17 +388,18 @@ def groups(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     texts = keyed_docs.join(wanted, here).select("node", "text")
     table = common.staged(_run_table(texts).dropDuplicates(["node"]), "member-runs")
 
-    roots = common.staged(members.select("node").distinct().withColumn("root", F.col("node")), "roots")
+    roots = table.select("node", F.col("node").alias("root"), "n_runs")
     seen = None
     leaders = 1
     while True:
         open_ = _opened(members, roots, f"open-{leaders}")
         largest = open_.agg(F.max("size")).first()[0]
         if largest is None:
-            return roots
+            return roots.drop("n_runs")
         members = open_.select("key", "node")  # keys of one group stay so
-        outside, lead, keys = _candidates(open_, leaders)
-        pairs = _pairs(outside, lead, keys.filter(F.col("meetings") <= PAIRED))
+        outside, lead = _candidates(open_, leaders)
+        few, many = F.col("meetings") <= PAIRED, F.col("meetings") > PAIRED
+        pairs = _pairs(outside.filter(few), lead.filter(few))
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         checked = _verified(pairs, table, f"checked-{leaders}")
@@ -395,18 +408,18 @@ def groups(docs: DataFrame, sketches: DataFrame) -> DataFrame:
         at = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         to = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         links = checked.filter(F.col("s") >= SIMILARITY).select("a", "b")
-        large = keys.filter(F.col("meetings") > PAIRED)
-        if large.head(1):
-            links = links.unionByName(_block_links(outside, lead, large, table, f"blocks-{leaders}"))
+        if outside.filter(many).head(1):
+            found = _block_links(outside.filter(many), lead.filter(many), table, f"blocks-{leaders}")
+            links = links.unionByName(found)
         links = links.join(at, "a").join(to, "b").select("ra", "rb")
         links = common.staged(links.filter("ra <> rb").distinct(), f"links-{leaders}")
         if links.head(1):
             merged = common.components(links, "ra", "rb").withColumnRenamed("root", "into")
             roots = roots.join(merged.withColumnRenamed("node", "root"), "root", "left")
-            roots = common.staged(roots.select("node", F.coalesce("into", "root").alias("root")), f"roots-{leaders}")
+            roots = common.staged(roots.select("node", F.coalesce("into", "root").alias("root"), "n_runs"), f"roots-{leaders}")
         if leaders >= largest:
             # everyone outside the largest group of a key has met all its members
-            return roots
+            return roots.drop("n_runs")
         leaders *= GROWTH
 
 
