@@ -41,7 +41,7 @@ BANDS, ROWS = 36, 6
 GROWTH = 64
 # Bands with more meetings of outside texts and leaders than this compare blocks; no block is
 # expected to hold more texts or runs than these.
-PAIRED = 4096
+PAIRED = 256
 BLOCK_TEXTS, BLOCK_RUNS = 512, 500_000
 # Columns of a run matrix that are multiplied at a time.
 _COLUMNS = 4096
