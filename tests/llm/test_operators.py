@@ -109,6 +109,15 @@ def test_pieces_match_exhaustive_search_and_round_trip(awkward):
     assert all(r["back"] == r["text"] for r in rows)
     assert all((r["ids"] is None) == (r["text"] is None) for r in rows)
 
+def test_rows_pass_through_encoding(awkward):
+    path = pieces.model_path()
+    column = pieces.encode_ids(path)("text").alias("piece_ids")
+    expected = sorted(map(repr, awkward.select("doc_id", "text", column).collect()))
+    found = pieces.encode_rows(awkward, path, "doc_id", "text")
+    assert found.columns == ["doc_id", "text", "piece_ids"]
+    assert sorted(map(repr, found.collect())) == expected
+    assert pieces.encode_rows(awkward.limit(0), path, "doc_id").collect() == []
+
 
 # -- 2, 3 ---------------------------------------------------------------------------------------
 

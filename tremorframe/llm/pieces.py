@@ -27,8 +27,10 @@ from typing import Iterator, NamedTuple, Optional
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from tremorframe.llm import common
 
@@ -36,6 +38,8 @@ SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
 _CACHE_UNITS, _CACHE_LENGTH = 400_000, 48
+# Ids of so many rows leave the worker at a time.
+_ROWS_OUT = 256
 
 
 class Vocabulary(NamedTuple):
@@ -180,6 +184,27 @@ def encode_ids(path: str):
     return encode
 
 
+def encode_rows(docs: DataFrame, path: str, *keep: str) -> DataFrame:
+    """Columns ``keep`` of ``docs`` and ``piece_ids``, the ids of its ``text``.
+
+    Rows pass through as Arrow data and ids leave every few hundred rows, so a worker holds one batch
+    of texts but neither its strings nor its ids.
+    """
+    kept = docs.select(*keep)
+    schema = StructType([*kept.schema.fields]).add("piece_ids", ArrayType(IntegerType()))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _worker(path)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, _ROWS_OUT):
+                *columns, texts = batch.slice(begin, _ROWS_OUT).columns
+                values = (text.as_py() for text in texts)
+                ids = pa.array([None if t is None else encoder.encode(t) for t in values], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*columns, ids], names=schema.names)
+
+    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(encode, schema)
+
+
 def decode_ids(path: str):
     """Column function array of piece ids -> text."""
 
