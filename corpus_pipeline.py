@@ -46,8 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ids = pieces.encode_ids(pieces.model_path())
-    coded = docs.select("doc_id", "source", ids("text").alias("piece_ids"))
+    coded = pieces.encode_rows(docs, pieces.model_path(), "doc_id", "source")
     return coded.withColumn("n_pieces", F.size("piece_ids").cast("long"))
 
 
