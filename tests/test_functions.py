@@ -165,3 +165,20 @@ def test_weights_table_round_trip(spark):
     NetworkTravelTime(back, 400.0)
     with pytest.raises(ValueError):
         load_weights(table.limit(3))
+
+
+def test_velocity_of_many_nodes(spark):
+    rng = np.random.default_rng(8)
+    depths = np.cumsum(rng.uniform(0.01, 1.0, 100_000))
+    nodes = [(z, 4.0 + i % 7, 2.0 + i % 5) for i, z in enumerate(depths.tolist())]
+    points = rng.uniform(depths[0], depths[-1], 2000).tolist() + [nodes[0][0], nodes[-1][0], nodes[777][0]]
+    df = spark.createDataFrame([(z,) for z in points], "z double")
+    got = [r[0] for r in df.select(slowness_at(nodes, F.col("z"), F.lit(1))).collect()]
+    want = 1 / np.interp(points, depths, [s for _, _, s in nodes])
+    np.testing.assert_allclose(got, want, rtol=1e-9)
+
+
+def test_velocity_depths_must_differ(spark):
+    model = spark.createDataFrame([(0.0, 5.0, 3.0), (0.0, 6.0, 3.5), (9.0, 7.0, 4.0)], "depth double, vp double, vs double")
+    with pytest.raises(ValueError, match="increase"):
+        profile_nodes(model)

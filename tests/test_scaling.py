@@ -1,12 +1,15 @@
 """Skew-proof building blocks against brute force, with thresholds low enough to use them."""
 
 import collections
+import glob
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tremorframe import lineage
 from tremorframe.operators import observations as ops
+from tremorframe.operators import scaling
 from tremorframe.operators.scaling import (
     exact_quantiles,
     first_per_key,
@@ -117,3 +120,21 @@ def test_membership_and_unordered_filter_are_idempotent(spark):
     assert sorted(ops.min_rows_per_unordered_pair(kept, 7).collect()) == sorted(kept.collect())
     counts = collections.Counter(frozenset((r[3], r[4])) for r in rows)
     assert kept.count() == sum(n for n in counts.values() if n >= 7)
+
+
+@pytest.mark.parametrize("infinite", [False, True])
+def test_quantiles_of_widely_different_magnitudes(spark, monkeypatch, infinite):
+    """Values over all magnitudes, with clusters, are narrowed down to a few rows, and no folder stays."""
+    monkeypatch.setattr(scaling, "FINAL_ROWS", 3)
+    rng = np.random.default_rng(4)
+    spread = rng.choice([-1, 1], 200) * 10.0 ** rng.uniform(-300, 300, 200)
+    values = np.concatenate([spread, 1e-200 * (1 + rng.uniform(0, 1e-9, 300)), np.zeros(5)])
+    if infinite:
+        values = np.concatenate([values, [np.inf, -np.inf]])
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    probs = {"a": 0.1, "b": 0.5, "c": 0.55, "d": 0.999}
+    row = exact_quantiles(df, [], "x", probs, lower=True, gather_rows=0).first()
+    ordered = np.sort(values)
+    assert [row[n] for n in probs] == [ordered[max(int(np.ceil(p * len(values))) - 1, 0)] for p in probs.values()]
+    folder = lineage.shared_dir(spark).removeprefix("file://")
+    assert not glob.glob(f"{folder}/values-*")

@@ -7,6 +7,7 @@ from typing import Optional
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tremorframe import lineage
 from tremorframe.functions.geodesy import EqualArea
 from tremorframe.operators.scaling import exact_quantiles, first_per_key, group_sizes, small_side
 from tremorframe.schemas import COMPONENTS
@@ -76,8 +77,19 @@ def phase_mad(
     """Median absolute deviation of ``residual`` per phase, as (phase, n_obs, mad).
 
     Medians are the lower middle element, or the mean of the middle two when ``averaging``.
-    ``rows``, when known, bounds the group sizes and saves counting them.
+    ``rows``, when known, bounds the group sizes. The result is computed at once.
     """
+    spark = resid.sparkSession
+    path = lineage.scratch_path(spark, "residuals")
+    try:
+        # both medians and the counts read the residuals, which are computed once
+        stored = lineage.as_table(resid.select("phase", "residual"), "residuals", path=path)
+        return lineage.cut(_phase_mad(stored, averaging, rows, narrow))
+    finally:
+        lineage.remove(spark, path)
+
+
+def _phase_mad(resid: DataFrame, averaging: bool, rows: Optional[int], narrow: dict) -> DataFrame:
     # phase codes are 0, 1 or NULL, so this collects at most three counts
     counted = resid.groupBy("phase").agg(F.count("residual").alias("n")).collect()
     counts = {int(r["phase"]): r["n"] for r in counted if r["phase"] is not None}

@@ -15,6 +15,8 @@ GATHER_ROWS = 1_000_000
 # Tables up to this many rows of a few numbers (about 100 MB) may be broadcast.
 BROADCAST_ROWS = 2_000_000
 _CELLS = 4096
+# Quantile cells are narrowed until the rows of distinct values left in one are no more than this.
+FINAL_ROWS = 65_536
 
 
 def small_side(df: DataFrame, rows: Optional[int]) -> DataFrame:
@@ -114,8 +116,10 @@ def exact_quantiles(
     Groups of at most ``gather_rows`` rows use the built-in exact aggregate. Larger groups are
     narrowed by counting: each pass counts rows per value cell, keeps the cell that holds the
     wanted rank, and counts again inside it, so no task ever sees more than cell counts and the few
-    distinct values left at the end. The values are written to shared storage once for that, and
-    the small table of cells after each pass. NULL and NaN values are ignored.
+    distinct values left at the end. Cells divide the range evenly; when that does not help, because
+    magnitudes differ widely, the next pass divides it by sign and logarithm. The values are written
+    to shared storage once and removed when the quantiles are known; the small table of cells is
+    written after each pass. NULL and NaN values are ignored.
     """
     by = list(by)
     data = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(
@@ -142,8 +146,25 @@ def _narrowed_quantiles(
         data = data.withColumn("_all", F.lit(0))
         n_groups = 1
     keys = by or ["_all"]
-    data = lineage.as_table(data, "values")
+    spark = data.sparkSession
+    path = lineage.scratch_path(spark, "values")
+    try:
+        data = lineage.as_table(data, "values", path=path)
+        return lineage.cut(_narrowed(data, by, keys, probs, lower, n_groups))
+    finally:
+        lineage.remove(spark, path)
 
+
+def _magnitude(x: Column) -> Column:
+    """Sign and logarithm of a double in one number: it never falls as ``x`` grows, infinities included."""
+    # the smallest double has the logarithm -744.4, the largest 709.8; zero has none
+    size = F.least(F.log(F.abs(x)) + 745.2, F.lit(1456.0))
+    return F.signum(x) * F.coalesce(size, F.lit(0.0))
+
+
+def _narrowed(
+    data: DataFrame, by: list[str], keys: list[str], probs: dict[str, float], lower: bool, n_groups: int
+) -> DataFrame:
     totals = data.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
     )
@@ -173,14 +194,15 @@ def _narrowed_quantiles(
     targets = lineage.cut(targets)
 
     width = len(wanted)
-    for _ in range(2):
+    largest, even = None, True
+    while largest is None or largest > FINAL_ROWS:
         # targets that share a cell are counted once
         cells = targets.select(*keys, "_lo", "_hi").distinct()
         inside = data.join(small_side(cells, n_groups * width), keys).filter(
             F.col("_x").between(F.col("_lo"), F.col("_hi"))
         )
-        span = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-        slot = F.floor((F.col("_x") - F.col("_lo")) / span * _CELLS)
+        at, lo, hi = (F.col(c) if even else _magnitude(F.col(c)) for c in ("_x", "_lo", "_hi"))
+        slot = F.floor((at - lo) / F.nullif(hi - lo, F.lit(0.0)) * _CELLS)
         counted = (
             inside.withColumn("_cell", F.coalesce(F.least(slot, F.lit(_CELLS - 1)), F.lit(0)))
             .groupBy(*keys, "_lo", "_hi", "_cell")
@@ -190,18 +212,24 @@ def _narrowed_quantiles(
                 F.max("_x").alias("_chi"),
             )
         )
-        narrowed = _pick(targets, counted, keys, "_cell", ["_clo", "_chi"])
+        narrowed = _pick(targets, counted, keys, "_cell", ["_clo", "_chi", "_c"])
         targets = lineage.cut(
             narrowed.select(
                 *keys,
                 F.col("_clo").alias("_lo"),
                 F.col("_chi").alias("_hi"),
+                "_c",
                 "q",
                 "side",
                 "rank",
                 "share",
             )
         )
+        # a cell of one value is as narrow as can be
+        now = targets.filter("_lo < _hi").agg(F.max("_c")).first()[0] or 0
+        targets = targets.drop("_c")
+        even = not even or (largest is not None and now * 16 <= largest)
+        largest = now
 
     cells = targets.select(*keys, "_lo", "_hi").distinct()
     left = (
