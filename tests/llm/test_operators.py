@@ -223,6 +223,24 @@ def test_signatures_estimate_probability_jaccard():
     assert math.isclose(near_copies._probability_jaccard(wa, wb, ia, ib), exact)
 
 
+def test_plain_links_are_found_however_often_runs_repeat(spark):
+    rows, pair = [], {}
+    for k, (many, few) in enumerate([(50, 2), (20, 2), (100, 10), (50, 1)] * 3):
+        line = " ".join(f"l{k}x{i}" for i in range(10))
+        rest = " ".join(f"r{k}x{i}" for i in range(100))
+        for i, n in enumerate((many, few)):
+            rows.append((10 * k + i, f"{rest} " + f"{line} " * n))
+            pair[10 * k + i] = 10 * k
+    runs = {i: near_copies.runs([t]) for i, t in rows}
+    assert all(near_copies.similarity(*runs[pair[i]][1:], *runs[i][1:]) >= 0.8 for i in pair)
+    # the text with one line of a kind repeats nothing and has 36 bands
+    keys = dict(zip(pair, near_copies.band_keys([t for _, t in rows])))
+    assert len(keys[31]) == near_copies.BANDS < len(keys[30])
+    assert all(len(np.intersect1d(keys[i], keys[pair[i]])) for i in pair)
+    found = near_copies.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == pair
+
+
 # -- 5 ------------------------------------------------------------------------------------------
 
 

@@ -5,7 +5,9 @@ weighing as often as it occurs. Every run sends exponential arrivals to random s
 rate of its weight; a slot keeps the run that arrives first. Arrivals later than the latest kept one
 cannot matter and end the run early. Two texts agree in a slot with the probability Jaccard
 similarity of their weighted runs. Slots form bands; texts that share a band are candidates, and
-candidates are verified on their whole texts.
+candidates are verified on their whole texts. A text that repeats a run has the bands of its distinct
+runs as well, all of weight 1, where texts agree with their plain Jaccard similarity; for texts that
+repeat none both are the same bands.
 
 Bands are not expanded into all pairs. In every round the texts of a band that are outside its
 largest group so far meet the band's leaders: the text that shares the most bands with others and a
@@ -16,7 +18,7 @@ left out. Bands with few such pairs emit them; in larger ones blocks of outside
 leaders as products of their run matrices, and only links that join groups leave the task.
 
 Links are exact: probability Jaccard, or plain Jaccard of the distinct runs, of at least 0.8. With
-36 bands of 6 slots a pair at 0.8 shares no band with a chance of 1.8e-5.
+36 bands of 6 slots a pair at 0.8 of either shares no band with a chance of 1.8e-5.
 
 Defined cases: rows with NULL texts and texts without words are groups of their own. Equal texts are
 one node from the start, whatever their number. A group's id is the smallest doc_id of its rows;
@@ -101,23 +103,37 @@ def signatures(n: int, owner: np.ndarray, run: np.ndarray, weight: np.ndarray, s
 
 
 def band_keys(texts: list, bands: int = BANDS, rows: int = ROWS) -> list[Optional[np.ndarray]]:
-    """64-bit key of every band of every text; None for texts without words."""
+    """Different 64-bit keys of the bands of every text; None for texts without words.
+
+    Texts that repeat a run have the bands of their counted and of their distinct runs.
+    """
     out: list[Optional[np.ndarray]] = [None] * len(texts)
     for begin in range(0, len(texts), 512):
         for lo, hi in common.slices(texts[begin : begin + 512], 2_000_000):
             lo, hi = begin + lo, begin + hi
             owner, run, weight = runs(texts[lo:hi])
-            kept = signatures(hi - lo, owner, run, weight, bands * rows)
-            key = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * _GOLD
-            grouped = kept.reshape(hi - lo, bands, rows)
-            for r in range(rows):
-                key = common.mix(key ^ grouped[:, :, r]) + np.uint64(r + 1)
-            filled = np.bincount(owner, minlength=hi - lo) > 0
-            for i in np.flatnonzero(filled):
+            key = _keys(signatures(hi - lo, owner, run, weight, bands * rows), bands, rows)
+            for i in np.flatnonzero(np.bincount(owner, minlength=hi - lo)):
                 out[lo + i] = key[i].view(np.int64)
+            heavy = np.bincount(owner, weights=weight > 1, minlength=hi - lo) > 0
+            again = heavy[owner]
+            if again.any():
+                place = (np.cumsum(heavy) - 1)[owner[again]]
+                unit = signatures(int(heavy.sum()), place, run[again], np.ones(len(place)), bands * rows)
+                for i, k in zip(np.flatnonzero(heavy), _keys(unit, bands, rows)):
+                    out[lo + i] = np.union1d(out[lo + i], k.view(np.int64))
     return out
 
 
+def _keys(kept: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(n, bands) keys of signatures."""
+    key = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * _GOLD
+    grouped = kept.reshape(len(kept), bands, rows)
+    for r in range(rows):
+        key = common.mix(key ^ grouped[:, :, r]) + np.uint64(r + 1)
+    return key
+
+
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
     """Larger of the exact probability Jaccard and the plain Jaccard similarity of two weighted run sets."""
     if not len(a) or not len(b):
