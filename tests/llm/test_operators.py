@@ -241,6 +241,22 @@ def test_plain_links_are_found_however_often_runs_repeat(spark):
     assert {r["doc_id"]: r["component_id"] for r in found} == pair
 
 
+def test_one_row_of_a_group_is_kept(spark):
+    rng = random.Random(8)
+    rows = []
+    for first in (None, 7, 8):
+        base = prose(rng, 150).split()
+        for k, doc in enumerate([first, first, 9 if first == 8 else first]):
+            rows.append((doc, " ".join(base[: 50 * k] + ["other"] * (k > 0) + base[50 * k + 1 :])))
+    rows += [(None, "quite another text of six words"), rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_copies.near_duplicates(docs).collect()
+    assert {r["component_id"] for r in found} == {None, 7, 8} and len(found) == len(rows)
+    kept = near_copies.keep_one(docs).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["7", "8", "None", "None"]
+    assert {r["node"] for r in found if r["kept"]} == {r[0] for r in spark.createDataFrame(kept).select(near_copies.node_id(common.F.col("text"))).collect()}
+
+
 # -- 5 ------------------------------------------------------------------------------------------
 
 

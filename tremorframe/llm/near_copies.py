@@ -22,7 +22,9 @@ Links are exact: probability Jaccard, or plain Jaccard of the distinct runs, of
 
 Defined cases: rows with NULL texts and texts without words are groups of their own. Equal texts are
 one node from the start, whatever their number. A group's id is the smallest doc_id of its rows;
-NULL ids come last. Repeated rows share a group. Only doc_id and text are read.
+NULL ids come last. The kept row has that id and, if several texts of the group do, the smallest
+node. Rows that repeat it in id and text share the mark; ``keep_one`` leaves one of them. Repeated
+rows share a group. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -448,12 +450,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lowest = worded.groupBy("node").agg(F.min("doc_id").alias("low"))
     named = lowest.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = common.staged(named, "named")
-    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(least, "root").select("node", "component_id")
+    first = F.min(F.struct(F.col("low").isNull().alias("unnamed"), "low", "node")).alias("first")
+    least = named.groupBy("root").agg(first)
+    named = named.join(least, "root").select(
+        "node", F.col("first.low").alias("component_id"), F.col("first.node").alias("_kept_node")
+    )
     out = worded.join(named, "node")
-    alone = sketches.filter("bands IS NULL").select("doc_id", "node", F.col("doc_id").alias("component_id"))
-    out = out.select("doc_id", "node", "component_id").unionByName(alone)
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("node") == F.col("_kept_node"))
+    out = out.select("doc_id", "node", "component_id", kept.alias("kept"))
+    alone = sketches.filter("bands IS NULL")
+    return out.unionByName(alone.select("doc_id", "node", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
