@@ -151,6 +151,21 @@ def test_nearest_over_a_small_table_is_exact(spark, table):
     assert multi_index.nearest(table.filter("false"), table).count() == 0
 
 
+def test_repeated_ids_of_a_vector_leave_room_for_its_copies(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((60, 8)).astype(np.float32).astype(np.float64)
+    x /= 2 * np.linalg.norm(x, axis=1, keepdims=True)
+    x[0] = 1.0
+    # more rows of one id than a list has, and a few; every query is a row of the hot vector
+    rows = [(20, 0)] * 30 + [(21, 0)] * 2 + [(40 + i, 0) for i in range(25)] + [(100 + i, i) for i in range(1, 60)]
+    table = spark.createDataFrame([(i, x[at].tolist()) for i, at in rows], "vec_id long, embedding array<float>")
+    found = multi_index.nearest(table, table.filter("vec_id IN (20, 21, 64)")).orderBy("query_id", "rank").collect()
+    for q in (20, 21, 64):
+        score = {at: float((x[at] * x[0]).sum()) for at in range(60)}
+        want = [i for _, i in sorted((-score[at], i) for i, at in rows if i != q)[:20]]
+        assert [r["vec_id"] for r in found if r["query_id"] == q] == want
+
+
 def test_walk_visits_cells_in_order():
     rng = np.random.default_rng(1)
     a, b = rng.standard_normal(6), rng.standard_normal(5)

@@ -13,8 +13,9 @@ walk. Recall on the test tables at ``SHARE`` of the entries is over 0.9 (the REA
 
 Defined cases: vectors that are NULL, zero, of another length than most, or that hold NULL or
 non-finite components, neither ask nor answer. Equal vectors are kept in the index with their 21
-smallest ids, which no list of 20 can exceed. Rows with the query's id are no answers to it;
-repeated query rows ask once. NULL ids are no queries and no answers. Equal scores rank by
+smallest ids, and at most 20 rows of each of these, which no list of 20 can exceed. Rows with the
+query's id are no answers to it; other rows that repeat an id are an answer each; repeated query
+rows ask once. NULL ids are no queries and no answers. Equal scores rank by
 smaller id. Fewer candidates than asked for give them all. Columns but vec_id and embedding are
 never read.
 """
@@ -78,8 +79,12 @@ def nearest(
     queries, _, _ = vectors.usable(queries.select("vec_id", "embedding").filter("vec_id IS NOT NULL"))
     queries = queries.filter(F.size("embedding") == dimension).distinct()
     # no list of k can hold more than the k + 1 smallest ids of one vector (one may be the query's own)
+    # and k rows of each; rows that agree in both are alike
     copies = W.partitionBy("embedding").orderBy("vec_id")
-    entries = entries.withColumn("_n", F.row_number().over(copies)).filter(F.col("_n") <= k + 1).drop("_n")
+    entries = entries.groupBy("vec_id", "embedding").agg(F.count(F.lit(1)).alias("_rows"))
+    entries = entries.withColumn("_n", F.row_number().over(copies)).filter(F.col("_n") <= k + 1)
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.least("_rows", F.lit(k).cast("long"))))
+    entries = entries.select("vec_id", "embedding", again.alias("_row")).drop("_row")
 
     half = dimension // 2
     points = vectors.sample(entries, dimension)
