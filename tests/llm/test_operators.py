@@ -380,6 +380,16 @@ def test_language_and_quality_on_awkward_rows(spark, awkward):
     assert {r[0] for r in awkward.select(empty("text")).collect()} == {0.5}
 
 
+def test_rows_of_a_hot_labelled_id_are_learned_once(spark):
+    rng = random.Random(9)
+    rows = [(1, prose(rng, 20)) for _ in range(200)] + [(1, None)] + [(i, prose(rng, 20)) for i in range(2, 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i > 1)) for i in range(1, 13)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    assert model.labels.tolist() == [0] + [1] * 11 and (np.abs(model.vectors).sum(axis=1) > 0).all()
+    assert sorted(quality.fit(docs.repartition(3), labels, 12).labels.tolist()) == sorted(model.labels.tolist())
+
+
 def test_mixture_finds_both_languages():
     likelihood = np.array([[0.5, 0.01], [0.49, 0.01], [0.01, 0.98]])
     share, _ = language.mixture(np.array([30.0, 30.0, 40.0]), likelihood, 200)

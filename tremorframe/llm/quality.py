@@ -10,7 +10,8 @@ Defined cases: NULL and empty texts have the zero vector and get the mean label
 does every text when nothing was learned (0.5 without labels). Texts are read whole. Similarity
 ties keep all tied neighbours, so that the order of the sample is never seen. Documents with
 several label rows count once, with the smallest label; NULL labels teach nothing. Repeated rows
-each get their own equal score; other columns are never read.
+each get their own equal score; other columns are never read. Of several rows with a labelled
+doc_id the text with the smallest hash is learned, NULL only if there is no other.
 """
 
 from __future__ import annotations
@@ -89,11 +90,13 @@ def project(counts: np.ndarray, weights: np.ndarray, basis: np.ndarray) -> np.nd
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_texts: int = TRAIN_TEXTS) -> Model:
-    """Model from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality): at most ``train_texts`` rows."""
+    """Model from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality): at most ``train_texts`` rows, one of each doc_id."""
     marked = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL")
     marked = marked.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_texts)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    first = F.min(F.struct(F.col("text").isNull().alias("none"), F.xxhash64("text").alias("draw"), "text"))
+    texts = texts.groupBy("doc_id", "quality").agg(first.alias("first")).select("doc_id", "quality", "first.text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -111,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_texts: int = TRAIN_TEXTS) -> M
                 )
 
     rows = texts.mapInPandas(count, "doc_id long, quality int, terms binary, counts binary").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["terms"]), bytes(r["counts"])))[:train_texts]
+    rows = sorted(rows, key=lambda r: r["doc_id"])
     matrix = np.zeros((len(rows), TERMS), dtype=np.float32)
     for i, r in enumerate(rows):
         matrix[i, np.frombuffer(bytes(r["terms"]), dtype="<i4")] = np.frombuffer(bytes(r["counts"]), dtype="<f4")
