@@ -166,6 +166,29 @@ def test_repeated_ids_of_a_vector_leave_room_for_its_copies(spark):
         assert [r["vec_id"] for r in found if r["query_id"] == q] == want
 
 
+@pytest.mark.parametrize("hot", [0, 2000])
+def test_recall_of_a_walk_that_leaves_cells_out(spark, hot):
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((6000, 32)).astype(np.float32).astype(np.float64)
+    x[:hot] = x[0] + 0.01 * rng.standard_normal((hot, 32)).astype(np.float32)
+    x = x.astype(np.float32).astype(np.float64)
+    assert multi_index.SHARE * len(x) > multi_index.LEAST
+    table = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    found = {}
+    for r in multi_index.nearest(table, table.filter("vec_id % 40 = 0")).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    score = x[::40] @ x.T
+    score[np.arange(150), np.arange(0, 6000, 40)] = -np.inf
+    best = np.argsort(-score, axis=1)[:, :20]
+    # the hot cell's queries and the others each, so that neither makes up for the other
+    parts = [range(hot // 40, 150)] + [range(hot // 40)] * (hot > 0)
+    for k, part in enumerate(parts):
+        hits = sum(len(found[40 * i] & set(best[i].tolist())) for i in part)
+        assert hits >= 0.9 * 20 * len(part), (k, hits / 20 / len(part))
+        if k == 0:
+            assert hits < 20 * len(part)  # nothing is lost only where nothing is left out
+
+
 def test_walk_visits_cells_in_order():
     rng = np.random.default_rng(1)
     a, b = rng.standard_normal(6), rng.standard_normal(5)
