@@ -19,7 +19,9 @@ from tremorframe.llm import common, language, mixing, near_copies, pieces, quali
 
 MIN_LANGUAGE_SHARE = 0.5
 
-# Classifiers and signatures are not SQL; tests/llm compares the stages with brute force.
+# Classifiers and signatures are not SQL. tests/llm compares the operators of near copies, mixing and
+# pieces with brute force on small tables, language identification with held-out labels, and quality
+# not at all beyond its bounds; of the stages in a row it checks columns and that rows are left.
 ORACLE_SQL = None
 
 
