@@ -11,11 +11,17 @@ from tremorframe.llm import (
     near_copies,
     pieces,
     quality,
+    shards,
+    spelling,
     url_rules,
     vector_groups,
+    whitening,
 )
 
-_MODULES = (pieces, multi_index, vector_groups, near_copies, mixing, chat, language, quality, url_rules, bigram_trie)
+_MODULES = (
+    pieces, multi_index, vector_groups, near_copies, mixing, chat, language, quality, url_rules, bigram_trie,
+    shards, whitening, spelling,
+)
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
