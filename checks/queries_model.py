@@ -235,6 +235,45 @@ def event_gradient(spark, sf_dir):
     return rounded(out, 6)
 
 
+@query(
+    q.with_(*SCENE, q.gradient("g", "state", UNC, EV, CE)) + f"SELECT evid, {_SHOW_GRADIENT} FROM g"
+)
+def blocked_gradient(spark, sf_dir):
+    """The gradient as it is found for states too large to broadcast: the state goes to the observations."""
+    obs, origins = fx.observations_view(spark, sf_dir), fx.origins(spark, sf_dir)
+    run = plan.start_run(origins, obs, fx.PARAMS, fx.MODEL, broadcast_events=0, block_events=5000, block_rows=100_000)
+    state = fx.state(spark, sf_dir)
+    with run.planning():
+        graded = objective.event_gradient(run.obs, state, fx.MODEL, UNC, fx.PRIORS, run.n_obs, None, run.n_events)
+        out = graded.select("evid", *[(F.col(f"g_{c}") * 1e6).alias(f"g_{c}") for c in COMPONENTS])
+        out = lineage.as_table(rounded(out, 6), "gradient")
+    plan.end_run(run, keep_state=False)
+    return out
+
+
+@query(
+    q.with_(*q.BASE)
+    + f"""SELECT evid1, evid2, phase, count(*) AS first_epoch, count(*) AS second_epoch, {q.r('sum(dt)', 6, 'sum_dt')}
+FROM obs GROUP BY evid1, evid2, phase"""
+)
+def minibatch_epoch(spark, sf_dir):
+    """Rows of two epochs of minibatches: each row comes once in each."""
+    obs, origins = fx.observations_view(spark, sf_dir), fx.origins(spark, sf_dir)
+    run = plan.start_run(origins, obs, fx.PARAMS, fx.MODEL)
+    rows = [part.withColumn("epoch", F.lit(e)) for e in range(2) for part, _ in plan.minibatches(run, run.n_obs // 5, e)]
+    every = rows[0]
+    for part in rows[1:]:
+        every = every.unionByName(part)
+    found = every.groupBy("evid1", "evid2", F.col("phase").cast("int").alias("phase")).agg(
+        F.count_if(F.col("epoch") == 0).alias("first_epoch"),
+        F.count_if(F.col("epoch") == 1).alias("second_epoch"),
+        F.sum(F.when(F.col("epoch") == 1, F.col("dt"))).alias("sum_dt"),
+    )
+    found = lineage.as_table(rounded(found, 6, "sum_dt"), "epochs")
+    plan.end_run(run, keep_state=False)
+    return found
+
+
 WARM_SCENE = [*SCENE, q.WARM, q.gradient("g", "warm", UNC, EV, CE)]
 
 
@@ -403,7 +442,7 @@ def map_relocation(spark, sf_dir):
         fx.origins(spark, sf_dir), fx.observations_view(spark, sf_dir), params, fx.MODEL
     )
     plan.map_phase(run)
-    run.obs.unpersist()
+    plan.end_run(run)
     return _shown(run.state, moves=8, first=11, second=15)
 
 

@@ -1,5 +1,7 @@
 """Whole runs: descent, sampling, resume rules, minibatches, logs."""
 
+import os
+import re
 from dataclasses import replace
 
 import numpy as np
@@ -8,13 +10,16 @@ from pyspark.sql import functions as F
 
 from tremorframe.functions.geodesy import EqualArea
 from tremorframe.functions.travel_time import StraightRay
+from tremorframe import lineage
 from tremorframe.operators import forward
+from tremorframe.operators.blocks import ObservationBlocks
+from tremorframe.operators.minibatches import permuted, store_minibatches
 from tremorframe.params import RunParams
 from tremorframe.plans import relocate as plan
 from tremorframe.plans.training_pairs import Box, training_pairs
 from tremorframe.schemas import COMPONENTS
 from tremorframe.sources import sample_store, tables
-from tremorframe.sources.run_store import RunStore, read_metrics
+from tremorframe.sources.run_store import RunStore, read_config, read_metrics
 
 PARAMS = RunParams(
     lat_min=32.5,
@@ -120,6 +125,94 @@ def replace_params(run, **changes):
     return run
 
 
+def test_minibatches_are_cells_of_one_table(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("id AS arid", "id * 2 AS x")
+    store = store_minibatches(rows, 5000, 100, str(tmp_path), most_buckets=30)
+    assert (store.n_batches, store.n_buckets, store.n_slices) == (50, 30, 14)
+    orders = []
+    for epoch in range(2):
+        cells = [c for b in range(50) for c in store.cells(b, epoch)]
+        assert sorted(cells) == [(b, s) for b in range(30) for s in range(14)]
+        orders.append(cells)
+    assert orders[0] != orders[1]
+    part, n = store.batch(7, 0)
+    got = [r["arid"] for r in part.collect()]
+    assert part.columns == ["arid", "x"] and len(got) == len(set(got)) == n
+    # only the folders of its cells are read
+    part.write.format("noop").mode("overwrite").save()
+    scan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: []" not in scan and "EqualTo(_slice" in scan.split("PushedFilters")[1]
+    seen = sorted(r["arid"] for rows, _ in store.epoch(3) for r in rows.collect())
+    assert seen == list(range(5000))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 257, 4096])
+def test_cells_are_permuted(n):
+    assert sorted(permuted(i, n, "k") for i in range(n)) == list(range(n))
+
+
+def ancestors(plan_text, mark):
+    """Lines of the operators above the first line that holds ``mark``."""
+    lines = plan_text.split("\n")
+    at = next(i for i, line in enumerate(lines) if mark in line)
+    depth = lambda line: len(re.match(r"[\s:|+\-*()0-9]*", line).group())
+    out, level = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < level:
+            level = depth(line)
+            out.append(line.strip())
+    return out
+
+
+def test_blocks_give_the_same_steps_without_moving_observations(spark, tmp_path, synthetic):
+    origins, obs, _ = synthetic
+    # a hot pair, whose block is split
+    obs = obs.unionByName(obs.filter("evid1 = 0 AND evid2 = 1").crossJoin(spark.range(40)).drop("id"))
+    near = plan.start_run(origins, obs, PARAMS, StraightRay())
+    far = plan.start_run(origins, obs, PARAMS, StraightRay(), broadcast_events=0, block_events=3, block_rows=200)
+    assert isinstance(far.obs, ObservationBlocks) and far.obs.side == 4 and far.obs.n_blocks > 16
+    assert far.rows.count() == near.n_obs == far.n_obs
+    graded = plan._graded(far, far.obs, far.n_obs)
+    with far.planning():
+        text = graded._jdf.queryExecution().executedPlan().toString()
+    above = ancestors(text, "Bucketed: true")
+    upto = next(i for i, line in enumerate(above) if "HashAggregate" in line)
+    assert sum("ShuffledHashJoin" in line for line in above[:upto]) == 2
+    assert not any("Exchange" in line for line in above[:upto])
+    for run in (near, far):
+        for _ in range(2):
+            plan.adam_step(run, run.obs, run.n_obs)
+        plan.langevin_step(run, run.obs, run.n_obs, 0.5)
+    assert np.abs(positions(near) - positions(far)).max() < 1e-9
+    assert plan._epoch_metrics(near, [1.0])["mad_p"] == pytest.approx(plan._epoch_metrics(far, [1.0])["mad_p"])
+    parts = list(plan.minibatches(far, 300, 0))
+    assert sum(n for _, n in parts) == far.n_obs
+    path = far.obs.path
+    plan.end_run(far)
+    assert not os.path.exists(path) and len(positions(far)) == 10
+    assert far.obs.name not in [t.name for t in spark.catalog.listTables()]
+    plan.end_run(near)
+
+
+def test_runs_leave_nothing_but_their_state(spark, tmp_path, synthetic):
+    origins, obs, _ = synthetic
+    shared = lineage.shared_dir(spark)
+    scratch = lambda: {f for f in os.listdir(shared) if f.startswith(("relocat", "observations"))}
+    before = scratch()
+    params = folders(tmp_path, phase1_epochs=1, phase4_epochs=1, batch_size_warmup=300, save_every_n=1)
+    run = plan.relocate(origins, obs, replace(params, config_outfile=str(tmp_path / "config")), StraightRay())
+    assert scratch() - before == {os.path.basename(run.folder)}
+    assert os.listdir(run.folder) == ["state"] and run.state.count() == 10
+    config = read_config(spark, str(tmp_path / "config")).first()
+    assert config["run_id"] == "run" and config["config"]["phase1_epochs"] == "1"
+    assert config["config"]["total_events"] == "10" and config["config"]["total_dtimes"] == "630"
+    with pytest.raises(ValueError):
+        plan.relocate(origins, obs.withColumn("evid1", F.lit(99).cast("long")), params, StraightRay())
+    with pytest.raises(Exception):
+        plan.relocate(origins, obs, replace(params, lr_sgld=-1.0, reset_batch_numbers=True), StraightRay())
+    assert scratch() - before == {os.path.basename(run.folder)}
+
+
 def test_full_run_saves_each_draw_once(spark, tmp_path, synthetic):
     origins, obs, _ = synthetic
     params = folders(
@@ -174,7 +267,7 @@ def test_resume_continues_the_sampler(spark, tmp_path, synthetic):
         (None, {}, ("phase1", 0, None)),
         ("phase1", {}, ("phase1", 5, "phase1")),
         ("map", {}, ("phase1", 5, "phase1")),
-        ("Phase 3", {}, ("phase3", 5, "phase3")),
+        ("phase3", {}, ("phase3", 5, "phase3")),
         ("phase4", {}, ("phase4", 5, "phase4")),
         ("warmup", {}, ("phase4", 5, "phase4")),
         ("phase4", {"clear_samples_on_reset": True}, ("phase2", 0, "phase4")),

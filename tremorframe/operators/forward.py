@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from typing import Optional
+from typing import Optional, Union
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremorframe import lineage
 from tremorframe.functions.geodesy import EqualArea
+from tremorframe.operators.blocks import ObservationBlocks
 from tremorframe.operators.scaling import exact_quantiles, first_per_key, group_sizes, small_side
 from tremorframe.schemas import COMPONENTS
 
+Observations = Union[DataFrame, ObservationBlocks]
+
 
 def initial_state(origins: DataFrame, lat_min: float, lon_min: float) -> DataFrame:
     """Event state at the catalog positions, with zero shifts and zero optimizer memory.
@@ -35,11 +38,14 @@ def initial_state(origins: DataFrame, lat_min: float, lon_min: float) -> DataFra
     )
 
 
-def attach_sources(obs: DataFrame, state: DataFrame, n_events: Optional[int] = None) -> DataFrame:
+def attach_sources(obs: Observations, state: DataFrame, n_events: Optional[int] = None) -> DataFrame:
     """Join both ends of each observation to the current event positions and time shifts.
 
     ``n_events`` is the known size of ``state``; a small state is broadcast, a large one joined.
+    Observations in blocks stay where they are and get their parts of the state.
     """
+    if isinstance(obs, ObservationBlocks):
+        return obs.attach(state)
     out = obs
     for end in ("1", "2"):
         side = state.selectExpr(
@@ -52,7 +58,7 @@ def attach_sources(obs: DataFrame, state: DataFrame, n_events: Optional[int] = N
 
 
 def predict_dt(
-    obs: DataFrame,
+    obs: Observations,
     state: DataFrame,
     model,
     gradients: bool = False,
@@ -64,7 +70,7 @@ def predict_dt(
 
 
 def residuals(
-    obs: DataFrame, state: DataFrame, model, n_events: Optional[int] = None
+    obs: Observations, state: DataFrame, model, n_events: Optional[int] = None
 ) -> DataFrame:
     """Observation columns with ``dt_pred`` and ``residual`` = observed minus predicted."""
     out = predict_dt(obs, state, model, n_events=n_events)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorframe.functions.travel_time import number
-from tremorframe.operators.forward import predict_dt
+from tremorframe.operators.forward import Observations, predict_dt
 from tremorframe.operators.scaling import small_side
 from tremorframe.schemas import COMPONENTS
 
@@ -43,7 +43,7 @@ _HUBER = "CASE WHEN abs(_u) <= 1 THEN 0.5D * _u * _u ELSE abs(_u) - 0.5D END"
 
 
 def likelihood(
-    obs: DataFrame,
+    obs: Observations,
     state: DataFrame,
     model,
     phase_unc: tuple[float, float],
@@ -72,7 +72,7 @@ def prior_terms(state: DataFrame, n_obs: int | Column, priors: Priors) -> DataFr
 
 
 def posterior(
-    obs: DataFrame,
+    obs: Observations,
     state: DataFrame,
     model,
     phase_unc: tuple[float, float],
@@ -103,7 +103,7 @@ def posterior(
 
 
 def event_sums(
-    obs: DataFrame,
+    obs: Observations,
     state: DataFrame,
     model,
     phase_unc: tuple[float, float],
@@ -135,7 +135,7 @@ def event_sums(
 
 
 def event_gradient(
-    obs: DataFrame,
+    obs: Observations,
     state: DataFrame,
     model,
     phase_unc: tuple[float, float],

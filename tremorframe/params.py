@@ -23,6 +23,7 @@ class RunParams:
     samples_outfile: Optional[str] = None
     checkpoint_dir: Optional[str] = None
     metrics_outfile: Optional[str] = None
+    config_outfile: Optional[str] = None
 
     evid_type: str = "auto"
     event_lat_bounds: Optional[tuple[float, float]] = None

@@ -91,6 +91,8 @@ RUN_METRICS = T.StructType(
     ]
 )
 
+RUN_CONFIG = _struct({"config": T.MapType(_S, _S), "run_id": _S})
+
 NETWORK_WEIGHTS = T.StructType(
     [
         T.StructField("layer", T.IntegerType()),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremorframe import schemas
+from tremorframe.params import RunParams
 
 _SEQ = T.StructField("seq", T.LongType())
 _RUN_STATE = T.StructType([*schemas.RUN_STATE.fields, _SEQ])
@@ -167,9 +168,6 @@ CONFIG_KEYS = [
     "phase_unc",
     "prior_event_std",
     "prior_centroid_std",
-    "devices",
-    "n_warmup_epochs",
-    "n_sgld_epochs",
 ]
 
 
@@ -187,3 +185,16 @@ def run_config(
         config["total_dtimes"] = total_dtimes
     text = {k: str(list(v) if isinstance(v, tuple) else v) for k, v in config.items()}
     return spark.createDataFrame([(text,)], "config map<string,string>")
+
+
+def write_config(
+    spark: SparkSession, params: RunParams, total_events: int, total_dtimes: int, run_id: str = "run"
+) -> None:
+    """Store the configuration of a run; a later start of the same run replaces it."""
+    row = run_config(spark, params.as_dict(), total_events, total_dtimes).withColumn("run_id", F.lit(run_id))
+    _write_partition(row.coalesce(1), params.config_outfile, "run_id")
+
+
+def read_config(spark: SparkSession, path: str) -> DataFrame:
+    """run_id, config of every run that has stored its configuration below ``path``."""
+    return _read(spark, path, schemas.RUN_CONFIG)
