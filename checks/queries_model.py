@@ -8,17 +8,18 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
+from checks import network_sql as net
 from checks import sql as q
 from checks.registry import query, rounded
 from tremorframe import lineage
 from tremorframe.functions.geodesy import EqualArea, distance3
-from tremorframe.functions.network import NetworkTravelTime
+from tremorframe.functions.network import NetworkTravelTime, load_weights
 from tremorframe.functions.velocity import profile_nodes, slowness_at
 from tremorframe.operators import forward, objective, updates
 from tremorframe.operators import observations as ops
 from tremorframe.plans import relocate as plan
 from tremorframe.plans.training_pairs import Box, training_pairs as make_pairs
-from tremorframe.schemas import COMPONENTS
+from tremorframe.schemas import COMPONENTS, NETWORK_WEIGHTS
 from tremorframe.sources import run_store, sample_store, tables
 
 UNC, EV, CE = fx.PHASE_UNC, fx.PRIORS.event_std, fx.PRIORS.centroid_std
@@ -514,32 +515,66 @@ def latest_checkpoint(spark, sf_dir):
 # --- learned travel time -----------------------------------------------------------------------------
 
 
-def network_model(width: int = 128, blocks: int = 5, dtype=np.float32) -> NetworkTravelTime:
-    """A network of the full architecture with weights from a fixed rule."""
+def network_weights(width: int = net.WIDTH, blocks: int = net.BLOCKS):
+    """Rows of a weights table of the full architecture, by a fixed rule."""
     sizes = [(width, 4)] + [(width, width)] * (2 * blocks) + [(1, width)]
-    layers = []
+    rows = []
     for k, (n_out, n_in) in enumerate(sizes):
         i = np.arange(n_out * n_in, dtype=np.float64)
-        w = np.sin(1.0 + 0.7 * i + 3.0 * k).reshape(n_out, n_in) / np.sqrt(n_in)
-        layers.append((w, 0.1 * np.cos(np.arange(n_out) + k)))
-    return NetworkTravelTime(layers, scale=400.0, dtype=dtype)
+        w = np.sin(1.0 + 0.7 * i + 3.0 * k) / np.sqrt(n_in)
+        rows.append((k, n_out, n_in, w.tolist(), (0.1 * np.cos(np.arange(n_out) + k)).tolist()))
+    return rows
 
 
-@query()
-def network_travel_time(spark, sf_dir):
-    obs, state = fx.observations_view(spark, sf_dir), fx.state(spark, sf_dir)
-    timed = network_model().attach(forward.attach_sources(obs, state))
-    return timed.select("network", "station", "evid1", "evid2", "phase", "t1", "t2")
+def network_model(width: int = net.WIDTH, blocks: int = net.BLOCKS, dtype=np.float32) -> NetworkTravelTime:
+    layers = [(np.reshape(w, (n_out, n_in)), np.array(b)) for _, n_out, n_in, w, b in network_weights(width, blocks)]
+    return NetworkTravelTime(layers, scale=net.SCALE, dtype=dtype)
 
 
-@query()
-def network_slowness(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir)
-    slow = network_model().receiver_slowness(pairs, "s_pred")
-    return slow.select("id", "phase", "s_true", "s_pred")
+def stored_network(spark) -> NetworkTravelTime:
+    """The network in double precision, its weights written as a table and loaded from it."""
+    path = lineage.scratch_path(spark, "weights")
+    try:
+        spark.createDataFrame(network_weights(), NETWORK_WEIGHTS).write.parquet(path)
+        return NetworkTravelTime(load_weights(spark.read.parquet(path)), scale=net.SCALE, dtype=np.float64)
+    finally:
+        lineage.remove(spark, path)
 
 
-# --- training pairs ----------------------------------------------------------------------------------
+_FLAT = "sqrt((x - rx) * (x - rx) + (y - ry) * (y - ry))"
+_FEATURES = [f"{_FLAT} / {net.SCALE}", f"z / {net.SCALE}", f"rz / {net.SCALE}", "CAST(phase AS DOUBLE)"]
+# one row per event, receiver and phase
+_TRIPLES = """ends AS MATERIALIZED (
+SELECT row_number() OVER () AS id, * FROM (SELECT DISTINCT * FROM (
+SELECT evid1 AS evid, phase, x1 AS x, y1 AS y, z1 AS z, d1 / v AS t0, "X" AS rx, "Y" AS ry, "Z" AS rz FROM p UNION ALL
+SELECT evid2, phase, x2, y2, z2, d2 / v, "X", "Y", "Z" FROM p))),
+timed AS MATERIALIZED (SELECT evid, phase, rx, ry, rz, t0 * c AS t FROM ends JOIN o USING (id))"""
+
+
+def _timed(end):
+    at = " AND ".join(f't{end}.r{a.lower()} = p."{a}"' for a in "XYZ")
+    return f"JOIN timed t{end} ON t{end}.evid = p.evid{end} AND t{end}.phase = p.phase AND {at}"
+
+
+@query(
+    q.with_(
+        *SCENE,
+        q.predicted("p", "state"),
+        net.weights(),
+        _TRIPLES.split(",\ntimed")[0],
+        *net.network("o", "ends", "id", _FEATURES),
+        "timed" + _TRIPLES.split(",\ntimed")[1],
+    )
+    + f"""SELECT p.network, p.station, evid1, evid2, p.phase, {q.r('t1.t', 7, 't1')}, {q.r('t2.t', 7, 't2')}
+FROM p {_timed(1)} {_timed(2)}"""
+)
+def network_travel_time(spark, sf_dir):
+    obs, state = fx.observations_view(spark, sf_dir), fx.state(spark, sf_dir)
+    near = forward.by_receiver(obs, 4 * spark.sparkContext.defaultParallelism)
+    timed = stored_network(spark).attach(forward.attach_sources(near, state, state.count()))
+    names = ["network", "station", "evid1", "evid2", "phase", "t1", "t2"]
+    return rounded(timed.select(*names), 7, "t1", "t2").withColumn("phase", F.col("phase").cast("int"))
+
 
 _BOX = Box(scale=50.0, z_min=-5.0, z_max=20.0)
 
@@ -549,6 +584,8 @@ def _pairs(spark, sf_dir):
     return make_pairs(ids, _BOX, profile_nodes(fx.velocity_model(spark)), seed=5)
 
 
+# --- training pairs ----------------------------------------------------------------------------------
+
 def _key(tag):
     return f"concat_ws(':', '5', CAST(o_orderkey AS VARCHAR), '{tag}')"
 
@@ -566,6 +603,43 @@ slow AS (SELECT pairs.*, 1 / (CASE WHEN phase = 1 THEN s0 + (z_rec - z0) * (s1 -
   ELSE p0 + (z_rec - z0) * (p1 - p0) / (z1 - z0) END) AS s_true
 FROM pairs JOIN bracket ON z_rec >= z0 AND (z_rec < z1 OR (z_rec = z1 AND z1 = 20e0)))"""
 
+# gradient at the receiver: correction times the ray's direction over the velocity, plus ray time times
+# the correction's own slope
+_REACH = "sqrt((x_src - x_rec) * (x_src - x_rec) + (y_src - y_rec) * (y_src - y_rec) + (z_src - z_rec) * (z_src - z_rec))"
+_FLAT_PAIR = "sqrt((x_src - x_rec) * (x_src - x_rec) + (y_src - y_rec) * (y_src - y_rec))"
+_ALONG = {
+    a: f"CASE WHEN {_FLAT_PAIR} > 0 THEN -({a}_src - {a}_rec) / {_FLAT_PAIR} * g[1] / {net.SCALE} ELSE 0e0 END" for a in "xy"
+} | {"z": f"g[3] / {net.SCALE}"}
+_TERMS = [
+    f"(CASE WHEN {_REACH} = 0 THEN 0e0 ELSE c * ({a}_rec - {a}_src) / {_REACH} / v END + {_REACH} / v * {_ALONG[a]})"
+    for a in "xyz"
+]
+
+
+@query(
+    q.with_(
+        q.VELMOD,
+        _BRACKET,
+        _PAIRS,
+        net.weights(),
+        *net.network(
+            "o",
+            "slow",
+            "id",
+            [f"{_FLAT_PAIR} / {net.SCALE}", f"z_src / {net.SCALE}", f"z_rec / {net.SCALE}", "CAST(phase AS DOUBLE)"],
+            gradient=True,
+        ),
+    )
+    + f"""SELECT id, phase, {q.r('s_true', 7, 's_true')},
+{q.r(f"sqrt({' + '.join(f'{t} * {t}' for t in _TERMS)})", 7, 's_pred')}
+FROM (SELECT slow.*, c, g, CASE WHEN phase >= 0.5 THEN 3.3e0 ELSE 6e0 END AS v FROM slow JOIN o USING (id))"""
+)
+def network_slowness(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    slow = stored_network(spark).receiver_slowness(pairs, "s_pred")
+    return rounded(slow.select("id", "phase", "s_true", "s_pred"), 7)
+
+
 _PAIR_COLUMNS = ["x_src", "y_src", "z_src", "x_rec", "y_rec", "z_rec", "s_true"]
 
 

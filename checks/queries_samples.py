@@ -461,7 +461,7 @@ def contour_levels(spark, sf_dir):
 
 _KDE = """st AS (SELECT evid, coord, count(*) AS n, avg(v) AS mean, stddev_samp(v) AS s, min(v) AS a, max(v) AS b,
   (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34e0 AS iqr FROM m GROUP BY evid, coord),
-gr AS (SELECT *, (hi - lo) / 63e0 AS step FROM (SELECT *, 0.9e0 * least(s, iqr) * pow(n, -0.2e0) AS h,
+gr AS (SELECT *, (hi - lo) / 511e0 AS step FROM (SELECT *, 0.9e0 * least(s, iqr) * pow(n, -0.2e0) AS h,
   least(-300e0, a - mean - 0.05e0 * (b - a + 1e-9)) AS lo,
   greatest(300e0, b - mean + 0.05e0 * (b - a + 1e-9)) AS hi FROM st)),
 pl AS (SELECT evid, coord, (v - mean - lo) / step AS t FROM m JOIN gr USING (evid, coord)),
@@ -479,10 +479,10 @@ w AS (SELECT evid, coord, i, sum(w) AS w FROM (
     )
     + f"""SELECT evid, coord, CAST(k AS INT) AS i, {q.r('lo + k * step', 5, 'x')},
 {q.r("sum(w * exp(-0.5e0 * ((k - i) * step / h) * ((k - i) * step / h))) / (n * h * 2.5066282746310002e0)", 7, 'density')}
-FROM gr JOIN w USING (evid, coord), range(0, 64) g(k) GROUP BY evid, coord, k, lo, step, n, h"""
+FROM gr JOIN w USING (evid, coord), range(0, 512) g(k) GROUP BY evid, coord, k, lo, step, n, h"""
 )
 def density_curve(spark, sf_dir):
-    curves = distributions.density_curve(fx.samples(spark, sf_dir), n_eval=64)
+    curves = distributions.density_curve(fx.samples(spark, sf_dir))
     return rounded(rounded(curves, 5, "x"), 7, "density")
 
 

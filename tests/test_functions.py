@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from checks.queries_model import network_model
 from tremorframe.functions.geodesy import EqualArea
-from tremorframe.functions.network import NetworkTravelTime, evaluate, load_weights
+from tremorframe.operators import forward
+from tremorframe.functions.network import NetworkTravelTime, Remembered, evaluate, load_weights
 from tremorframe.functions.portable_random import gaussian, uniform, uniform_pair
 from tremorframe.functions.travel_time import StraightRay
 from tremorframe.functions.velocity import interpolate, profile_nodes, slowness_at
@@ -134,6 +135,41 @@ def test_source_at_receiver_has_zero_gradient(spark):
     assert (row["t1"], row["g1x"], row["g1y"], row["g1z"]) == (0.0, 0.0, 0.0, 0.0)
 
 
+def test_equal_rows_are_found_once():
+    rng = np.random.default_rng(4)
+    seen, calls = Remembered(3, 2, entries=64), []
+
+    def find(rows):
+        calls.append(len(rows))
+        return np.column_stack([rows.sum(axis=1), rows[:, 0] * 7])
+
+    pool = rng.normal(size=(40, 3))
+    pool[0], pool[1] = (0.0, 0.0, 0.0), (np.nan, 1.0, 2.0)
+    for _ in range(20):
+        rows = pool[rng.integers(0, 40, 300)]
+        np.testing.assert_array_equal(seen.get(rows, find), np.column_stack([rows.sum(axis=1), rows[:, 0] * 7]))
+    # entries that clash are found again, the others once
+    assert calls[0] <= 40 and sum(calls[1:]) < 20 * 40
+    # more distinct rows than entries
+    rows = rng.normal(size=(500, 3))
+    np.testing.assert_array_equal(seen.get(rows, find)[:, 0], rows.sum(axis=1))
+    one = Remembered(3, 2, entries=1 << 12)
+    one.get(pool, find)
+    before = len(calls)
+    one.get(pool[::-1], find)
+    assert len(calls) - before <= 1
+
+
+def test_observations_of_a_receiver_share_a_task(spark):
+    rows = spark.range(2000).selectExpr(
+        "id % 50 AS evid1", "id % 49 AS evid2", "double(id % 7) AS X", "1D AS Y", "2D AS Z", "int(id % 2) AS phase"
+    )
+    for spread, most in ((1, 1), (3, 3)):
+        near = forward.by_receiver(rows, 16, spread).withColumn("task", F.spark_partition_id())
+        tasks = near.groupBy("X", "phase").agg(F.countDistinct("task").alias("n")).agg(F.max("n")).first()[0]
+        assert tasks <= most and near.rdd.getNumPartitions() == 16
+
+
 def test_receiver_slowness_of_network(spark):
     model = network_model(16, 2, np.float64)
     src, rec = ("x_src", "y_src", "z_src"), ("x_rec", "y_rec", "z_rec")

@@ -231,7 +231,7 @@ def test_levels_start_at_the_smallest_count_when_no_cell_is_empty(spark):
 def test_density_curve(spark, gather_rows):
     rng = np.random.default_rng(3)
     xs = rng.normal(3, 0.05, 400)
-    df = chain_frame(spark, {1: xs, 2: np.full(5, 1.0)})
+    df = chain_frame(spark, {1: xs, 2: np.full(5, 1.0), 3: [float("nan"), float("inf")]})
     df = df.unionByName(df.filter("draw = 0").withColumns({"X": F.lit(float("nan")), "draw": F.lit(999)}))
     rows = distributions.density_curve(df, ["X"], gather_rows=gather_rows).collect()
     curve = sorted((r["i"], r["x"], r["density"]) for r in rows if r["evid"] == 1)
@@ -247,6 +247,25 @@ def test_density_curve(spark, gather_rows):
     flat = [r["density"] for r in rows if r["evid"] == 2]
     step = 600 / 511
     assert sum(flat) * step == pytest.approx(1, abs=1e-6)
+    none = sorted((r["i"], r["x"], r["density"]) for r in rows if r["evid"] == 3)
+    assert len(none) == 512 and none[0][1] == -1.0 and none[-1][1] == pytest.approx(1.0)
+    assert all(d == 0.0 for _, _, d in none)
+
+
+def test_smoothing_is_within_its_bound_of_the_exact_sum():
+    rng = np.random.default_rng(12)
+    for n in (2, 3, 64, 512, 700):
+        grid = rng.random((40, n)) * (rng.random((40, n)) < 0.3)
+        width = 10.0 ** rng.uniform(-2, 3.5, 40)
+        width[:3] = (0.0, -1.0, np.nan)
+        got = distributions.smoothed(grid, width)
+        assert np.array_equal(got[:3], grid[:3])
+        at = np.arange(n)
+        for g, w, row in zip(grid[3:], width[3:], got[3:]):
+            kernel = np.exp(-0.5 * ((at[:, None] - at[None, :]) / w) ** 2) / (w * np.sqrt(2 * np.pi))
+            norm = np.sqrt((np.exp(-(np.arange(1 - n, n) / w) ** 2) / (2 * np.pi * w * w)).sum())
+            bound = 16 * np.finfo(float).eps * np.log2(4 * n) * np.linalg.norm(g) * norm
+            assert np.abs(row - kernel @ g).max() <= bound
 
 
 def test_event_selection(spark):

@@ -1,5 +1,10 @@
 """Learned multiplicative travel-time correction, evaluated in Arrow batches with numpy.
 
+The correction of an event, a receiver and a phase is the same in every observation of them, so each
+task runs the network once per distinct triple: repeats within a batch are found by hash and those of
+earlier batches in a table of fixed size. ``costly`` asks for observations that are clustered by
+receiver and phase, so that all repeats of a triple meet in one task; ``forward.by_receiver`` does it.
+
 The network takes (horizontal distance, source depth, receiver depth, phase), the first three over
 ``scale``. An input layer is followed by residual blocks of two layers each and a linear output
 whose absolute value multiplies the straight-ray time. Hidden layers use ELU. Weights come as a
@@ -8,7 +13,7 @@ table of ``schemas.NETWORK_WEIGHTS``: one row per layer, in order, ``w`` row-maj
 
 from __future__ import annotations
 
-from typing import Iterator
+from typing import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,17 +23,23 @@ from pyspark.sql import functions as F
 from tremorframe.functions.travel_time import RECEIVER, StraightRay
 from tremorframe.schemas import require_columns
 
-# The architecture has 12 layers; a table beyond this is not a weights table.
-MAX_LAYERS = 64
-_CHUNK = 4096
+# Bytes of weights that may be sent to every executor; the architecture's 12 layers have 1.3 MB.
+MAX_WEIGHT_BYTES = 256 << 20
+# Rows that pass the layers together, so that they stay in a processor's cache.
+_CHUNK = 256
+# Triples that a task remembers (some 90 bytes each).
+_REMEMBERED = 1 << 19
 
 
 def load_weights(table: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Layer matrices of a weights table, checked for size and shape."""
+    """Layer matrices of a weights table, checked for size and shape before they are collected."""
     require_columns(table, ["layer", "n_out", "n_in", "w", "b"], "network weights")
-    rows = table.limit(MAX_LAYERS + 1).collect()
-    if not 2 <= len(rows) <= MAX_LAYERS or len(rows) % 2:
-        raise ValueError(f"expected an even number of layers up to {MAX_LAYERS}, got {len(rows)}")
+    size = table.agg(F.coalesce(F.sum(F.size("w") + F.size("b")), F.lit(0))).first()[0] * 8
+    if size > MAX_WEIGHT_BYTES:
+        raise ValueError(f"{size} bytes of network weights, more than {MAX_WEIGHT_BYTES}")
+    rows = table.collect()
+    if len(rows) < 2 or len(rows) % 2:
+        raise ValueError(f"expected an even number of layers, got {len(rows)}")
     layers = []
     for row in sorted(rows, key=lambda r: r["layer"]):
         w = np.asarray(row["w"], dtype=np.float64).reshape(row["n_out"], row["n_in"])
@@ -48,12 +59,16 @@ def evaluate(
     features = features.astype(layers[0][0].dtype, copy=False)
 
     def hidden(k: int, a: np.ndarray) -> np.ndarray:
-        z = a @ layers[k][0].T + layers[k][1]
-        decay = np.exp(np.minimum(z, 0.0))
+        z = a @ layers[k][0].T
+        z += layers[k][1]
+        below = np.minimum(z, 0.0)
+        np.exp(below, out=below)
         if gradients:
             # the derivative of ELU is exp(z) below 0 and 1 above
-            slopes.append(decay)
-        return np.where(z > 0, z, decay - 1.0)
+            slopes.append(below.copy())
+        # exp(z) - 1 is 0 above 0 and no less than z below
+        below -= 1.0
+        return np.maximum(z, below, out=z)
 
     a = hidden(0, features)
     last = len(layers) - 1
@@ -70,6 +85,38 @@ def evaluate(
     return np.abs(raw), (g * slopes[0]) @ layers[0][0]
 
 
+class Remembered:
+    """Values of rows of keys, found once for equal rows; older entries give way to newer ones."""
+
+    def __init__(self, n_keys: int, n_values: int, entries: int = _REMEMBERED):
+        self.entries = entries
+        self.keys = np.zeros((entries, n_keys), dtype=np.uint64)
+        self.values = np.zeros((entries, n_values))
+        self.filled = np.zeros(entries, dtype=bool)
+        self.odd = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(n_keys)], dtype=np.uint64)
+
+    def get(self, rows: np.ndarray, find: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """``find(rows)``, called for distinct rows that are not remembered only."""
+        bits = np.ascontiguousarray(rows).view(np.uint64)
+        mixed = (bits ^ (bits >> np.uint64(29))) * self.odd
+        mixed = (mixed ^ (mixed >> np.uint64(32))).sum(axis=1, dtype=np.uint64) * self.odd[-1]
+        mixed ^= mixed >> np.uint64(31)
+        _, first, back = np.unique(mixed, return_index=True, return_inverse=True)
+        if not (bits[first][back] == bits).all():
+            return find(rows)  # two rows of one hash
+        bits, at = bits[first], (mixed[first] % np.uint64(self.entries)).astype(np.int64)
+        known = self.filled[at] & (self.keys[at] == bits).all(axis=1)
+        out = self.values[at]
+        missing = np.flatnonzero(~known)
+        if len(missing):
+            out[missing] = find(rows[first[missing]])
+            # of rows that share an entry one is remembered
+            slot, one = np.unique(at[missing], return_index=True)
+            self.keys[slot], self.values[slot] = bits[missing[one]], out[missing[one]]
+            self.filled[slot] = True
+        return out[back]
+
+
 class NetworkTravelTime:
     """Straight-ray time multiplied by the learned correction.
 
@@ -77,6 +124,8 @@ class NetworkTravelTime:
     that. Positions, ray times and their products stay in double precision.
     """
 
+    costly = True
+
     def __init__(
         self,
         layers: list[tuple[np.ndarray, np.ndarray]],
@@ -103,40 +152,37 @@ class NetworkTravelTime:
         if gradients:
             names += [f"k{i + 1}{axis}" for i in range(n_sources) for axis in "xyz"]
         schema = ", ".join(f"{n} double" for n in names)
+        n_values = 4 if gradients else 1
+
+        def correct(layers: list, rows: np.ndarray) -> np.ndarray:
+            """Correction and gradient of rows of receiver, phase and source."""
+            out = np.empty((len(rows), n_values))
+            for start in range(0, len(rows), _CHUNK):
+                part = rows[start : start + _CHUNK]
+                off = part[:, 4:6] - part[:, 0:2]
+                r = np.sqrt((off * off).sum(axis=1))
+                feats = np.column_stack([r / scale, part[:, 6] / scale, part[:, 2] / scale, part[:, 3]])
+                value, g = evaluate(layers, feats, gradients is not None)
+                dest = out[start : start + _CHUNK]
+                dest[:, 0] = value
+                if gradients is None:
+                    continue
+                flat = np.divide(off, r[:, None], out=np.zeros_like(off), where=r[:, None] > 0)
+                sign, depth_feature = (1.0, 1) if gradients == "source" else (-1.0, 2)
+                dest[:, 1:3] = sign * flat * g[:, :1] / scale
+                dest[:, 3] = g[:, depth_feature] / scale
+            return out
 
         def run(
             batches: Iterator[tuple[pd.Series, ...]],
         ) -> Iterator[pd.DataFrame]:
-            layers = shared.value
+            layers, seen = shared.value, Remembered(7, n_values)
             for batch in batches:
                 values = np.column_stack([s.to_numpy(dtype=np.float64) for s in batch])
-                out = np.empty((len(values), len(names)))
-                for start in range(0, len(values), _CHUNK):
-                    part = values[start : start + _CHUNK]
-                    rec, phase = part[:, 0:3], part[:, 3]
-                    feats, offsets = [], []
-                    for i in range(n_sources):
-                        src = part[:, 4 + 3 * i : 7 + 3 * i]
-                        off = src[:, :2] - rec[:, :2]
-                        r = np.sqrt((off * off).sum(axis=1))
-                        feats.append(
-                            np.column_stack([r / scale, src[:, 2] / scale, rec[:, 2] / scale, phase])
-                        )
-                        offsets.append((off, r))
-                    value, grad = evaluate(layers, np.concatenate(feats), gradients is not None)
-                    n = len(part)
-                    dest = out[start : start + n]
-                    for i in range(n_sources):
-                        dest[:, i] = value[i * n : (i + 1) * n]
-                        if gradients is None:
-                            continue
-                        g = grad[i * n : (i + 1) * n]
-                        off, r = offsets[i]
-                        flat = np.divide(off, r[:, None], out=np.zeros_like(off), where=r[:, None] > 0)
-                        sign, depth_feature = (1.0, 1) if gradients == "source" else (-1.0, 2)
-                        at = n_sources + 3 * i
-                        dest[:, at : at + 2] = sign * flat * g[:, :1] / scale
-                        dest[:, at + 2] = g[:, depth_feature] / scale
+                ends = [values[:, [0, 1, 2, 3, *range(4 + 3 * i, 7 + 3 * i)]] for i in range(n_sources)]
+                found = seen.get(np.concatenate(ends), lambda rows: correct(layers, rows))
+                ends = np.split(found, n_sources)
+                out = np.concatenate([e[:, :1] for e in ends] + [e[:, 1:] for e in ends], axis=1)
                 yield pd.DataFrame(out, columns=names)
 
         return F.pandas_udf(run, schema)

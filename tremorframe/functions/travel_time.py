@@ -2,7 +2,8 @@
 
 A model is anything with ``attach(df, gradients)``: given rows that carry the receiver ``X, Y, Z``,
 ``phase`` and both source positions ``x1, y1, z1`` and ``x2, y2, z2``, it adds ``t1`` and ``t2``
-and, on request, the gradients ``g1x .. g1z`` and ``g2x .. g2z`` with respect to each source.
+and, on request, the gradients ``g1x .. g1z`` and ``g2x .. g2z`` with respect to each source. A model
+whose ``costly`` is true wants all observations of a receiver and phase in one task.
 
 Expressions of the iterated path are SQL text: one call per projection instead of one per operator.
 """

@@ -38,6 +38,16 @@ def initial_state(origins: DataFrame, lat_min: float, lon_min: float) -> DataFra
     )
 
 
+def by_receiver(obs: DataFrame, parts: int, spread: int = 1) -> DataFrame:
+    """Rows of a receiver and phase in one task, or ``spread`` of them, of ``parts`` tasks.
+
+    For models that cost more than moving the rows: a task then meets every observation of an event at
+    its receivers and finds their travel time once. ``spread`` splits the receivers by first event.
+    """
+    key = F.pmod(F.xxhash64("evid1"), F.lit(spread))
+    return obs.repartition(parts, "X", "Y", "Z", "phase", key)
+
+
 def attach_sources(obs: Observations, state: DataFrame, n_events: Optional[int] = None) -> DataFrame:
     """Join both ends of each observation to the current event positions and time shifts.
 
