@@ -482,16 +482,143 @@ def test_query_matches_sql(name, spark, oracle, sf_dir):
     assert ok, note
 
 
-def test_pipeline_keeps_columns_and_ends_in_pieces(spark, sf_dir):
+# names that the stages use for helpers, some in other letter case, beside the columns of documents
+CLASHING = [
+    "_language", "_QUALITY", "_node_of_text", "_Keep_Id", "_keep_node", "_mix_id", "_MIX_COPY", "_mix_times",
+    "_mix_each", "_mix_row", "node", "root", "copy", "size", "taken", "target", "kept", "uid", "_rn", "_text",
+]
+
+
+def test_pipeline_stages_keep_columns_and_the_right_rows(spark, sf_dir):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("node", common.F.lit(1))
-    columns = docs.columns
+    plain = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = plain.select("*", *[common.F.concat(common.F.lit(f"{name} "), "doc_id").alias(name) for name in CLASHING])
+    columns, tables = docs.columns, [docs]
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
         docs = common.staged(stage(spark, docs, sf_dir), f"test-stage-{i}")
+        tables.append(docs)
         if i < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns, name
-    assert docs.columns == ["doc_id", "source", "piece_ids", "n_pieces"] and docs.count() > 50
+            rows = docs.collect()
+            assert all(r[c] == f"{c} {r['doc_id']}" for r in rows for c in CLASHING), name
+    ids = [sorted(r["doc_id"] for r in t.select("doc_id").collect()) for t in tables]
+    held = [{r["doc_id"]: r for r in t.collect()} for t in tables]
+    assert all(set(after) <= set(before) for before, after in zip(ids, ids[1:]))
+
+    names, table = language.fit(language.training_rows(tables[0]))
+    table = table.astype(np.float32).astype(np.float64)
+    guess = {i: language.identify(r["text"], names, table, np.log(table)) for i, r in held[0].items()}
+    known = [i for i, (lang, score) in guess.items() if lang != language.UNKNOWN and score >= 0.5]
+    assert ids[1] == sorted(known)
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(common.fold("doc_id", 4) != 2)
+    score = brute_votes(tables[1], labels, [r["text"] for r in held[1].values()])
+    kept = [i for i, s in zip(held[1], score) if s >= quality.THRESHOLD]
+    assert ids[2] == sorted(kept)
+
+    runs = {}
+    for i, r in held[2].items():
+        w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in words_of(r["text"])]
+        runs[i] = Counter(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) if w else Counter()
+    root = {i: i for i in runs}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in runs:
+        for j in runs:
+            common_runs = runs[i].keys() & runs[j].keys()
+            if i < j and common_runs:
+                plain_share = len(common_runs) / len(runs[i].keys() | runs[j].keys())
+                a, b = (sum(runs[k].values()) for k in (i, j))
+                weighed = sum(
+                    1 / sum(max(runs[i][y] / runs[i][x], runs[j][y] / runs[j][x]) for y in runs[i].keys() | runs[j].keys())
+                    for x in common_runs
+                ) if min(a, b) / max(a, b) > 0.5 else 0.0
+                if max(plain_share, weighed) >= 0.8:
+                    root[max(top(i), top(j))] = min(top(i), top(j))
+    assert ids[3] == sorted(i for i in runs if top(i) == i)
+
+    times = Counter(ids[4])
+    sizes = {i: len(words_of(r["text"])) for i, r in held[3].items()}
+    mixed = {r["doc_id"]: r["taken"] for r in mixing.mix_sources(tables[3].select("doc_id", "text", "source")).collect()}
+    assert {i: times[i] * sizes[i] for i in sizes} == mixed and max(times.values()) <= 3
+
+    assert tables[5].columns == ["doc_id", "source", "piece_ids", "n_pieces"] and ids[5] == ids[4]
+    encoder = pieces.Encoder(pieces.load(pieces.model_path()))
+    for i, r in held[5].items():
+        assert r["piece_ids"] == encoder.encode(held[4][i]["text"]).tolist() and r["n_pieces"] == len(r["piece_ids"])
+
+
+def brute_votes(docs, labels, texts):
+    """Votes of the nearest learned texts, one comparison at a time, on the projection that is fitted."""
+    model = quality.fit(docs, labels)
+    scores = []
+    for text in texts:
+        if not text:
+            scores.append(model.mean)
+            continue
+        own = quality.project(quality.term_counts([text]), model.weights, model.basis)[0]
+        near = [float(np.dot(own, v)) for v in model.vectors]
+        kth = sorted(near, reverse=True)[min(quality.NEIGHBOURS, len(near)) - 1]
+        votes = [(max(s, 0.0) ** 8, label) for s, label in zip(near, model.labels.tolist()) if s >= kth - 1e-6]
+        mass = sum(w for w, _ in votes)
+        scores.append(sum(w * label for w, label in votes) / mass if mass > 0 else model.mean)
+    return scores
+
+
+def test_votes_match_brute_force(spark, awkward, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(common.fold("doc_id", 4) != 2)
+    found = {r["doc_id"]: r["score"] for r in quality.op8_quality(spark, sf_dir).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    for r, score in zip(rows, brute_votes(docs, labels, [r["text"] for r in rows])):
+        assert found[r["doc_id"]] == pytest.approx(score, abs=1e-3)
+
+
+def test_language_sets_match_all_subsets():
+    """The chosen languages are the best of all sets of three, by penalised likelihood."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(21)
+    names = ["aa", "bb", "cc"]
+    table = rng.dirichlet(np.full(language.BUCKETS, 0.02), 3).T * 0.98 + 0.02 / language.BUCKETS
+    logs = np.log(table)
+    base = "abcdefghijklmnopqrstuvwxyz "
+    for trial in range(20):
+        text = "".join(rng.choice(list(base), 200))
+        # counts from a mixture of one to three languages stand for the text's
+        shares = rng.dirichlet([1.0, 1.0, 1.0]) if trial % 3 == 2 else np.eye(3)[trial % 3] * 0.5 + np.eye(3)[(trial + 1) % 3] * 0.5
+        if trial % 4 == 0:
+            shares = np.eye(3)[trial % 3]
+        drawn = rng.choice(language.BUCKETS, size=3000, p=table @ shares / (table @ shares).sum())
+        counts = np.bincount(drawn, minlength=language.BUCKETS).astype(float)
+        used = np.flatnonzero(counts)
+        best = None
+        for size in (1, 2, 3):
+            for subset in combinations(range(3), size):
+                rows = table[used][:, list(subset)]
+                proportions, fit = (np.ones(1), float(counts[used] @ np.log(rows[:, 0]))) if size == 1 else language.mixture(counts[used], rows)
+                value = fit - language.PENALTY * np.log(counts.sum()) * (size - 1)
+                if best is None or value > best[0] + 1e-6:
+                    best = (value, subset, proportions)
+        original = language.ngram_ids
+        try:
+            language.ngram_ids = lambda _: drawn
+            name, share = language.identify(text, names, table, logs)
+        finally:
+            language.ngram_ids = original
+        at = int(np.argmax(best[2]))
+        assert name == names[best[1][at]] and share == pytest.approx(float(best[2][at]), abs=0.02)
+
+
+def test_tiny_fractions_are_decided():
+    p = np.array([1e-12, 1 - 1e-12, 0.0, 1.0, 0.5, 0.25, 0.25])
+    moved = mixing.flight(np.arange(1.0, 8.0), p, np.full(7, 0.3))
+    assert moved[:4].tolist() == [0.0, 1.0, 0.0, 1.0] and ((moved > 0) & (moved < 1)).sum() <= 2
 
 
 def test_blocks_of_runs_find_what_pairs_find():

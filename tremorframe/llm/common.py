@@ -28,6 +28,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return lineage.as_table(df, f"llm-{name}")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """``wanted``, each prolonged until no column of ``df`` has its name in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    names = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        names.append(name)
+    return names
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit of unsigned 64-bit numbers."""
     x = x ^ (x >> np.uint64(30))

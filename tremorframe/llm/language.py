@@ -27,6 +27,7 @@ from tremorframe.llm import common
 UNKNOWN = "und"
 BUCKETS = 1 << 16
 # The models are fitted on at most so many texts of each language, the first by hash of their id.
+RANKED_PARTS = 64
 TRAIN_TEXTS = 2000
 # Neighbouring n-grams overlap, so the gain of a language must beat three times the usual penalty.
 PENALTY = 1.5
@@ -110,13 +111,14 @@ def fit(docs: DataFrame, train_texts: int = TRAIN_TEXTS) -> tuple[list[str], np.
     The sample is chosen by id and label alone; texts are read only for the chosen rows, and only
     bucket counts per language reach the driver.
     """
-    ranked = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang")
-    ranked = ranked.withColumn(
-        "_rn",
-        F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")),
-    )
-    # at most train_texts ids per language
-    sample = ranked.filter(F.col("_rn") <= train_texts).select("doc_id", "lang").distinct()
+    ranked = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang").distinct()
+    # ranked in parts first, so that no task sees all ids of a language; then train_texts of a few parts each
+    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(RANKED_PARTS)).alias("part")
+    sample = ranked.select("doc_id", "lang", part)
+    for within in (["lang", "part"], ["lang"]):
+        order = W.partitionBy(*within).orderBy(F.xxhash64("doc_id"), "doc_id")
+        sample = sample.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= train_texts).drop("rank")
+    sample = sample.select("doc_id", "lang")
     texts = docs.select("doc_id", "lang", "text").join(F.broadcast(sample), ["doc_id", "lang"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

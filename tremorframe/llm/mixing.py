@@ -79,6 +79,8 @@ def flight(sizes: np.ndarray, chances: np.ndarray, draws: np.ndarray) -> np.ndar
     for k in range(len(p)):
         if _OPEN < p[k] < 1 - _OPEN:
             active.append(k)
+        else:
+            p[k] = float(round(p[k]))
         turn = 0
         while len(active) == 3:
             i, j, m = active
@@ -227,25 +229,26 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFram
 
 def apply_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
     """Rows of ``docs``, each as often as the mix takes it; its columns stay as they are."""
+    at, number, times, each, row = common.free_names(docs, "_mix_id", "_mix_copy", "_mix_times", "_mix_each", "_mix_row")
     mixed = mix_sources(docs, weights).filter("taken > 0")
     mixed = common.staged(
         mixed.select(
-            F.col("doc_id").alias("_mix_id"),
-            F.col("copy").alias("_mix_copy"),
-            (F.col("taken") / F.col("size")).cast("int").alias("_mix_times"),
+            F.col("doc_id").alias(at),
+            F.col("copy").alias(number),
+            (F.col("taken") / F.col("size")).cast("int").alias(times),
         ),
         "mixed",
     )
-    if mixed.filter("_mix_copy > 0").head(1):
+    same = F.col("doc_id").eqNullSafe(F.col(at))
+    rows = docs
+    if mixed.filter(F.col(number) > 0).head(1):
         # rows that share an id are told apart in the order in which mix_sources numbers them
         size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-        number = F.row_number().over(W.partitionBy("doc_id").orderBy("source", size))
-        rows = docs.withColumn("_mix_row", (number - 1).cast("long"))
-        same = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_row") == F.col("_mix_copy"))
-    else:
-        rows, same = docs, F.col("doc_id").eqNullSafe(F.col("_mix_id"))
+        place = F.row_number().over(W.partitionBy("doc_id").orderBy("source", size))
+        rows = docs.withColumn(row, (place - 1).cast("long"))
+        same &= F.col(row) == F.col(number)
     rows = rows.join(mixed, same)
-    rows = rows.withColumn("_mix_each", F.explode(F.array_repeat(F.lit(1), F.col("_mix_times"))))
+    rows = rows.withColumn(each, F.explode(F.array_repeat(F.lit(1), F.col(times))))
     return rows.select(*[F.col(f"`{name}`") for name in docs.columns])
 
 

@@ -465,12 +465,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without all but one row of each group; its columns stay as they are."""
     found = common.staged(near_duplicates(docs), "kept")
-    name = "_node_of_text"
-    keep = found.filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("node").alias("_keep_node"))
-    keyed = docs.withColumn(name, node_id(F.col("text")))
-    same = keyed["doc_id"].eqNullSafe(F.col("_keep_id")) & keyed[name].eqNullSafe(F.col("_keep_node"))
-    kept = keyed.join(keep, same, "left_semi").drop(name)
-    if keep.groupBy("_keep_id", "_keep_node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").head(1):
+    own, at, to = common.free_names(docs, "_node_of_text", "_keep_id", "_keep_node")
+    keep = found.filter("kept").select(F.col("doc_id").alias(at), F.col("node").alias(to))
+    keyed = docs.withColumn(own, node_id(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col(at)) & F.col(own).eqNullSafe(F.col(to))
+    kept = keyed.join(keep, same, "left_semi").drop(own)
+    if keep.groupBy(at, to).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").head(1):
         # repeated rows of one id share all that a group is named by
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept
