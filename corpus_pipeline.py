@@ -19,24 +19,25 @@ from tremorframe.llm import common, language, mixing, near_copies, pieces, quali
 
 MIN_LANGUAGE_SHARE = 0.5
 
-# Classifiers and signatures are not SQL. tests/llm compares the operators of near copies, mixing and
-# pieces with brute force on small tables, language identification with held-out labels, and quality
-# not at all beyond its bounds; of the stages in a row it checks columns and that rows are left.
+# Classifiers and signatures are not SQL. tests/llm compares the rows that each stage keeps with plain
+# Python on the smallest table, where columns are also named like the helpers of the stages.
 ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     predict = language.predictor(spark, *language.fit(language.training_rows(docs)))
-    found = docs.withColumn("_language", predict("text"))
-    known = (F.col("_language.lang") != language.UNKNOWN) & (F.col("_language.score") >= MIN_LANGUAGE_SHARE)
-    return found.filter(known).drop("_language")
+    (name,) = common.free_names(docs, "_language")
+    found = docs.withColumn(name, predict("text"))
+    known = (F.col(f"{name}.lang") != language.UNKNOWN) & (F.col(f"{name}.score") >= MIN_LANGUAGE_SHARE)
+    return found.filter(known).drop(name)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = common.read(spark, sf_dir, "labels", "doc_id", "quality")
     model = quality.fit(docs, labels.filter(common.fold("doc_id", 4) != 2))
-    found = docs.withColumn("_quality", quality.scorer(spark, model)("text"))
-    return found.filter(F.col("_quality") >= quality.THRESHOLD).drop("_quality")
+    (name,) = common.free_names(docs, "_quality")
+    found = docs.withColumn(name, quality.scorer(spark, model)("text"))
+    return found.filter(F.col(name) >= quality.THRESHOLD).drop(name)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
