@@ -512,6 +512,107 @@ def latest_checkpoint(spark, sf_dir):
     )
 
 
+@query(
+    q.with_(*SCENE, q.WARM)
+    + f"""SELECT 'phase4' AS phase, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS left_after_clearing, evid,
+{q.r('dx', 9, 'dx')} FROM warm"""
+)
+def checkpoint_clear(spark, sf_dir):
+    """Checkpoints that are cleared are gone, and the next one has number 0 again."""
+    store = run_store.RunStore(spark, lineage.scratch_path(spark, "checkpoints"))
+    store.save(fx.state(spark, sf_dir), "phase1", 99, 10, "Adam", 100, 100)
+    store.clear()
+    left = 0 if store.load() is None else 1
+    store.save(fx.warm_state(spark, sf_dir), "phase4", 7, 10, "pSGLD", 8, 108)
+    row, events = store.load()
+    return events.select(
+        F.lit(row["phase"]).alias("phase"),
+        F.lit(row["seq"]).cast("long").alias("seq"),
+        F.lit(left).cast("long").alias("left_after_clearing"),
+        "evid",
+        F.round("dx", 9).alias("dx"),
+    )
+
+
+_RESUMED_STEPS = [*_MAP_STEPS, q.gradient("g4", "s3", UNC, EV, CE), q.adam("s4", "g4", 4, 2e-3)]
+
+
+@query(
+    q.with_(*q.BASE, *_RESUMED_STEPS) + f"SELECT evid, {_show(moves=8, first=11, second=15)} FROM s4"
+)
+def resumed_relocation(spark, sf_dir):
+    """Two epochs of descent, then a second start that runs the stored epoch and one more: four steps in a row."""
+    origins, obs = fx.origins(spark, sf_dir), fx.observations_view(spark, sf_dir)
+    params = _run_params(spark, phase1_epochs=2)
+    first = plan.start_run(origins, obs, params, fx.MODEL)
+    plan.map_phase(first)
+    plan.end_run(first, keep_state=False)
+    run = plan.start_run(origins, obs, replace(params, phase1_epochs=3), fx.MODEL)
+    entry = plan.resume_point(run)
+    plan.map_phase(run, entry.epoch)
+    plan.end_run(run)
+    return _shown(run.state, moves=8, first=11, second=15)
+
+
+_METRICS = [
+    q.COLD,
+    q.gradient("g1", "cold", UNC, EV, CE),
+    q.adam("s1", "g1", 1, 2e-3),
+    q.predicted("before", "cold"),
+    q.predicted("after", "s1"),
+    f"fit AS (SELECT count(*) AS n_obs, avg(h) AS l FROM {q.scaled('before', UNC)})",
+    _PRIORS.replace("FROM state", "FROM cold"),
+    "res AS (SELECT phase, dt - dt_pred AS r FROM after)",
+    "med AS (SELECT phase, quantile_disc(r, 0.5) AS m FROM res GROUP BY phase)",
+    "mad AS (SELECT phase, quantile_disc(abs(r - m), 0.5) AS mad FROM res JOIN med USING (phase) GROUP BY phase)",
+]
+
+
+@query(
+    q.with_(*q.BASE, *_METRICS)
+    + f"""SELECT 'phase1' AS phase, CAST(0 AS BIGINT) AS epoch,
+(SELECT {q.r('l + (event_prior + centroid_prior) / n_obs', 6, 'v')} FROM pt, fit) AS loss,
+{q.r('avg(dx)', 9, '"mean_dX"')}, {q.r('quantile_disc(abs(dz), 0.5)', 9, '"median_abs_dZ"')},
+{q.r('max(sqrt(dx * dx + dy * dy + dz * dz))', 9, 'max_radius')},
+{q.r('quantile_cont(sqrt(dx * dx + dy * dy + dz * dz), 0.9)', 9, 'quantile_90_radius')},
+(SELECT {q.r('mad', 7, 'v')} FROM mad WHERE phase = 0) AS mad_p, (SELECT {q.r('mad', 7, 'v')} FROM mad WHERE phase = 1) AS mad_s
+FROM s1"""
+)
+def run_metrics(spark, sf_dir):
+    """The logged row of one epoch of descent, read back from the metrics table."""
+    params = replace(_run_params(spark, phase1_epochs=1), metrics_every=1)
+    origins, obs = fx.origins(spark, sf_dir), fx.observations_view(spark, sf_dir)
+    run = plan.start_run(origins, obs, params, fx.MODEL)
+    plan.map_phase(run)
+    plan.end_run(run, keep_state=False)
+    logged = run_store.read_metrics(spark, params.metrics_outfile)
+    stats = ["mean_dX", "median_abs_dZ", "max_radius", "quantile_90_radius"]
+    shown = rounded(logged.select("phase", "epoch", "loss", *stats, "mad_p", "mad_s"), 9, *stats)
+    return rounded(rounded(shown, 6, "loss"), 7, "mad_p", "mad_s")
+
+
+_PROBE_STEPS = [
+    q.COLD,
+    q.gradient("g1", "cold", UNC, EV, CE),
+    q.langevin("s1", "g1", _N, 1, 1e-9),
+    q.gradient("g2", "s1", UNC, EV, CE),
+    q.langevin("s2", "g2", _N, 2, 0.5e-9),
+]
+
+
+@query(
+    q.with_(*q.BASE, *_PROBE_STEPS)
+    + f"SELECT evid, {_show(with_first=False)}, 0.25e0 AS share_accepted FROM s2"
+)
+def step_size_probe(spark, sf_dir):
+    """A loss that never counts as flat halves the step twice; the state moves on meanwhile."""
+    params = _run_params(spark, lr_sgld=1e-9)
+    run = plan.start_run(fx.origins(spark, sf_dir), fx.observations_view(spark, sf_dir), params, fx.MODEL)
+    accepted = plan.probe_step_size(run, max_halves=1, win=1, rel_slope=-1.0)
+    plan.end_run(run)
+    return _shown(run.state, with_first=False).withColumn("share_accepted", F.round(F.lit(accepted / 1e-9), 6))
+
+
 # --- learned travel time -----------------------------------------------------------------------------
 
 

@@ -438,3 +438,19 @@ def run_config(spark, sf_dir):
         fx.dtimes(spark, sf_dir).count(),
     )
     return config.select(F.explode("config").alias("key", "value"))
+
+
+# --- exact thinning --------------------------------------------------------------------------------
+
+_KEYED = "concat_ws(':', '42', network, station, CAST(evid1 AS VARCHAR), CAST(evid2 AS VARCHAR), phase)"
+
+
+@query(
+    q.with_(q.DTIMES)
+    + f"""SELECT {DT} FROM (SELECT *, row_number() OVER (ORDER BY {q.unit(_KEYED)}, network, station, dt, evid1,
+evid2, phase, cc) AS place FROM dtimes) WHERE place <= (SELECT floor(count(*) * 0.3e0) FROM dtimes)"""
+)
+def thin_exact(spark, sf_dir):
+    """Exactly three tenths of the rows, whole tables; rows of equal keys may be cut apart."""
+    key = ["network", "station", "evid1", "evid2", "phase"]
+    return ops.thin_exactly(fx.dtimes(spark, sf_dir), 0.3, key=key)

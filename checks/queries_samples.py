@@ -526,3 +526,38 @@ def loss_plateau(spark, sf_dir):
 def epoch_mean_loss(spark, sf_dir):
     losses = fx.table(spark, sf_dir, "events").select(F.col("value").alias("loss"))
     return rounded(objective.epoch_mean_loss(losses), 8)
+
+
+# --- catalog and chains together, cleared stores -----------------------------------------------------
+
+_CHAIN = "chain AS (SELECT * FROM samples WHERE pos >= 10 AND (pos - 10) % 3 = 0)"
+
+
+@query(
+    q.with_(q.SAMPLES, _CHAIN)
+    + f"""SELECT c.evid, (pos - 10) // 3 AS rank, {q.r('"X" - mx', 7, '"X"')}, {q.r('"Z" - mz', 7, '"Z"')},
+{q.r('mx', 7, 'mean_x')}, {q.r('sx', 7, 'sigma_x')}, {q.r('lat', 7, 'latitude')} FROM chain c
+JOIN (SELECT evid, avg("X") AS mx, avg("Z") AS mz,
+0.5e0 * (quantile_cont("X", 0.995) - quantile_cont("X", 0.005)) AS sx FROM chain GROUP BY evid) s ON s.evid = c.evid
+JOIN (SELECT evid, avg(latitude) AS lat FROM samples WHERE pos >= 10 GROUP BY evid) l ON l.evid = c.evid"""
+)
+def catalog_and_chains(spark, sf_dir):
+    """One call gives the catalog and the centred chains; here beside each other."""
+    catalog, chains_ = posterior.catalog_and_chains(fx.samples(spark, sf_dir), burn_in=10, thin=3)
+    named = catalog.select("evid", F.col("X").alias("mean_x"), "sigma_x", "latitude")
+    return rounded(chains_.select("evid", "rank", "X", "Z").join(named, "evid"), 7)
+
+
+@query(
+    q.with_(q.SAMPLES)
+    + f"""SELECT evid, CAST(0 AS BIGINT) AS batch_id, draw, CAST(0 AS BIGINT) AS rows_after_clearing, {_SINGLE}
+FROM samples WHERE batch_id = 2"""
+)
+def sample_clear(spark, sf_dir):
+    """A store that is cleared is empty, and its next batch has number 0 again."""
+    path = stored(spark, sf_dir)
+    sample_store.clear_samples(spark, path)
+    left = sample_store.read_samples(spark, path).count()
+    rows = fx.samples(spark, sf_dir).filter("batch_id = 2").withColumns({n: F.col(n).cast("float") for n in FIELDS})
+    sample_store.append_batch(rows.drop("batch_id"), path)
+    return rounded(sample_store.read_samples(spark, path), 4).withColumn("rows_after_clearing", F.lit(left).cast("long"))

@@ -7,11 +7,13 @@ sizes itself and splits skewed keys of shuffled joins.
 
 from __future__ import annotations
 
+import math
 from typing import Optional
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tremorframe import lineage
 from tremorframe.functions.geodesy import EqualArea, distance3
 from tremorframe.functions.portable_random import uniform
 from tremorframe.operators.scaling import first_per_key, keep_frequent, number_rows, small_side
@@ -88,6 +90,47 @@ def thin_observations(
     return dtimes.filter(uniform(F.lit(seed), *parts) < float(fraction))
 
 
+# Hashes of 52 bits are narrowed by so many at a time.
+_HASH_BITS, _CELL_BITS = 52, 13
+
+
+def thin_exactly(
+    dtimes: DataFrame, fraction: float, seed: int = 42, key: Optional[list[str]] = None
+) -> DataFrame:
+    """Keep exactly floor(``fraction`` times rows) rows: those with the smallest hash of ``key`` and ``seed``.
+
+    The largest hash to keep is an order statistic. It is found by counting rows in cells of hashes and
+    counting again within the cell that holds it, so a pass gives the driver some thousand counts and no
+    row moves. Rows of that very hash are taken in order of all columns. They are repeats of one key, so
+    they may be many: they are numbered in range partitions.
+    """
+    if not 0.0 <= fraction:
+        raise ValueError(f"fraction must be >= 0, got {fraction}")
+    if fraction >= 1.0:
+        return dtimes
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (key or dtimes.columns)]
+    span = float(1 << _HASH_BITS)
+    hashed = lineage.as_table(dtimes.withColumn("_hash", (uniform(F.lit(seed), *parts) * span).cast("long")), "hashed")
+    wanted = math.floor(fraction * hashed.count())
+    if wanted == 0:
+        return hashed.filter(F.lit(False)).drop("_hash")
+    low, left = 0, wanted
+    for shift in range(_HASH_BITS - _CELL_BITS, -1, -_CELL_BITS):
+        inside = hashed.filter(F.col("_hash").between(low, low + (1 << (shift + _CELL_BITS)) - 1))
+        cell = F.shiftright(F.col("_hash") - low, shift)
+        # at most 2 ** _CELL_BITS counts
+        counts = sorted(inside.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect())
+        for at, n in counts:
+            if left <= n:
+                low += at << shift
+                break
+            left -= n
+    below = hashed.filter(F.col("_hash") < low).drop("_hash")
+    last = hashed.filter(F.col("_hash") == low).drop("_hash")
+    # ``left`` of these are still wanted
+    return below.unionByName(number_rows(last, "_place", dtimes.columns).filter(F.col("_place") < left).drop("_place"))
+
+
 def unordered_pair() -> dict[str, Column]:
     return {
         "evid_min": F.least("evid1", "evid2"),

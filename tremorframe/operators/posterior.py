@@ -7,6 +7,7 @@ from typing import Optional, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tremorframe import lineage
 from tremorframe.operators.chains import (
     ChainLayout,
     after_burn_in,
@@ -45,7 +46,11 @@ def posterior_catalog(
     """
     layout = layout or chain_layout(samples)
     n_kept = check_window(layout.n_draws, burn_in, thin)
-    draws = after_burn_in(samples, burn_in, thin, layout)
+    return _catalog(after_burn_in(samples, burn_in, thin, layout), n_kept, gather_rows)
+
+
+def _catalog(draws: DataFrame, n_kept: int, gather_rows: int, more: Sequence[Column] = ()) -> DataFrame:
+    """The catalog of ``draws`` after burn-in; ``more`` aggregates come along where chains are gathered."""
     means = [F.avg(_value(n, False)).alias(n) for n in PLACES]
     means += [F.avg(_value(n, True)).alias(n) for n in SHIFTS]
     if n_kept <= gather_rows:
@@ -53,7 +58,7 @@ def posterior_catalog(
         # NaN draws take no part in the spans, as on the other path
         finite = lambda n: F.when(~F.isnan(_value(n, True)), _value(n, True))
         spans = [F.percentile(finite(n), [HIGH, LOW]).alias(f"_q{n}") for n in SHIFTS]
-        out = draws.groupBy("evid").agg(*means, *spans)
+        out = draws.groupBy("evid").agg(*means, *spans, *more)
         sigmas = {n: 0.5 * (F.col(f"_q{n}")[0] - F.col(f"_q{n}")[1]) for n in SHIFTS}
     else:
         probs = {"hi": HIGH, "lo": LOW}
@@ -69,7 +74,34 @@ def posterior_catalog(
     columns = [*PLACES]
     for n in SHIFTS:
         columns += [n, sigmas[n].alias(f"sigma_{n.lower()}")]
-    return out.select(*columns, "evid")
+    return out.select(*columns, "evid", *[c for c in out.columns if c == "_chain"])
+
+
+def catalog_and_chains(
+    samples: DataFrame,
+    burn_in: int = 0,
+    thin: int = 1,
+    layout: Optional[ChainLayout] = None,
+    gather_rows: int = GATHER_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`posterior_catalog` and :func:`centred_chains` of one scan of the store.
+
+    Chains up to ``gather_rows`` draws are written with their event's summary, one row per event, which
+    both results read. Of longer ones the draws that are left are written as they are.
+    """
+    layout = layout or chain_layout(samples)
+    n_kept = check_window(layout.n_draws, burn_in, thin)
+    if n_kept > gather_rows:
+        draws = lineage.as_table(after_burn_in(samples, burn_in, thin, layout), "draws-left")
+        catalog = _catalog(draws, n_kept, gather_rows)
+        return catalog, centred(draws.filter("kept").select("evid", "rank", *SHIFTS), SHIFTS)
+    draw = F.struct("rank", *[F.col(n).cast("double").alias(n) for n in SHIFTS])
+    chain = F.collect_list(F.when(F.col("kept"), draw)).alias("_chain")
+    draws = after_burn_in(samples, burn_in, thin, layout)
+    stored = lineage.as_table(_catalog(draws, n_kept, gather_rows, [chain]), "summaries")
+    each = stored.select("evid", *[F.col(n).alias(f"_mean_{n}") for n in SHIFTS], F.explode("_chain").alias("_d"))
+    moved = [(F.col(f"_d.{n}") - F.col(f"_mean_{n}")).alias(n) for n in SHIFTS]
+    return stored.drop("_chain"), each.select("evid", "_d.rank", *moved)
 
 
 def posterior_means(

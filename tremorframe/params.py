@@ -31,6 +31,8 @@ class RunParams:
     remove_duplicates: bool = False
     max_abs_input_dt: float = 0.0
     dtime_thin_frac: float = 1.0
+    # exactly that share of the rows, instead of each row with that chance
+    dtime_thin_exact: bool = False
     thin_seed: int = 42
     flip_dt_sign: bool = False
     cc_min: float = 0.0

@@ -39,7 +39,8 @@ def prepare_observations(
     if params.remove_duplicates:
         obs = ops.distinct_observations(obs)
     obs = ops.limit_abs_dt(obs, params.max_abs_input_dt)
-    obs = ops.thin_observations(obs, params.dtime_thin_frac, params.thin_seed)
+    thin = ops.thin_exactly if params.dtime_thin_exact else ops.thin_observations
+    obs = thin(obs, params.dtime_thin_frac, params.thin_seed)
     if params.flip_dt_sign:
         obs = ops.flip_sign(obs)
     obs = ops.limit_cc(obs, params.cc_min)
