@@ -454,3 +454,41 @@ def thin_exact(spark, sf_dir):
     """Exactly three tenths of the rows, whole tables; rows of equal keys may be cut apart."""
     key = ["network", "station", "evid1", "evid2", "phase"]
     return ops.thin_exactly(fx.dtimes(spark, sf_dir), 0.3, key=key)
+
+
+# --- counts of a whole preparation -----------------------------------------------------------------
+
+_DT_LIMIT = """known_box AS (SELECT * FROM encoded WHERE evid1 IN (SELECT evid FROM box) AND evid2 IN (SELECT evid FROM box)),
+ordered AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY evid1, evid2) AS m FROM good) WHERE m >= 2),
+placed AS (SELECT o.* FROM ordered o JOIN stations s ON s.network = o.network AND s.station = o.station),
+kept AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY least(evid1, evid2), greatest(evid1, evid2)) AS u
+FROM placed) WHERE u >= 3),
+used AS (SELECT evid FROM box WHERE evid IN (SELECT evid1 FROM kept UNION SELECT evid2 FROM kept))"""
+_COUNTED = {
+    "events": "box",
+    "stations": "stations",
+    "dtimes": "dtimes",
+    "known_events": "known_box",
+    "abs_dt": "known_box WHERE abs(dt) < 0.5e0",
+    "thinned": "known_box WHERE abs(dt) < 0.5e0",
+    "cc": "good",
+    "ordered_pairs": "ordered",
+    "known_stations": "placed",
+    "unordered_pairs": "kept",
+    "used_events": "used",
+}
+
+
+@query(
+    PREPARED.rstrip()
+    + f",\n{_DT_LIMIT}\n"
+    + " UNION ALL ".join(f"SELECT '{stage}' AS stage, count(*) AS n_rows FROM {rows}" for stage, rows in _COUNTED.items())
+)
+def prepared_counts(spark, sf_dir):
+    """Rows that each stage of one preparation leaves, counted on the way."""
+    counts = {}
+    params = replace(fx.PARAMS, min_dtimes_per_pair=2)
+    prepare_observations(
+        fx.stations(spark, sf_dir), fx.origins(spark, sf_dir), fx.dtimes(spark, sf_dir), params, counts=counts
+    )
+    return spark.createDataFrame(list(counts.items()), "stage string, n_rows long")

@@ -225,3 +225,18 @@ def test_text_event_ids(spark, tmp_path, files):
     ]
     _, state = RunStore(spark, params.checkpoint_dir).load()
     assert sorted(r["evid"] for r in state.collect()) == ["2", "ev1"]
+
+
+def test_exact_share_of_rows(spark):
+    rows = spark.range(1000).selectExpr("id", "id % 7 AS k", "cast(id % 3 AS string) AS s")
+    for fraction in (0.0, 0.001, 0.3337, 0.5, 0.9999):
+        got = [r["id"] for r in ops.thin_exactly(rows, fraction, seed=5).collect()]
+        assert len(got) == len(set(got)) == int(fraction * 1000)
+    # rows of equal keys may be cut apart, in order of all columns; the choice does not move with partitions
+    some = sorted(r["id"] for r in ops.thin_exactly(rows, 0.4, key=["k"]).collect())
+    assert len(some) == 400 and some == sorted(r["id"] for r in ops.thin_exactly(rows.repartition(9), 0.4, key=["k"]).collect())
+    hot = spark.range(500).selectExpr("1 AS a", "'x' AS b")
+    assert ops.thin_exactly(hot, 0.25).count() == 125
+    assert ops.thin_exactly(rows, 1.0).count() == 1000 and ops.thin_exactly(rows.limit(0), 0.5).count() == 0
+    with pytest.raises(ValueError):
+        ops.thin_exactly(rows, -0.1)

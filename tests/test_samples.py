@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tremorframe.operators import chains, distributions, posterior
+from tremorframe.operators import chains, distributions, forward, posterior
 from tremorframe.operators import effective_size as ess_ops
 from tremorframe.schemas import SAMPLE_FIELDS
 from tremorframe.sources import sample_store as store
@@ -285,3 +285,31 @@ def test_trace_scales_and_centres(spark):
     assert [(r["sample_index"], r["value"]) for r in got] == [(1, -2000.0), (3, 2000.0)]
     km = chains.chain_trace(df, ["X"], units="kilometers").orderBy("sample_index").collect()
     assert [r["value"] for r in km] == [-2.0, -1.0, 0.0, 3.0]
+
+
+@pytest.mark.parametrize("gather_rows", [0, 10**6])
+def test_catalog_and_chains_agree_with_their_parts(spark, gather_rows):
+    rng = np.random.default_rng(9)
+    df = chain_frame(spark, {1: rng.normal(3, 0.05, 40), 2: rng.normal(0, 1, 40)})
+    catalog, chains_ = posterior.catalog_and_chains(df, 4, 3, gather_rows=gather_rows)
+    want = posterior.posterior_catalog(df, 4, 3).orderBy("evid").collect()
+    for got, expected in zip(catalog.orderBy("evid").collect(), want):
+        assert got.asDict() == pytest.approx(expected.asDict())
+    order = ["evid", "rank"]
+    parts = zip(chains_.orderBy(*order).collect(), posterior.centred_chains(df, 4, 3).orderBy(*order).collect())
+    for got, expected in parts:
+        assert tuple(got) == pytest.approx(tuple(expected), abs=1e-9)
+    assert chains_.count() == 2 * 12
+
+
+@pytest.mark.parametrize("gather_rows", [0, 10**6])
+def test_shift_statistics_on_both_paths(spark, gather_rows):
+    rng = np.random.default_rng(10)
+    moves = rng.normal(0, 1, (501, 3))
+    state = spark.createDataFrame(moves.tolist(), "dx double, dy double, dz double")
+    got = forward.shift_stats(state, gather_rows=gather_rows).first()
+    radius = np.linalg.norm(moves, axis=1)
+    assert got["quantile_90_radius"] == pytest.approx(np.quantile(radius, 0.9)) and got["max_radius"] == radius.max()
+    for axis, column in zip("XYZ", moves.T):
+        assert got[f"median_abs_d{axis}"] == np.sort(np.abs(column))[250]
+        assert got[f"mean_d{axis}"] == pytest.approx(column.mean())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tremorframe import lineage
 from tremorframe.functions.geodesy import EqualArea
 from tremorframe.operators.blocks import ObservationBlocks
-from tremorframe.operators.scaling import exact_quantiles, first_per_key, group_sizes, small_side
+from tremorframe.operators.scaling import GATHER_ROWS, exact_quantiles, first_per_key, group_sizes, small_side
 from tremorframe.schemas import COMPONENTS
 
 Observations = Union[DataFrame, ObservationBlocks]
@@ -125,35 +125,38 @@ def _phase_mad(resid: DataFrame, averaging: bool, rows: Optional[int], narrow: d
 
 
 def shift_stats(state: DataFrame, n_events: Optional[int] = None, **narrow) -> DataFrame:
-    """One row of means, lower medians of magnitudes, and radius statistics of the event shifts."""
+    """One row of means, lower medians of magnitudes, and radius statistics of the event shifts.
+
+    Up to ``gather_rows`` events all of it comes from one pass; beyond, the three medians are narrowed
+    together and the radius beside them.
+    """
     sizes = (1, n_events) if n_events is not None else group_sizes(state, [])
     radius = F.sqrt(
         F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")
     )
     moves = state.select("dx", "dy", "dz", radius.alias("_r"))
-    base = moves.agg(
-        F.avg("dx").alias("mean_dX"),
-        F.avg("dy").alias("mean_dY"),
-        F.avg("dz").alias("mean_dZ"),
-        F.max("_r").alias("max_radius"),
-    )
-    quantiles = {}
-    for axis, column in (("X", "dx"), ("Y", "dy"), ("Z", "dz")):
-        name = f"median_abs_d{axis}"
-        size = moves.select(F.abs(column).alias("_a"))
-        quantiles[name] = exact_quantiles(
-            size, [], "_a", {name: 0.5}, lower=True, sizes=sizes, **narrow
-        )
-    quantiles["quantile_90_radius"] = exact_quantiles(
-        moves, [], "_r", {"quantile_90_radius": 0.9}, sizes=sizes, **narrow
-    )
+    axes = {"X": "dx", "Y": "dy", "Z": "dz"}
+    means = [F.avg(column).alias(f"mean_d{axis}") for axis, column in axes.items()]
+    medians = [f"median_abs_d{axis}" for axis in axes]
+    names = [*(f"mean_d{axis}" for axis in axes), *medians, "max_radius", "quantile_90_radius"]
+    if sizes[1] <= narrow.get("gather_rows", GATHER_ROWS):
+        # NaN takes no part in quantiles, as on the other path
+        lower = "percentile_disc(0.5) WITHIN GROUP (ORDER BY nanvl({}, NULL))"
+        middle = [F.expr(lower.format(f"abs({column})")).alias(m) for m, column in zip(medians, axes.values())]
+        spread = F.percentile(F.nanvl("_r", F.lit(None).cast("double")), 0.9).alias("quantile_90_radius")
+        return moves.agg(*means, *middle, F.max("_r").alias("max_radius"), spread).select(*names)
+    base = moves.agg(*means, F.max("_r").alias("max_radius"))
+    sides = F.array(*[F.struct(F.lit(m).alias("axis"), F.abs(c).alias("_a")) for m, c in zip(medians, axes.values())])
+    long = moves.select(F.inline(sides))
+    middle = exact_quantiles(long, ["axis"], "_a", {"m": 0.5}, lower=True, sizes=(3, sizes[1]), **narrow)
+    wide = middle.agg(*[F.max(F.when(F.col("axis") == m, F.col("m"))).alias(m) for m in medians])
+    spread = exact_quantiles(moves, [], "_r", {"quantile_90_radius": 0.9}, sizes=sizes, **narrow)
+    beside = wide.select(F.struct(*medians)).scalar()
     return base.select(
-        "mean_dX",
-        "mean_dY",
-        "mean_dZ",
-        *[df.scalar().alias(name) for name, df in quantiles.items() if name != "quantile_90_radius"],
+        *[f"mean_d{axis}" for axis in axes],
+        *[beside[m].alias(m) for m in medians],
         "max_radius",
-        quantiles["quantile_90_radius"].scalar().alias("quantile_90_radius"),
+        spread.scalar().alias("quantile_90_radius"),
     )
 
 
