@@ -439,7 +439,42 @@ def test_elias_fano_finds_successors():
         assert (held.select(np.arange(n)) == values).all()
 
 
-@pytest.mark.parametrize("chunk_tokens, shard_bytes", [(10**6, 1 << 25), (500, 3000)])
+def test_elias_fano_searches_many_blocks():
+    rng = np.random.default_rng(8)
+    values = np.sort(np.concatenate((rng.integers(0, 1 << 40, 150_000), rng.integers(0, 1 << 12, 50_000)))).astype(np.uint64)
+    held = bigram_trie.EliasFano.of(values, 1 << 40)
+    asked = np.concatenate((values[::7], rng.integers(0, 1 << 40, 90_000).astype(np.uint64)))
+    assert (held.successor(asked) == np.searchsorted(values, asked)).all()
+    assert (held.select(np.arange(len(values))[::-1]) == values[::-1]).all()
+
+
+def test_requests_ask_every_part_of_a_spread_context_and_no_idle_shard():
+    rng = np.random.default_rng(4)
+    vocabulary = np.unique(rng.integers(1, 1 << 62, 300)).astype(np.uint64)
+    hot = vocabulary[[3, 50, 70]]
+    spread = bigram_trie.Spread(hot, np.array([2, 40, 1000]))
+    keys = np.unique(rng.integers(0, len(vocabulary), 2000) * len(vocabulary) + rng.integers(0, len(vocabulary), 2000))
+    keys = np.unique(np.concatenate((keys, 50 * len(vocabulary) + np.arange(len(vocabulary)))))
+    ask = bigram_trie._requests(vocabulary, keys, spread, 1000)
+    # every word and pair is asked once, and a run's pairs share shard and context
+    assert sorted(ask.words) == list(range(len(vocabulary))) and sorted(ask.pairs) == list(range(len(keys)))
+    assert (np.repeat(ask.contexts, ask.fans) == keys[ask.pairs] // len(vocabulary)).all()
+    assert Counter(ask.spread.tolist()) == {3: 2, 50: 40, 70: 1000}
+    assert len(np.unique(ask.shards)) == len(ask.shards)
+    spread_shard = np.repeat(ask.shards, np.diff(ask.spread_bounds))
+    run_shard = np.repeat(ask.shards, np.diff(ask.context_bounds))
+    for run, at in enumerate(ask.run_spread):
+        if ask.contexts[run] in (3, 50, 70):
+            assert (ask.spread[at], spread_shard[at]) == (ask.contexts[run], run_shard[run])
+        else:
+            assert at == -1
+    # without a context in all shards, shards that nothing is asked of get no row
+    few = bigram_trie._requests(vocabulary, keys, bigram_trie.Spread(hot[:0], np.zeros(0, np.int64)), 100_000)
+    rows = np.diff(few.word_bounds) + np.diff(few.pair_bounds)
+    assert (rows > 0).all() and len(few.shards) <= len(vocabulary) * 2
+
+
+@pytest.mark.parametrize("chunk_tokens, shard_bytes", [(10**6, 1 << 25), (500, 3000), (2000, 300)])
 def test_scores_match_brute_force(awkward, chunk_tokens, shard_bytes):
     docs = awkward.selectExpr("doc_id", "text", "coalesce(doc_id % 5 <> 1, false) AS train")
     rows = bigram_trie.score(docs, chunk_tokens, shard_bytes).collect()

@@ -9,12 +9,18 @@ logarithmic grid. The levels lie in one memory-mapped file of the task that answ
 query searches its context, follows the pointers and searches its word among values relative to the
 context.
 
-Texts stay where they are read. A task turns its texts into chunks: ids of words in the chunk, its
-different words and pairs with their training counts. Words and pairs travel to their shards, which
-add up counts, build the trie and answer for every chunk; answers meet their chunk again, which sums
-up its texts. Contexts that a hash sample shows to hold a large share of a shard spread over all
-shards; this decides only where pairs lie, not what they count. Everything that is counted or
-searched covers all texts and grows with them; nothing of it passes through the driver.
+Texts stay where they are read. A first pass counts words: their number N, the different ones V, and
+the contexts that would fill a quarter of a shard, which are dealt to as many shards as they have
+quarters. Then a task turns its texts into chunks: ids of words in the chunk, its different words and
+pairs with their training counts. A chunk sends a row to each shard for which it has any, built from
+flat arrays at once, so that the work grows with the pairs and not with chunks times shards. A shard
+adds up the counts of all chunks, builds its trie and searches every different pair once, in one call;
+the answers meet their chunk again, which sums up its texts. The number of followers of a spread
+context is asked of each of its shards. Everything that is counted or searched covers all texts and
+grows with them; the driver sees N, V and at most some four spread contexts a shard.
+
+Searches read the mapped bytes: a directory holds the stops before every 128 upper bits, so that a
+position or a value is found within one such block.
 
 Defined cases: NULL and empty texts score as the end token alone. Rows with NULL doc_id train
 nothing. Without training text every count is 0: N and V are 0, and each token gets probability 1.
@@ -31,6 +37,7 @@ from typing import Iterator, NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,11 +48,17 @@ DISCOUNT = 0.9
 # Tokens that one chunk gathers, and the bytes of text whose words and pairs make one shard.
 CHUNK_TOKENS = 4_500_000
 SHARD_BYTES = 32 << 20
-# One text in so many is read to find contexts that would fill a quarter of a shard.
-HOT_SAMPLE = 61
+# A context is spread when it occurs more than once in so many bytes of a shard: a quarter of its
+# tokens, at six bytes each.
+SPREAD_BYTES = 24
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _FP = np.uint64(24)  # successors keep the upper 40 bits of their hash
 _GRID = 4096.0  # codes per factor of ten
+_BLOCK = 16  # bytes of upper bits for each entry of a directory
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+_ONES = _BITS.sum(axis=1).astype(np.uint8)
+# position of the k-th set bit of each byte; unset ones sort to the end
+_PLACE = np.argsort(1 - _BITS, axis=1, kind="stable")
 
 
 class EliasFano(NamedTuple):
@@ -54,14 +67,16 @@ class EliasFano(NamedTuple):
     n: int
     low: int
     packed: np.ndarray
-    high: np.ndarray
+    high: np.ndarray  # whole blocks
+    before: np.ndarray  # stops before each block
 
     @staticmethod
     def of(values: np.ndarray, universe: int) -> "EliasFano":
         n = len(values)
         low = max(min((universe // max(n, 1)).bit_length() - 1, 56), 0)
         width = np.uint64(low)
-        bits = np.zeros(n + (int(values[-1] >> width) if n else 0) + 1, dtype=np.uint8)
+        size = n + (int(values[-1] >> width) if n else 0) + 1
+        bits = np.zeros(-(-size // (8 * _BLOCK)) * 8 * _BLOCK, dtype=np.uint8)
         bits[(values >> width).astype(np.int64) + np.arange(n)] = 1
         packed = np.zeros((n * low + 7) // 8 + 9, dtype=np.uint8)
         rest = values & np.uint64((1 << low) - 1)
@@ -69,7 +84,8 @@ class EliasFano(NamedTuple):
             at = np.arange(n, dtype=np.int64) * low + b
             bit = ((rest >> np.uint64(b)) & np.uint64(1)).astype(np.uint8)
             np.add.at(packed, at >> 3, bit << (at & 7).astype(np.uint8))
-        return EliasFano(n, low, packed, np.packbits(bits, bitorder="little"))
+        stops = np.cumsum(bits.reshape(-1, 8 * _BLOCK).sum(axis=1, dtype=np.int64))
+        return EliasFano(n, low, packed, np.packbits(bits, bitorder="little"), np.concatenate(([0], stops[:-1])))
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         at = i * self.low
@@ -78,21 +94,37 @@ class EliasFano(NamedTuple):
             word |= self.packed[(at >> 3) + k].astype(np.uint64) << np.uint64(8 * k)
         return (word >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.low) - 1)
 
+    def _nth(self, i: np.ndarray, bit: int) -> np.ndarray:
+        """Places of the ``i``-th upper bits that equal ``bit``: a block by the directory, the rest inside it."""
+        before = self.before if bit else np.arange(len(self.before)) * (8 * _BLOCK) - self.before
+        blocks = self.high.reshape(-1, _BLOCK)
+        out = np.empty(len(i), dtype=np.int64)
+        for lo in range(0, len(i), 1 << 16):
+            want = i[lo : lo + (1 << 16)]
+            block = np.searchsorted(before, want, side="right") - 1
+            rest = want - before[block]
+            data = blocks[block] if bit else ~blocks[block]
+            ones = np.cumsum(_ONES[data], axis=1, dtype=np.uint8)
+            byte = (ones <= rest[:, None]).sum(axis=1)
+            row = np.arange(len(want))
+            rest -= np.where(byte > 0, ones[row, byte - 1], 0)
+            out[lo : lo + (1 << 16)] = (block * _BLOCK + byte) * 8 + _PLACE[data[row, byte], rest]
+        return out
+
     def select(self, i: np.ndarray) -> np.ndarray:
         """Values at positions ``i``."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        return ((ones[i] - i).astype(np.uint64) << np.uint64(self.low)) | self.lows(i)
+        upper = self._nth(i, 1) - i
+        return (upper.astype(np.uint64) << np.uint64(self.low)) | self.lows(i)
 
     def successor(self, x: np.ndarray) -> np.ndarray:
-        """First position whose value is at least ``x``: stops bound the upper bits, halving finds the lower."""
-        bits = np.unpackbits(self.high, bitorder="little")
-        zeros = np.flatnonzero(bits == 0)
+        """First position whose value is at least ``x``: gaps bound the upper bits, halving finds the lower."""
+        gaps = len(self.high) * 8 - self.n
         top = (x >> np.uint64(self.low)).astype(np.int64)
-        inside = top < len(zeros)
-        h = np.minimum(top, len(zeros) - 1)
-        begin = np.where(h > 0, zeros[np.maximum(h - 1, 0)] - np.maximum(h - 1, 0), 0)
-        end = np.minimum(zeros[h] - h, self.n)
-        begin, end = np.where(inside, np.minimum(begin, self.n), self.n), np.where(inside, end, self.n)
+        inside = top < gaps
+        h = np.minimum(top, gaps - 1)
+        last = np.maximum(h - 1, 0)
+        begin = np.where(inside, np.where(h > 0, self._nth(last, 0) - last, 0), self.n)
+        end = np.where(inside, self._nth(h, 0) - h, self.n)
         want = x & np.uint64((1 << self.low) - 1)
         while True:
             open_ = np.flatnonzero(begin < end)
@@ -115,22 +147,25 @@ class Trie:
             EliasFano.of(starts.astype(np.uint64), len(successors) + 1),
             EliasFano.of(relative, max(len(contexts), 1) << 40),
         ]
-        codes = quantise(probabilities)
-        parts = [x for level in levels for x in (level.packed, level.high)] + [codes.view(np.uint8)]
+        parts = [x for level in levels for x in (level.before, level.high, level.packed)]
+        parts.insert(0, quantise(probabilities))
         self.file = tempfile.TemporaryFile()
+        places = []
         for part in parts:
+            self.file.write(b"\0" * (-self.file.tell() % 8))
+            places.append(self.file.tell())
             self.file.write(part.tobytes())
         self.file.write(b"\0" * 8)
         self.file.flush()
         self.map = mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)
-        views, at = [], 0
-        for part in parts:
-            views.append(np.frombuffer(self.map, dtype=np.uint8, count=len(part), offset=at))
-            at += len(part)
+        views = [
+            np.frombuffer(self.map, dtype=part.dtype, count=len(part), offset=at) for part, at in zip(parts, places)
+        ]
+        self.codes = views[0]
         self.contexts, self.pointers, self.successors = (
-            EliasFano(level.n, level.low, views[2 * i], views[2 * i + 1]) for i, level in enumerate(levels)
+            EliasFano(level.n, level.low, views[3 * i + 3], views[3 * i + 2], views[3 * i + 1])
+            for i, level in enumerate(levels)
         )
-        self.codes = views[-1]
 
     def code(self, contexts: np.ndarray, owner: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Codes of pairs (contexts[owner], words), 0 for absent ones; ``contexts`` ascend."""
@@ -141,15 +176,14 @@ class Trie:
         there = at < self.contexts.n
         place = np.minimum(at, self.contexts.n - 1)
         there &= self.contexts.select(place) == contexts
-        known = there[owner]
-        row = place[owner[known]]
-        want = (row.astype(np.uint64) << np.uint64(40)) | words[known]
+        stop = self.pointers.select(place + 1).astype(np.int64)
+        known = np.flatnonzero(there[owner])
+        row = owner[known]
+        want = (place[row].astype(np.uint64) << np.uint64(40)) | words[known]
         found = self.successors.successor(want)
-        stop = self.pointers.select(row + 1).astype(np.int64)
-        hit = np.flatnonzero(found < stop)
+        hit = np.flatnonzero(found < stop[row])
         hit = hit[self.successors.select(found[hit]) == want[hit]]
-        codes = np.frombuffer(self.codes.tobytes(), dtype=np.uint16)
-        out[np.flatnonzero(known)[hit]] = codes[found[hit]]
+        out[known[hit]] = self.codes[found[hit]]
         return out
 
     def close(self) -> None:
@@ -199,17 +233,6 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _narrow(fingerprints: np.ndarray) -> np.ndarray:
-    """40-bit numbers as bytes, five each."""
-    return np.ascontiguousarray(fingerprints.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).view("V5").reshape(-1)
-
-
-def _wide(narrow: np.ndarray) -> np.ndarray:
-    full = np.zeros((len(narrow), 8), dtype=np.uint8)
-    full[:, :5] = narrow.view(np.uint8).reshape(-1, 5)
-    return full.reshape(-1).view("<u8").astype(np.uint64)
-
-
 def _sequence(tokens: np.ndarray, offsets: np.ndarray, start: int) -> np.ndarray:
     """Context of every token: the one before it, ``start`` for the first of a text."""
     before = np.empty_like(tokens)
@@ -225,29 +248,111 @@ def _pairs(vocabulary: np.ndarray, tokens: np.ndarray, offsets: np.ndarray):
     return key, np.unique(key)
 
 
-def _word_shard(words: np.ndarray, shards: int) -> np.ndarray:
-    return (common.mix(words ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(shards)).astype(np.int64)
+def _column(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Binary column whose rows are the bytes of ``values`` between ``bounds``."""
+    values = np.ascontiguousarray(values)
+    offsets = (bounds * values.dtype.itemsize).astype(np.int32)
+    data = values.view(np.uint8) if len(values) else np.zeros(1, dtype=np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _flat(table: pa.Table, name: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all rows of a binary column, bounds of the rows in them)."""
+    kind, values, sizes = np.dtype(kind), [], [[0]]
+    for part in table.column(name).chunks:
+        if not len(part):
+            continue
+        _, offsets, data = part.buffers()
+        offsets = np.frombuffer(offsets, dtype=np.int32)[part.offset : part.offset + len(part) + 1]
+        sizes.append(np.diff(offsets) // kind.itemsize)
+        if data is not None and offsets[-1] > offsets[0]:
+            values.append(np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]].copy().view(kind))
+    return (np.concatenate(values) if values else np.zeros(0, kind)), np.cumsum(np.concatenate(sizes)).astype(np.int64)
+
+
+class Spread(NamedTuple):
+    """Contexts that lie in several shards, ascending, and in how many."""
+
+    words: np.ndarray
+    parts: np.ndarray
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """Number of shards of each word, 1 for most."""
+        if not len(self.words):
+            return np.ones(len(words), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.parts[at], 1)
+
+
+class Requests(NamedTuple):
+    """What a chunk asks of the shards that it asks at all, in the order of the shards."""
+
+    shards: np.ndarray
+    words: np.ndarray  # places in the vocabulary
+    word_bounds: np.ndarray
+    pairs: np.ndarray  # places in the keys
+    pair_bounds: np.ndarray
+    contexts: np.ndarray  # of each run of pairs with one shard and context
+    fans: np.ndarray  # lengths of the runs
+    context_bounds: np.ndarray
+    spread: np.ndarray  # spread contexts, once for each of their shards
+    spread_bounds: np.ndarray
+    run_spread: np.ndarray  # place of each run in ``spread``, or -1
+
+
+def _requests(vocabulary: np.ndarray, keys: np.ndarray, spread: Spread, shards: int) -> Requests:
+    word_shard = (common.mix(vocabulary ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(shards)).astype(np.int64)
+    home = (common.mix(vocabulary) % np.uint64(shards)).astype(np.int64)
+    parts = spread.of(vocabulary)
+    context, word = keys // len(vocabulary), keys % len(vocabulary)
+    # the shards of a spread context follow one another, so that none holds two of its parts
+    part = (common.mix(vocabulary[word] >> _FP) % parts[context].astype(np.uint64)).astype(np.int64)
+    pair_shard = (home[context] + part) % shards
+    used = np.zeros(len(vocabulary), dtype=bool)
+    used[context] = True
+    asked = np.flatnonzero(used & (parts > 1))
+    asked = np.repeat(asked, parts[asked])
+    runs = np.flatnonzero(np.concatenate(([True], asked[1:] != asked[:-1]))) if len(asked) else asked
+    step = np.arange(len(asked)) - np.repeat(runs, np.diff(np.append(runs, len(asked))))
+    asked_shard = (home[asked] + step) % shards
+    words, pairs = np.argsort(word_shard, kind="stable"), np.argsort(pair_shard, kind="stable")
+    order = np.lexsort((asked, asked_shard))
+    asked, asked_shard = asked[order], asked_shard[order]
+    present = np.unique(np.concatenate((word_shard, pair_shard, asked_shard)))
+    bounds = lambda sorted_shards: np.append(np.searchsorted(sorted_shards, present), len(sorted_shards))
+    # pairs are in order of their keys within a shard, so a context's pairs lie together
+    s, c = pair_shard[pairs], context[pairs]
+    first = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (c[1:] != c[:-1])))) if len(s) else s
+    run_spread = np.full(len(first), -1)
+    mine = np.flatnonzero(parts[c[first]] > 1)
+    width = len(vocabulary)
+    run_spread[mine] = np.searchsorted(asked_shard * width + asked, s[first[mine]] * width + c[first[mine]])
+    return Requests(
+        present, words, bounds(word_shard[words]), pairs, bounds(s), c[first], np.diff(np.append(first, len(s))),
+        bounds(s[first]), asked, bounds(asked_shard), run_spread,
+    )
 
 
-def _pair_shard(contexts: np.ndarray, words: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
-    spread = np.where(np.isin(contexts, hot), words | np.uint64(1), np.uint64(0))
-    return (common.mix(contexts + common.mix(spread)) % np.uint64(shards)).astype(np.int64)
+_ASK = (
+    "shard long, chunk long, words binary, counts binary, contexts binary, fans binary, successors binary, "
+    "pair_counts binary, spread binary, own binary"
+)
+_TELL = (
+    "shard long, chunk long, counts binary, codes binary, followers binary, spread_followers binary, "
+    "spread_totals binary, own binary"
+)
 
 
-def _requests(vocabulary, keys, hot, shards):
-    """Order of words and of pairs by shard, with the bounds of each shard."""
-    word_shard = _word_shard(vocabulary, shards)
-    word_order = np.argsort(word_shard, kind="stable")
-    word_bounds = np.searchsorted(word_shard[word_order], np.arange(shards + 1))
-    context, word = keys // len(vocabulary), keys % len(vocabulary)
-    pair_shard = _pair_shard(vocabulary[context], vocabulary[word] >> _FP, hot, shards)
-    pair_order = np.argsort(pair_shard, kind="stable")
-    pair_bounds = np.searchsorted(pair_shard[pair_order], np.arange(shards + 1))
-    return word_order, word_bounds, context, word, pair_order, pair_bounds
+def _batch(columns: dict, schema: str) -> pa.RecordBatch:
+    """Columns in the order of ``schema``; missing ones are NULL."""
+    n = len(next(iter(columns.values())))
+    names = [(part.split()[0], pa.int64() if part.endswith("long") else pa.binary()) for part in schema.split(", ")]
+    arrays = [pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in names]
+    return pa.RecordBatch.from_arrays(arrays, names=[c for c, _ in names])
 
 
-def _chunk_rows(chunk: int, ids, missing, train, lengths, hashes, hot, shards):
-    """The chunk's own row (shard below zero) and its request to every shard."""
+def _chunk_rows(chunk: int, ids, missing, train, lengths, hashes, spread: Spread, shards: int):
+    """The chunk's own row (shard below zero) and its requests."""
     offsets = np.concatenate(([0], np.cumsum(lengths)))
     vocabulary, tokens = np.unique(np.concatenate((hashes, [START, END])), return_inverse=True)
     tokens = tokens[:-2].astype(np.int64)
@@ -256,63 +361,55 @@ def _chunk_rows(chunk: int, ids, missing, train, lengths, hashes, hot, shards):
     key, keys = _pairs(vocabulary, tokens, offsets)
     pair_counts = np.bincount(np.searchsorted(keys, key[learned]), minlength=len(keys))
     del key
-    # a context is counted once for each token that follows it
-    context_counts = counts.copy()
-    context_counts[np.searchsorted(vocabulary, START)] = int(train.sum())
     own = _pack(ids, missing, train, lengths.astype(np.int64), tokens.astype(np.uint32), vocabulary)
-    yield -1 - chunk, chunk, own
-    word_order, word_bounds, context, word, pair_order, pair_bounds = _requests(vocabulary, keys, hot, shards)
-    hot_here = hot[np.isin(hot, vocabulary)]
-    hot_counts = context_counts[np.searchsorted(vocabulary, hot_here)]
-    for s in range(shards):
-        w = word_order[word_bounds[s] : word_bounds[s + 1]]
-        p = pair_order[pair_bounds[s] : pair_bounds[s + 1]]
-        # pairs are in order of their keys, so a context's pairs lie together
-        first = np.flatnonzero(np.concatenate(([True], context[p][1:] != context[p][:-1]))) if len(p) else p
-        fan = np.diff(np.concatenate((first, [len(p)]))) if len(p) else first
-        yield s, chunk, _pack(
-            vocabulary[w],
-            counts[w].astype(np.uint32),
-            vocabulary[context[p[first]]],
-            context_counts[context[p[first]]].astype(np.uint32),
-            fan.astype(np.uint32),
-            _narrow(vocabulary[word[p]] >> _FP),
-            pair_counts[p].astype(np.uint32),
-            hot_here,
-            hot_counts.astype(np.uint32),
-        )
+    yield _batch({"shard": [-1 - chunk], "chunk": [chunk], "own": [own]}, _ASK)
+    ask = _requests(vocabulary, keys, spread, shards)
+    # five bytes of each successor
+    successors = vocabulary[keys[ask.pairs] % len(vocabulary)] >> _FP
+    successors = np.ascontiguousarray(successors.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).reshape(-1)
+    yield _batch(
+        {
+            "shard": ask.shards,
+            "chunk": np.full(len(ask.shards), chunk),
+            "words": _column(vocabulary[ask.words], ask.word_bounds),
+            "counts": _column(counts[ask.words].astype(np.uint32), ask.word_bounds),
+            "contexts": _column(vocabulary[ask.contexts], ask.context_bounds),
+            "fans": _column(ask.fans.astype(np.uint32), ask.context_bounds),
+            "successors": _column(successors, ask.pair_bounds * 5),
+            "pair_counts": _column(pair_counts[ask.pairs].astype(np.uint32), ask.pair_bounds),
+            "spread": _column(vocabulary[ask.spread], ask.spread_bounds),
+        },
+        _ASK,
+    )
 
 
-_ROW = "shard long, chunk long, payload binary"
-
-
-def _chunks(hot: np.ndarray, shards: int, chunk_tokens: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, number = TaskContext.get().partitionId(), 0
-        held: list = []
-        size = 0
-
-        def flush():
-            ids, missing, train, lengths, hashes = (np.concatenate(x) for x in zip(*held))
-            for row in _chunk_rows((task << 24) + number, ids, missing, train, lengths, hashes, hot, shards):
-                yield pd.DataFrame([row], columns=["shard", "chunk", "payload"])
-
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else None for t in pdf["text"]]
-            missing = pdf["doc_id"].isna().to_numpy()
-            ids = pdf["doc_id"].fillna(0).to_numpy(dtype=np.int64)
-            train = pdf["train"].to_numpy(dtype=bool)
-            for lo, hi in common.slices(texts):
-                words, offsets = common.word_hashes(texts[lo:hi])
-                ends = np.insert(words, offsets[1:], END)
-                lengths = np.diff(offsets) + 1
-                held.append((ids[lo:hi], missing[lo:hi], train[lo:hi], lengths, ends))
-                size += len(ends)
-                if size >= chunk_tokens:
-                    yield from flush()
-                    held, size, number = [], 0, number + 1
-        if held:
-            yield from flush()
+def _texts(batches: Iterator[pa.RecordBatch], limit: int):
+    """(ids, missing ids, train, numbers of tokens, hashes of tokens) of some ``limit`` tokens at a time."""
+    held: list = []
+    size = 0
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        ids = batch.column("doc_id")
+        missing = ids.is_null().to_numpy(zero_copy_only=False)
+        ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
+        for lo, hi in common.slices(texts):
+            words, offsets = common.word_hashes(texts[lo:hi])
+            ends = np.insert(words, offsets[1:], END)
+            held.append((ids[lo:hi], missing[lo:hi], train[lo:hi], np.diff(offsets) + 1, ends))
+            size += len(ends)
+            if size >= limit:
+                yield tuple(np.concatenate(x) for x in zip(*held))
+                held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def _chunks(spread: Spread, shards: int, chunk_tokens: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for number, texts in enumerate(_texts(batches, chunk_tokens)):
+            yield from _chunk_rows((task << 24) + number, *texts, spread, shards)
 
     return run
 
@@ -320,143 +417,140 @@ def _chunks(hot: np.ndarray, shards: int, chunk_tokens: int):
 # -- shards -------------------------------------------------------------------------------------
 
 
-def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
+def _answer(table: pa.Table) -> pa.Table:
     """Answers of one shard to all chunks; a chunk's own row passes through."""
-    if pdf["shard"].iloc[0] < 0:
-        return pdf[["shard", "chunk", "payload"]]
-    requests = [_unpack(bytes(x)) for x in pdf["payload"]]
-    words, inverse = np.unique(np.concatenate([r[0] for r in requests]), return_inverse=True)
-    counts = np.bincount(inverse, np.concatenate([r[1] for r in requests]).astype(np.float64), len(words)).astype(np.int64)
-    contexts, at = np.unique(np.concatenate([np.concatenate((r[2], r[7])) for r in requests]), return_inverse=True)
-    # a hot context's count comes with every chunk, another's with the chunks that ask for it
-    totals = np.zeros(len(contexts), dtype=np.int64)
-    begin, owner = 0, []
-    for r in requests:
-        n, own = len(r[2]), at[begin : begin + len(r[2])]
-        hot_at = at[begin + n : begin + n + len(r[7])]
-        cold = ~np.isin(own, hot_at)
-        totals[own[cold]] += r[3][cold]
-        totals[hot_at] += r[8]
-        owner.append(np.repeat(own, r[4]))
-        begin += n + len(r[7])
-    owner = np.concatenate(owner)
-    successor = np.concatenate([_wide(r[5]) for r in requests])
-    pair_counts = np.concatenate([r[6] for r in requests])
+    if table.column("shard")[0].as_py() < 0:
+        own = {name: table.column(name).combine_chunks() for name in ("shard", "chunk", "own")}
+        return pa.Table.from_batches([_batch(own, _TELL)])
+    asked, word_bounds = _flat(table, "words", "<u8")
+    words, inverse = np.unique(asked, return_inverse=True)
+    counts = np.bincount(inverse, _flat(table, "counts", "<u4")[0], len(words)).astype(np.int64)
+    own_contexts, context_bounds = _flat(table, "contexts", "<u8")
+    spread, spread_bounds = _flat(table, "spread", "<u8")
+    contexts, at = np.unique(np.concatenate((own_contexts, spread)), return_inverse=True)
+    narrow, pair_bounds = _flat(table, "successors", "u1")
+    pair_bounds //= 5
+    key = np.zeros((len(narrow) // 5, 8), dtype=np.uint8)
+    key[:, :5] = narrow.reshape(-1, 5)
+    key = key.reshape(-1).view("<u8")
+    key |= np.repeat(at[: len(own_contexts)], _flat(table, "fans", "<u4")[0]).astype(np.uint64) << np.uint64(40)
+    pairs, place = np.unique(key, return_inverse=True)
+    del key, narrow
+    pair_counts = np.bincount(place, _flat(table, "pair_counts", "<u4")[0], len(pairs))
+    owner, successor = (pairs >> np.uint64(40)).astype(np.int64), pairs & np.uint64((1 << 40) - 1)
     seen = pair_counts > 0
-    order = np.lexsort((successor[seen], owner[seen]))
-    o, s, c = owner[seen][order], successor[seen][order], pair_counts[seen][order].astype(np.int64)
-    if len(o):
-        first = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (s[1:] != s[:-1]))))
-        o, s, c = o[first], s[first], np.add.reduceat(c, first)
-    followers = np.bincount(o, minlength=len(contexts))
+    followers = np.bincount(owner[seen], minlength=len(contexts))
+    # each occurrence of a context has one follower; a spread one has here its part of them
+    totals = np.bincount(owner, pair_counts, len(contexts))
     trie = Trie(
         contexts[followers > 0],
         np.concatenate(([0], np.cumsum(followers[followers > 0]))),
-        s,
-        (c - DISCOUNT) / np.maximum(totals[o], 1),
+        successor[seen],
+        (pair_counts[seen] - DISCOUNT) / totals[owner[seen]],
     )
-    n_train, n_words = int(counts.sum()), int((counts > 0).sum())
-    out, at_word, at_context = [], 0, 0
-    for r in requests:
-        mine = inverse[at_word : at_word + len(r[0])]
-        n = len(r[2])
-        places = at[at_context : at_context + n + len(r[7])]
-        at_word, at_context = at_word + len(r[0]), at_context + n + len(r[7])
-        codes = trie.code(r[2], np.repeat(np.arange(n), r[4]), _wide(r[5]))
-        out.append(
-            _pack(
-                counts[mine],
-                codes,
-                followers[places].astype(np.int64),
-                np.array([n_train, n_words], dtype=np.int64),
-            )
-        )
+    codes = trie.code(contexts, owner, successor)
     trie.close()
-    return pdf[["shard", "chunk"]].assign(payload=out)
+    mine, shared = at[: len(own_contexts)], at[len(own_contexts) :]
+    return pa.Table.from_batches(
+        [
+            _batch(
+                {
+                    "shard": table.column("shard").combine_chunks(),
+                    "chunk": table.column("chunk").combine_chunks(),
+                    "counts": _column(counts[inverse], word_bounds),
+                    "codes": _column(codes[place], pair_bounds),
+                    "followers": _column(followers[mine].astype(np.uint32), context_bounds),
+                    "spread_followers": _column(followers[shared].astype(np.uint32), spread_bounds),
+                    "spread_totals": _column(totals[shared].astype(np.int64), spread_bounds),
+                },
+                _TELL,
+            )
+        ]
+    )
 
 
 _SCORE = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(hot: np.ndarray, shards: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        by_shard = dict(zip(pdf["shard"], pdf["payload"]))
-        ids, missing, train, lengths, tokens, vocabulary = _unpack(bytes(by_shard.pop(min(by_shard))))
+def _score(spread: Spread, shards: int, n: int, v: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("shard")
+        ids, missing, train, lengths, tokens, vocabulary = _unpack(table.column("own")[0].as_py())
+        table = table.slice(1)
         offsets = np.concatenate(([0], np.cumsum(lengths)))
         tokens = tokens.astype(np.int64)
         key, keys = _pairs(vocabulary, tokens, offsets)
-        word_order, word_bounds, context, _, pair_order, pair_bounds = _requests(vocabulary, keys, hot, shards)
+        ask = _requests(vocabulary, keys, spread, shards)
         counts = np.zeros(len(vocabulary), dtype=np.int64)
-        followers = np.zeros(len(vocabulary), dtype=np.int64)
-        codes = np.zeros(len(keys), dtype=np.uint16)
-        hot_at = np.searchsorted(vocabulary, hot[np.isin(hot, vocabulary)])
-        n = v = 0
-        for s in range(shards):
-            own_counts, own_codes, own_followers, totals = _unpack(bytes(by_shard.pop(s)))
-            counts[word_order[word_bounds[s] : word_bounds[s + 1]]] = own_counts
-            p = pair_order[pair_bounds[s] : pair_bounds[s + 1]]
-            codes[p] = own_codes
-            n, v = n + int(totals[0]), v + int(totals[1])
-            # a hot context's successors lie in all shards, asked for or not
-            n_cold = len(own_followers) - len(hot_at)
-            if len(p):
-                first = np.flatnonzero(np.concatenate(([True], context[p][1:] != context[p][:-1])))
-                asked = context[p[first]]
-                cold = ~np.isin(asked, hot_at)
-                followers[asked[cold]] += own_followers[:n_cold][cold]
-            followers[hot_at] += own_followers[n_cold:]
-        base = (counts + 0.5) / (n + 0.5 * (v + 1))
+        counts[ask.words] = _flat(table, "counts", "<i8")[0]
         before = counts.copy()  # how often each word was a context
         before[np.searchsorted(vocabulary, START)] = counts[np.searchsorted(vocabulary, END)]
+        # followers of a spread context lie in all its shards; a part's probabilities count within the part
+        cold = ask.run_spread < 0
+        followers = np.zeros(len(vocabulary), dtype=np.int64)
+        followers[ask.contexts[cold]] = _flat(table, "followers", "<u4")[0][cold]
+        np.add.at(followers, ask.spread, _flat(table, "spread_followers", "<u4")[0].astype(np.int64))
+        share = np.ones(len(ask.contexts))
+        part = _flat(table, "spread_totals", "<i8")[0][ask.run_spread[~cold]]
+        share[~cold] = part / np.maximum(before[ask.contexts[~cold]], 1)
+        seen = np.empty(len(keys))
+        seen[ask.pairs] = restored(_flat(table, "codes", "<u2")[0]) * np.repeat(share, ask.fans)
+        base = (counts + 0.5) / (n + 0.5 * (v + 1))
         # the share of a context that its unseen successors get; all of it for unseen contexts
         rest = np.where(before > 0, DISCOUNT * followers / np.maximum(before, 1), 1.0)
-        pair = np.log10(restored(codes) + rest[context] * base[keys % len(vocabulary)])
-        at = np.searchsorted(keys, key)
+        pair = np.log10(seen + rest[keys // len(vocabulary)] * base[keys % len(vocabulary)])
         starts = offsets[:-1]
-        return pd.DataFrame(
+        return pa.table(
             {
-                "doc_id": pd.array(ids, dtype="Int64").copy() if not missing.any() else pd.array(np.where(missing, None, ids), dtype="Int64"),
+                "doc_id": pa.array(ids, pa.int64(), mask=missing),
                 "train": train,
                 "n_tokens": lengths,
                 "n_known": np.add.reduceat((counts > 0)[tokens].astype(np.int64), starts),
-                "train_tokens": n,
+                "train_tokens": np.full(len(ids), n, dtype=np.int64),
                 "base_score": np.add.reduceat(np.log10(base)[tokens], starts),
-                "score": np.add.reduceat(pair[at], starts),
+                "score": np.add.reduceat(pair[np.searchsorted(keys, key)], starts),
             }
         )
 
     return run
 
 
-def hot_contexts(docs: DataFrame, shards: int) -> np.ndarray:
-    """Words that hold over a quarter of a shard's share of a hash sample: fewer than 4 x shards."""
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SAMPLE)) == 0).select("text")
+def word_totals(docs: DataFrame, shards: int, shard_bytes: int, chunk_tokens: int) -> tuple[int, int, Spread]:
+    """(training tokens N, different ones V, spread contexts) of all texts, by one count of their words."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else None for t in pdf["text"]]
-            for lo, hi in common.slices(texts):
-                words, offsets = common.word_hashes(texts[lo:hi])
-                found, times = np.unique(np.concatenate((words, np.full(hi - lo, START))), return_counts=True)
-                often = times >= max(2, len(words) / (64 * shards))
-                yield pd.DataFrame({"word": found[often].view(np.int64), "n": times[often], "total": 0})
-                yield pd.DataFrame({"word": [0], "n": [0], "total": [len(words)]})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, train, lengths, hashes in _texts(batches, chunk_tokens):
+            words, at = np.unique(np.concatenate((hashes, [START])), return_inverse=True)
+            times = np.bincount(at[:-1], minlength=len(words))
+            times[at[-1]] += len(lengths)
+            learned = np.bincount(at[:-1][np.repeat(train, lengths)], minlength=len(words))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(words.view(np.int64)), pa.array(times), pa.array(learned)], ["word", "times", "learned"]
+            )
 
-    found = sample.mapInPandas(count, "word long, n long, total long").groupBy("word")
-    found = found.agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    total = found.agg(F.sum("total")).first()[0] or 0
-    rows = found.filter(F.col("n") > total / (4 * shards)).select("word").collect()
-    return np.sort(np.array([r["word"] for r in rows], dtype=np.int64).view(np.uint64))
+    counted = docs.mapInArrow(count, "word long, times long, learned long").groupBy("word")
+    counted = counted.agg(F.sum("times").alias("times"), F.sum("learned").alias("learned"))
+    often = F.col("times") * SPREAD_BYTES > shard_bytes
+    n, v, hot = counted.agg(
+        F.sum("learned"),
+        F.sum((F.col("learned") > 0).cast("long")),
+        F.collect_list(F.when(often, F.struct("word", "times"))),
+    ).first()
+    words = np.array([r["word"] for r in hot], dtype=np.int64).view(np.uint64)
+    parts = np.array([min(shards, -(-r["times"] * SPREAD_BYTES // shard_bytes)) for r in hot], dtype=np.int64)
+    order = np.argsort(words)
+    return int(n or 0), int(v or 0), Spread(words[order], parts[order])
 
 
 def score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Scores of ``docs`` (doc_id, text, train): one row per row, with the columns of the contract."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "train")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-int(size) // shard_bytes))
-    hot = hot_contexts(docs, shards)
-    chunks = docs.select("doc_id", "text", "train").mapInPandas(_chunks(hot, shards, chunk_tokens), _ROW)
-    answers = chunks.groupBy("shard").applyInPandas(_answer, _ROW)
-    return answers.groupBy("chunk").applyInPandas(_score(hot, shards), _SCORE)
+    n, v, spread = word_totals(docs, shards, shard_bytes, chunk_tokens)
+    asks = docs.mapInArrow(_chunks(spread, shards, chunk_tokens), _ASK)
+    answers = asks.groupBy("shard").applyInArrow(_answer, _TELL)
+    return answers.groupBy("chunk").applyInArrow(_score(spread, shards, n, v), _SCORE)
 
 
 def op10_bigram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
