@@ -456,22 +456,16 @@ def test_requests_ask_every_part_of_a_spread_context_and_no_idle_shard():
     keys = np.unique(rng.integers(0, len(vocabulary), 2000) * len(vocabulary) + rng.integers(0, len(vocabulary), 2000))
     keys = np.unique(np.concatenate((keys, 50 * len(vocabulary) + np.arange(len(vocabulary)))))
     ask = bigram_trie._requests(vocabulary, keys, spread, 1000)
-    # every word and pair is asked once, and a run's pairs share shard and context
-    assert sorted(ask.words) == list(range(len(vocabulary))) and sorted(ask.pairs) == list(range(len(keys)))
-    assert (np.repeat(ask.contexts, ask.fans) == keys[ask.pairs] // len(vocabulary)).all()
-    assert Counter(ask.spread.tolist()) == {3: 2, 50: 40, 70: 1000}
-    assert len(np.unique(ask.shards)) == len(ask.shards)
-    spread_shard = np.repeat(ask.shards, np.diff(ask.spread_bounds))
-    run_shard = np.repeat(ask.shards, np.diff(ask.context_bounds))
-    for run, at in enumerate(ask.run_spread):
-        if ask.contexts[run] in (3, 50, 70):
-            assert (ask.spread[at], spread_shard[at]) == (ask.contexts[run], run_shard[run])
-        else:
-            assert at == -1
+    # every word and pair is asked once, and pairs follow the words that are their contexts
+    assert sorted(ask.words[~ask.is_spread]) == list(range(len(vocabulary))) and sorted(ask.pairs) == list(range(len(keys)))
+    assert (np.repeat(ask.words, ask.fans) == keys[ask.pairs] // len(vocabulary)).all()
+    far = np.isin(ask.words, (3, 50, 70))
+    assert (np.repeat(ask.is_spread, ask.fans) == np.repeat(far, ask.fans)).all()
+    assert Counter(ask.words[ask.is_spread].tolist()) == {3: 2, 50: 40, 70: 1000}
+    assert len(np.unique(ask.shards)) == len(ask.shards) and (ask.pair_bounds == np.cumsum([0, *ask.fans])[ask.bounds]).all()
     # without a context in all shards, shards that nothing is asked of get no row
     few = bigram_trie._requests(vocabulary, keys, bigram_trie.Spread(hot[:0], np.zeros(0, np.int64)), 100_000)
-    rows = np.diff(few.word_bounds) + np.diff(few.pair_bounds)
-    assert (rows > 0).all() and len(few.shards) <= len(vocabulary) * 2
+    assert (np.diff(few.bounds) > 0).all() and len(few.shards) <= len(vocabulary)
 
 
 @pytest.mark.parametrize("chunk_tokens, shard_bytes", [(10**6, 1 << 25), (500, 3000), (2000, 300)])

@@ -241,11 +241,23 @@ def _sequence(tokens: np.ndarray, offsets: np.ndarray, start: int) -> np.ndarray
     return before
 
 
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted different keys, place of each key in them); keys that fit are sorted with their position inside."""
+    bits = len(key).bit_length()
+    if not len(key) or int(key.max()).bit_length() + bits > 63:
+        return np.unique(key, return_inverse=True)
+    packed = np.sort((key << bits) | np.arange(len(key)))
+    order, packed = packed & ((1 << bits) - 1), packed >> bits
+    new = np.concatenate(([True], packed[1:] != packed[:-1]))
+    place = np.empty(len(key), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    return packed[new], place
+
+
 def _pairs(vocabulary: np.ndarray, tokens: np.ndarray, offsets: np.ndarray):
-    """(key of every token's pair, sorted different keys)."""
+    """(sorted different keys of pairs, place of every token's pair in them)."""
     start = int(np.searchsorted(vocabulary, START))
-    key = _sequence(tokens, offsets, start).astype(np.int64) * len(vocabulary) + tokens
-    return key, np.unique(key)
+    return _ranked(_sequence(tokens, offsets, start).astype(np.int64) * len(vocabulary) + tokens)
 
 
 def _column(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -288,61 +300,81 @@ class Requests(NamedTuple):
     """What a chunk asks of the shards that it asks at all, in the order of the shards."""
 
     shards: np.ndarray
-    words: np.ndarray  # places in the vocabulary
-    word_bounds: np.ndarray
+    words: np.ndarray  # places in the vocabulary: a shard's own words, then its spread contexts
+    is_spread: np.ndarray
+    bounds: np.ndarray
+    fans: np.ndarray  # pairs of each word as a context
     pairs: np.ndarray  # places in the keys
     pair_bounds: np.ndarray
-    contexts: np.ndarray  # of each run of pairs with one shard and context
-    fans: np.ndarray  # lengths of the runs
-    context_bounds: np.ndarray
-    spread: np.ndarray  # spread contexts, once for each of their shards
-    spread_bounds: np.ndarray
-    run_spread: np.ndarray  # place of each run in ``spread``, or -1
+
+
+def _by_shard(shard: np.ndarray, second: np.ndarray, shards: int) -> np.ndarray:
+    """Stable order by shard and flag, by counting where numbers are small."""
+    return np.argsort((shard * 2 + second).astype(np.uint16 if shards < 1 << 15 else np.int64), kind="stable")
 
 
 def _requests(vocabulary: np.ndarray, keys: np.ndarray, spread: Spread, shards: int) -> Requests:
-    word_shard = (common.mix(vocabulary ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(shards)).astype(np.int64)
+    width = len(vocabulary)
     home = (common.mix(vocabulary) % np.uint64(shards)).astype(np.int64)
     parts = spread.of(vocabulary)
-    context, word = keys // len(vocabulary), keys % len(vocabulary)
+    context = keys // width
+    # words and their pairs as contexts share a shard; spread contexts deal their pairs by successor
+    shard = home[context]
+    spreads = parts > 1
+    far = np.flatnonzero(spreads[context])
+    successor = common.mix(vocabulary[keys[far] - context[far] * width] >> _FP)
     # the shards of a spread context follow one another, so that none holds two of its parts
-    part = (common.mix(vocabulary[word] >> _FP) % parts[context].astype(np.uint64)).astype(np.int64)
-    pair_shard = (home[context] + part) % shards
-    used = np.zeros(len(vocabulary), dtype=bool)
-    used[context] = True
-    asked = np.flatnonzero(used & (parts > 1))
-    asked = np.repeat(asked, parts[asked])
-    runs = np.flatnonzero(np.concatenate(([True], asked[1:] != asked[:-1]))) if len(asked) else asked
-    step = np.arange(len(asked)) - np.repeat(runs, np.diff(np.append(runs, len(asked))))
-    asked_shard = (home[asked] + step) % shards
-    words, pairs = np.argsort(word_shard, kind="stable"), np.argsort(pair_shard, kind="stable")
-    order = np.lexsort((asked, asked_shard))
-    asked, asked_shard = asked[order], asked_shard[order]
-    present = np.unique(np.concatenate((word_shard, pair_shard, asked_shard)))
-    bounds = lambda sorted_shards: np.append(np.searchsorted(sorted_shards, present), len(sorted_shards))
-    # pairs are in order of their keys within a shard, so a context's pairs lie together
-    s, c = pair_shard[pairs], context[pairs]
-    first = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (c[1:] != c[:-1])))) if len(s) else s
-    run_spread = np.full(len(first), -1)
-    mine = np.flatnonzero(parts[c[first]] > 1)
-    width = len(vocabulary)
-    run_spread[mine] = np.searchsorted(asked_shard * width + asked, s[first[mine]] * width + c[first[mine]])
-    return Requests(
-        present, words, bounds(word_shard[words]), pairs, bounds(s), c[first], np.diff(np.append(first, len(s))),
-        bounds(s[first]), asked, bounds(asked_shard), run_spread,
-    )
+    shard[far] = (shard[far] + (successor % parts[context[far]].astype(np.uint64)).astype(np.int64)) % shards
+    is_far = np.zeros(len(keys), dtype=bool)
+    is_far[far] = True
+    pairs = _by_shard(shard, is_far, shards)
+    used = np.zeros(width, dtype=bool)
+    used[context[far]] = True
+    asked = np.repeat(np.flatnonzero(used), parts[used])
+    runs = np.cumsum(parts[used]) - parts[used]
+    asked_shard = (home[asked] + np.arange(len(asked)) - np.repeat(runs, parts[used])) % shards
+    words = np.concatenate((np.arange(width), asked))
+    word_shard = np.concatenate((home, asked_shard))
+    is_spread = np.arange(len(words)) >= width
+    order = _by_shard(word_shard, is_spread, shards)
+    words, word_shard, is_spread = words[order], word_shard[order], is_spread[order]
+    fans = np.bincount(context[~is_far], minlength=width)[words]
+    far = pairs[is_far[pairs]]
+    far = shard[far] * width + context[far]
+    there = word_shard[is_spread] * width + words[is_spread]
+    fans[is_spread] = np.searchsorted(far, there, side="right") - np.searchsorted(far, there)
+    present = word_shard[np.flatnonzero(np.concatenate(([True], word_shard[1:] != word_shard[:-1])))]
+    bounds = np.append(np.searchsorted(word_shard, present), len(words))
+    total = np.concatenate(([0], np.cumsum(fans)))
+    return Requests(present, words, is_spread, bounds, fans, pairs, total[bounds])
 
 
 _ASK = (
-    "shard long, chunk long, words binary, counts binary, contexts binary, fans binary, successors binary, "
-    "pair_counts binary, spread binary, own binary"
+    "shard long, chunk long, n_spread long, words binary, counts binary, counts_large binary, fans binary, "
+    "fans_large binary, successors binary, pair_counts binary, pair_counts_large binary, own binary"
 )
 _TELL = (
-    "shard long, chunk long, counts binary, codes binary, followers binary, spread_followers binary, "
-    "spread_totals binary, own binary"
+    "shard long, chunk long, counts binary, counts_large binary, codes binary, followers binary, "
+    "followers_large binary, own binary"
 )
 
 
+def _numbers(name: str, values: np.ndarray, bounds: np.ndarray) -> dict:
+    """Columns of numbers as bytes, with those from 255 on in a second column."""
+    large = values >= 255
+    behind = np.concatenate(([0], np.cumsum(large)))
+    return {
+        name: _column(np.minimum(values, 255).astype(np.uint8), bounds),
+        f"{name}_large": _column(values[large].astype(np.int64), behind[bounds]),
+    }
+
+
+def _read_numbers(table: pa.Table, name: str) -> np.ndarray:
+    values = _flat(table, name, "u1")[0].astype(np.int64)
+    values[values == 255] = _flat(table, f"{name}_large", "<i8")[0]
+    return values
+
+
 def _batch(columns: dict, schema: str) -> pa.RecordBatch:
     """Columns in the order of ``schema``; missing ones are NULL."""
     n = len(next(iter(columns.values())))
@@ -358,9 +390,9 @@ def _chunk_rows(chunk: int, ids, missing, train, lengths, hashes, spread: Spread
     tokens = tokens[:-2].astype(np.int64)
     learned = np.repeat(train, lengths)
     counts = np.bincount(tokens[learned], minlength=len(vocabulary))
-    key, keys = _pairs(vocabulary, tokens, offsets)
-    pair_counts = np.bincount(np.searchsorted(keys, key[learned]), minlength=len(keys))
-    del key
+    keys, place = _pairs(vocabulary, tokens, offsets)
+    pair_counts = np.bincount(place[learned], minlength=len(keys))
+    del place
     own = _pack(ids, missing, train, lengths.astype(np.int64), tokens.astype(np.uint32), vocabulary)
     yield _batch({"shard": [-1 - chunk], "chunk": [chunk], "own": [own]}, _ASK)
     ask = _requests(vocabulary, keys, spread, shards)
@@ -371,13 +403,12 @@ def _chunk_rows(chunk: int, ids, missing, train, lengths, hashes, spread: Spread
         {
             "shard": ask.shards,
             "chunk": np.full(len(ask.shards), chunk),
-            "words": _column(vocabulary[ask.words], ask.word_bounds),
-            "counts": _column(counts[ask.words].astype(np.uint32), ask.word_bounds),
-            "contexts": _column(vocabulary[ask.contexts], ask.context_bounds),
-            "fans": _column(ask.fans.astype(np.uint32), ask.context_bounds),
+            "n_spread": np.add.reduceat(ask.is_spread.astype(np.int64), ask.bounds[:-1]),
+            "words": _column(vocabulary[ask.words], ask.bounds),
+            **_numbers("counts", np.where(ask.is_spread, 0, counts[ask.words]), ask.bounds),
+            **_numbers("fans", ask.fans, ask.bounds),
             "successors": _column(successors, ask.pair_bounds * 5),
-            "pair_counts": _column(pair_counts[ask.pairs].astype(np.uint32), ask.pair_bounds),
-            "spread": _column(vocabulary[ask.spread], ask.spread_bounds),
+            **_numbers("pair_counts", pair_counts[ask.pairs], ask.pair_bounds),
         },
         _ASK,
     )
@@ -422,46 +453,45 @@ def _answer(table: pa.Table) -> pa.Table:
     if table.column("shard")[0].as_py() < 0:
         own = {name: table.column(name).combine_chunks() for name in ("shard", "chunk", "own")}
         return pa.Table.from_batches([_batch(own, _TELL)])
-    asked, word_bounds = _flat(table, "words", "<u8")
-    words, inverse = np.unique(asked, return_inverse=True)
-    counts = np.bincount(inverse, _flat(table, "counts", "<u4")[0], len(words)).astype(np.int64)
-    own_contexts, context_bounds = _flat(table, "contexts", "<u8")
-    spread, spread_bounds = _flat(table, "spread", "<u8")
-    contexts, at = np.unique(np.concatenate((own_contexts, spread)), return_inverse=True)
+    asked, bounds = _flat(table, "words", "<u8")
+    words, at = np.unique(asked, return_inverse=True)
+    del asked
+    counts = np.bincount(at, _read_numbers(table, "counts"), len(words)).astype(np.int64)
     narrow, pair_bounds = _flat(table, "successors", "u1")
     pair_bounds //= 5
     key = np.zeros((len(narrow) // 5, 8), dtype=np.uint8)
     key[:, :5] = narrow.reshape(-1, 5)
+    del narrow
     key = key.reshape(-1).view("<u8")
-    key |= np.repeat(at[: len(own_contexts)], _flat(table, "fans", "<u4")[0]).astype(np.uint64) << np.uint64(40)
+    key |= np.repeat(at, _read_numbers(table, "fans")).astype(np.uint64) << np.uint64(40)
     pairs, place = np.unique(key, return_inverse=True)
-    del key, narrow
-    pair_counts = np.bincount(place, _flat(table, "pair_counts", "<u4")[0], len(pairs))
+    del key
+    pair_counts = np.bincount(place, _read_numbers(table, "pair_counts"), len(pairs))
     owner, successor = (pairs >> np.uint64(40)).astype(np.int64), pairs & np.uint64((1 << 40) - 1)
     seen = pair_counts > 0
-    followers = np.bincount(owner[seen], minlength=len(contexts))
+    followers = np.bincount(owner[seen], minlength=len(words))
     # each occurrence of a context has one follower; a spread one has here its part of them
-    totals = np.bincount(owner, pair_counts, len(contexts))
+    totals = np.bincount(owner, pair_counts, len(words)).astype(np.int64)
     trie = Trie(
-        contexts[followers > 0],
+        words[followers > 0],
         np.concatenate(([0], np.cumsum(followers[followers > 0]))),
         successor[seen],
         (pair_counts[seen] - DISCOUNT) / totals[owner[seen]],
     )
-    codes = trie.code(contexts, owner, successor)
+    codes = trie.code(words, owner, successor)
     trie.close()
-    mine, shared = at[: len(own_contexts)], at[len(own_contexts) :]
+    sizes = np.diff(bounds)
+    n_spread = table.column("n_spread").to_numpy()
+    is_spread = np.arange(bounds[-1]) >= np.repeat(bounds[1:] - n_spread, sizes)
     return pa.Table.from_batches(
         [
             _batch(
                 {
                     "shard": table.column("shard").combine_chunks(),
                     "chunk": table.column("chunk").combine_chunks(),
-                    "counts": _column(counts[inverse], word_bounds),
+                    **_numbers("counts", np.where(is_spread, totals[at], counts[at]), bounds),
                     "codes": _column(codes[place], pair_bounds),
-                    "followers": _column(followers[mine].astype(np.uint32), context_bounds),
-                    "spread_followers": _column(followers[shared].astype(np.uint32), spread_bounds),
-                    "spread_totals": _column(totals[shared].astype(np.int64), spread_bounds),
+                    **_numbers("followers", followers[at], bounds),
                 },
                 _TELL,
             )
@@ -479,20 +509,21 @@ def _score(spread: Spread, shards: int, n: int, v: int):
         table = table.slice(1)
         offsets = np.concatenate(([0], np.cumsum(lengths)))
         tokens = tokens.astype(np.int64)
-        key, keys = _pairs(vocabulary, tokens, offsets)
+        keys, place = _pairs(vocabulary, tokens, offsets)
         ask = _requests(vocabulary, keys, spread, shards)
+        told, fan = _read_numbers(table, "counts"), _read_numbers(table, "followers")
         counts = np.zeros(len(vocabulary), dtype=np.int64)
-        counts[ask.words] = _flat(table, "counts", "<i8")[0]
+        counts[ask.words[~ask.is_spread]] = told[~ask.is_spread]
         before = counts.copy()  # how often each word was a context
         before[np.searchsorted(vocabulary, START)] = counts[np.searchsorted(vocabulary, END)]
         # followers of a spread context lie in all its shards; a part's probabilities count within the part
-        cold = ask.run_spread < 0
         followers = np.zeros(len(vocabulary), dtype=np.int64)
-        followers[ask.contexts[cold]] = _flat(table, "followers", "<u4")[0][cold]
-        np.add.at(followers, ask.spread, _flat(table, "spread_followers", "<u4")[0].astype(np.int64))
-        share = np.ones(len(ask.contexts))
-        part = _flat(table, "spread_totals", "<i8")[0][ask.run_spread[~cold]]
-        share[~cold] = part / np.maximum(before[ask.contexts[~cold]], 1)
+        followers[ask.words[~ask.is_spread]] = fan[~ask.is_spread]
+        far = ask.words[ask.is_spread]
+        followers[far] = 0
+        np.add.at(followers, far, fan[ask.is_spread])
+        share = np.ones(len(ask.words))
+        share[ask.is_spread] = told[ask.is_spread] / np.maximum(before[far], 1)
         seen = np.empty(len(keys))
         seen[ask.pairs] = restored(_flat(table, "codes", "<u2")[0]) * np.repeat(share, ask.fans)
         base = (counts + 0.5) / (n + 0.5 * (v + 1))
@@ -508,7 +539,7 @@ def _score(spread: Spread, shards: int, n: int, v: int):
                 "n_known": np.add.reduceat((counts > 0)[tokens].astype(np.int64), starts),
                 "train_tokens": np.full(len(ids), n, dtype=np.int64),
                 "base_score": np.add.reduceat(np.log10(base)[tokens], starts),
-                "score": np.add.reduceat(pair[np.searchsorted(keys, key)], starts),
+                "score": np.add.reduceat(pair[place], starts),
             }
         )
 
