@@ -1,10 +1,10 @@
 """Quality scores by nearest-neighbour voting in a latent-semantic space (operator 8).
 
-Texts become counts of hashed shape trigrams (letters by case, digits, blanks, each punctuation
-mark) and of repetition terms. Weighted by inverse document frequency and projected onto the
-leading singular vectors of the labelled sample they become unit vectors. Every document is
-compared with all broadcast labelled vectors in blocks, exactly; its nearest neighbours vote with
-their labels, weighted by similarity.
+Texts become counts of hashed words and character trigrams (both without case), of shape trigrams
+(letters by case, digits, blanks, each punctuation mark) and of repetition terms; characters are code
+points. Weighted by inverse document frequency and projected onto the leading singular vectors of the
+labelled sample they become unit vectors. Every document is compared with all broadcast labelled
+vectors in blocks, exactly; its nearest neighbours vote with their labels, weighted by similarity.
 
 Defined cases: NULL and empty texts have the zero vector and get the mean label of the sample, as
 does every text when nothing was learned (0.5 without labels). Texts are read whole. Similarity
@@ -16,6 +16,8 @@ doc_id the text with the smallest hash is learned, NULL only if there is no othe
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
 from typing import Iterator, NamedTuple
 
 import numpy as np
@@ -25,13 +27,15 @@ from pyspark.sql import functions as F
 
 from tremorframe.llm import common
 
-TERMS = 4096
+# Hashed terms of each kind; shapes end with _REPEATS terms that stand for repetition.
+SHAPES, WORDS, GRAMS = 4096, 2048, 2048
+TERMS = SHAPES + WORDS + GRAMS
 RANK = 48
 # Neighbours that vote, and the most labelled texts that are learned (the first by hash of the id).
 NEIGHBOURS = 25
 TRAIN_TEXTS = 4000
 THRESHOLD = 0.7
-_REPEATS = 64  # terms at the end of the range that stand for repetition
+_REPEATS = 64
 
 
 class Model(NamedTuple):
@@ -42,46 +46,71 @@ class Model(NamedTuple):
     mean: float
 
 
-def _classes() -> np.ndarray:
-    """Byte classes: blank, line end, lower letter (and bytes of other scripts), capital, digit, marks."""
-    table = np.zeros(256, dtype=np.int64)
-    table[97:123], table[65:91], table[48:58], table[128:] = 2, 3, 4, 2
-    table[[10, 13]] = 1
-    marks = [b for b in range(33, 127) if not chr(b).isalnum()]
-    table[marks] = np.arange(5, 5 + len(marks))
-    return table
+@lru_cache(maxsize=1)
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """(class, lower form) of every code point.
+
+    Classes: blank, line end, lower letter (and letters without case), capital, digit, marks.
+    """
+    kinds = {"Lu": 3, "Lt": 3, "Nd": 4, "Zs": 0, "Cc": 0}
+    classes, lower = np.full(0x110000, 2, dtype=np.uint8), np.arange(0x110000, dtype=np.uint32)
+    for c in range(0x30000):  # planes beyond hold letters without case and unassigned points alone
+        kind = unicodedata.category(chr(c))
+        classes[c] = 5 + c % 57 if kind[0] in "PS" else kinds.get(kind, 2)
+        if kind in ("Lu", "Lt"):
+            small = chr(c).lower()
+            lower[c] = ord(small) if len(small) == 1 else c
+    classes[[10, 13]] = 1
+    return classes, lower
+
+
+def _trigrams(x: np.ndarray, kinds: int) -> np.ndarray:
+    x = x.astype(np.uint64)
+    key = (x[:-2] << np.uint64(42)) | (x[1:-1] << np.uint64(21)) | x[2:]
+    return (common.mix(key) % np.uint64(kinds)).astype(np.int64)
 
 
 def term_counts(texts: list) -> np.ndarray:
-    """(texts, TERMS) counts of shape trigrams and repetition terms."""
-    table = _classes()
-    raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
-    sizes = np.array([len(b) + 2 for b in raw], dtype=np.int64)
-    data = table[np.frombuffer(b"".join(b + b"  " for b in raw), dtype=np.uint8)]
-    owner = np.repeat(np.arange(len(raw)), sizes)
-    gram = data[:-2] * 4096 + data[1:-1] * 64 + data[2:]
-    term = ((gram * 2654435761) >> 13) % (TERMS - _REPEATS)
+    """(texts, TERMS) counts of shape trigrams, repetition terms, words and character trigrams."""
+    classes, lower = _characters()
+    whole = [t or "" for t in texts]
+    sizes = np.array([len(t) + 2 for t in whole], dtype=np.int64)
+    points = np.frombuffer("".join(t + "  " for t in whole).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    owner = np.repeat(np.arange(len(whole)), sizes)
     same = owner[:-2] == owner[2:]
-    out = np.bincount(owner[:-2][same] * TERMS + term[same], minlength=len(raw) * TERMS)
-    out = out.reshape(len(raw), TERMS).astype(np.float32)
-    words, offsets = common.word_hashes(texts, lower=False)
-    holder = np.repeat(np.arange(len(raw)), np.diff(offsets))
+    first = owner[:-2][same] * TERMS
+    words, offsets = common.word_hashes(texts)
+    holder = np.repeat(np.arange(len(whole)), np.diff(offsets))
+    found = [
+        first + _trigrams(classes[points], SHAPES - _REPEATS)[same],
+        holder * TERMS + SHAPES + (words % np.uint64(WORDS)).astype(np.int64),
+        first + SHAPES + WORDS + _trigrams(lower[points], GRAMS)[same],
+    ]
+    out = np.bincount(np.concatenate(found), minlength=len(whole) * TERMS)
+    out = out.reshape(len(whole), TERMS).astype(np.float32)
     total = np.maximum(np.diff(offsets), 1)
     again = np.zeros(len(words), dtype=bool)
     if len(words):
         again[1:] = (words[1:] == words[:-1]) & (holder[1:] == holder[:-1])
-    adjacent = np.bincount(holder[again], minlength=len(raw))
+    adjacent = np.bincount(holder[again], minlength=len(whole))
     order = np.lexsort((words, holder))
     repeated = np.zeros(len(words), dtype=bool)
     repeated[1:] = (words[order][1:] == words[order][:-1]) & (holder[order][1:] == holder[order][:-1])
-    seen = np.bincount(holder[order][repeated], minlength=len(raw))
+    seen = np.bincount(holder[order][repeated], minlength=len(whole))
     # shares of repeated words become counts of one of 32 graded terms each, as heavy as the text is long
-    for share, at in ((adjacent / total, TERMS - _REPEATS), (seen / total, TERMS - _REPEATS + 32)):
+    for share, at in ((adjacent / total, SHAPES - _REPEATS), (seen / total, SHAPES - _REPEATS + 32)):
         level = np.minimum((share * 32).astype(np.int64), 31)
-        out[np.arange(len(raw)), at + level] += np.diff(offsets)
+        out[np.arange(len(whole)), at + level] += np.diff(offsets)
     return out
 
 
+def _blocks(texts: list, rows: int = 512):
+    """Ranges of ``texts`` of about a million characters and at most ``rows`` texts, so that counts stay bounded."""
+    for lo, hi in common.slices(texts, 1_000_000):
+        for at in range(lo, hi, rows):
+            yield at, min(at + rows, hi)
+
+
 def project(counts: np.ndarray, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
     weighted = np.log1p(counts) * weights
     vectors = weighted @ basis
@@ -101,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_texts: int = TRAIN_TEXTS) -> M
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             values = [t if isinstance(t, str) else None for t in pdf["text"]]
-            for lo, hi in common.slices(values, 1_000_000):
+            for lo, hi in _blocks(values):
                 found = term_counts(values[lo:hi])
                 at = [np.flatnonzero(row) for row in found]
                 yield pd.DataFrame(
@@ -165,12 +194,10 @@ def scorer(spark: SparkSession, model: Model):
         for series in batches:
             texts = [t if isinstance(t, str) and t else None for t in series]
             parts = []
-            for lo, hi in common.slices(texts, 1_000_000):
-                for at in range(lo, hi, 1024):
-                    part = texts[at : min(at + 1024, hi)]
-                    vectors = project(term_counts(part), held.weights, held.basis)
-                    vectors[[t is None for t in part]] = 0
-                    parts.append(vote(vectors, held))
+            for lo, hi in _blocks(texts):
+                vectors = project(term_counts(texts[lo:hi]), held.weights, held.basis)
+                vectors[[t is None for t in texts[lo:hi]]] = 0
+                parts.append(vote(vectors, held))
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return score
