@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -197,8 +198,30 @@ def test_walk_visits_cells_in_order():
     assert seen.sum() == 9 and total[seen].min() >= total[~seen].max()
 
 
-def test_vector_groups_match_brute_force(table):
-    rows = {r["vec_id"]: r for r in vector_groups.groups(table).collect()}
+def test_visits_need_little_memory_for_many_cells():
+    rng = np.random.default_rng(12)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.standard_normal((n, 64)))
+    centroids, vectors_ = unit(1024), unit(3000)
+    tracemalloc.start()
+    apart = vector_groups.distances(centroids)
+    home, other = vector_groups.visits(vectors_, centroids, apart, 0.9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    assert (home == (vectors_ @ centroids.T).argmax(axis=1)).all()
+    for i in range(0, 3000, 500):
+        exact = np.linalg.norm(centroids - centroids[home[i]], axis=1) * (math.sqrt(0.2) / 2 + 1e-7)
+        score = centroids @ vectors_[i]
+        margin = score[home[i]] - score - exact
+        margin[home[i]] = 1
+        assert set(np.flatnonzero(margin <= -1e-9)) <= set(other[i]) <= set(np.flatnonzero(margin <= 1e-6))
+
+
+@pytest.mark.parametrize("members, visitors, most_cells", [(2048, 8192, 1024), (8, 24, 1024), (8, 24, 1)])
+def test_vector_groups_match_brute_force(table, monkeypatch, members, visitors, most_cells):
+    monkeypatch.setattr(vector_groups, "MEMBERS_PER_TASK", members)
+    monkeypatch.setattr(vector_groups, "VISITORS_PER_TASK", visitors)
+    rows = {r["vec_id"]: r for r in vector_groups.groups(table, most_cells=most_cells).collect()}
     ids = list(range(400))
     x = np.array([r["embedding"] for r in table.filter("vec_id < 1000").orderBy("vec_id").collect()])
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -599,6 +622,32 @@ def brute_votes(docs, labels, texts):
     return scores
 
 
+def test_terms_see_words_and_code_points():
+    one = lambda text: quality.term_counts([text])[0]
+    shapes = slice(0, quality.SHAPES)
+    prose_, noise = one("The cat sat on the mat."), one("Xqz bvk wrp fd jjh zzt.")
+    assert (one("Abc def") != one("Xyz uvw")).any() and (prose_[quality.SHAPES :] != noise[quality.SHAPES :]).any()
+    # shapes count a letter once, whatever its bytes; capitals and digits of other scripts are such
+    assert (one("\u0414\u0430 \u0431\u0430")[shapes] == one("Da ba")[shapes]).all()
+    assert (one("\u0663\u0664")[shapes] == one("34")[shapes]).all() and (one("\u00bfab")[shapes] != one("aab")[shapes]).any()
+    # case changes shapes alone
+    assert (one("\u0414a Ba")[quality.SHAPES + quality.WORDS :] == one("\u0434A bA")[quality.SHAPES + quality.WORDS :]).all()
+    assert quality.term_counts([None, "", "a b"]).sum(axis=1)[0] == quality.term_counts([""]).sum()
+    assert (quality.term_counts(["x y", "long " * 2000, None])[1] == one("long " * 2000)).all()
+
+
+def test_votes_tell_words_of_equal_shape_apart(spark):
+    rng = random.Random(3)
+    good, bad = ["cat", "dog", "sun", "sea", "map", "red"], ["xqz", "bvk", "wrp", "fdj", "jjh", "zzt"]
+    text = lambda words: " ".join(rng.choice(words) for _ in range(30))
+    rows = [(i, text(good if i % 2 else bad)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    score = quality.scorer(spark, quality.fit(docs, labels))
+    found = docs.filter("doc_id >= 100").select("doc_id", score("text").alias("s")).collect()
+    assert all((r["s"] >= quality.THRESHOLD) == (r["doc_id"] % 2 == 1) for r in found)
+
+
 def test_votes_match_brute_force(spark, awkward, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(common.fold("doc_id", 4) != 2)

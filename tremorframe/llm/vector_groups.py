@@ -28,20 +28,34 @@ from pyspark.sql import functions as F
 from tremorframe.llm import common, vectors
 
 SIMILARITY = 0.9
-MOST_CELLS = 1024
+# Cells grow with the square root of the number of vectors up to here, which some billion reach.
+MOST_CELLS = 8192
+# Vectors of the sample per cell, as far as the sample's bytes go.
+SAMPLE_PER_CELL, SAMPLE_BYTES = 16, 256 << 20
+ROWS_PER_BLOCK = 512
 MEMBERS_PER_TASK, VISITORS_PER_TASK = 2048, 8192
 
 
-def visits(unit: np.ndarray, centroids: np.ndarray, similarity: float) -> tuple[np.ndarray, list]:
-    """(home cell, other cells that each vector visits)."""
-    score = unit @ centroids.T
-    home = score.argmax(axis=1)
-    apart = np.linalg.norm(centroids[:, None, :] - centroids[None, :, :], axis=2)[home]
-    ahead = score[np.arange(len(unit)), home][:, None] - score
-    # coinciding centroids have no plane between them
-    near = ahead <= apart * (np.sqrt(2 - 2 * similarity) / 2 + 1e-7)
-    near[np.arange(len(unit)), home] = False
-    return home, [np.flatnonzero(row) for row in near]
+def distances(centroids: np.ndarray) -> np.ndarray:
+    """Distances of all centroids from each other by their inner products, never too small by rounding."""
+    inner = centroids @ centroids.T
+    length = np.diagonal(inner)
+    return np.sqrt(np.maximum(length[:, None] + length - 2 * inner, 0) + 1e-13)
+
+
+def visits(unit: np.ndarray, centroids: np.ndarray, apart: np.ndarray, similarity: float) -> tuple[np.ndarray, list]:
+    """(home cell, other cells that each vector visits), in blocks of rows; ``apart`` are the distances."""
+    homes, others = [np.zeros(0, dtype=np.int64)], []
+    for lo in range(0, len(unit), ROWS_PER_BLOCK):
+        score = unit[lo : lo + ROWS_PER_BLOCK] @ centroids.T
+        home = score.argmax(axis=1)
+        row = np.arange(len(score))
+        # coinciding centroids have no plane between them
+        near = score[row, home][:, None] - score <= apart[home] * (np.sqrt(2 - 2 * similarity) / 2 + 1e-7)
+        near[row, home] = False
+        homes.append(home)
+        others += [np.flatnonzero(r) for r in near]
+    return np.concatenate(homes), others
 
 
 def linked(left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +82,7 @@ def _lowest(at: np.ndarray, to: np.ndarray, n_left: int, n_right: int) -> np.nda
             return label
 
 
-def groups(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def groups(rows: DataFrame, similarity: float = SIMILARITY, most_cells: int = MOST_CELLS) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of ``rows`` (vec_id, embedding)."""
     rows = common.staged(rows.select("vec_id", "embedding").withColumn("uid", F.monotonically_increasing_id()), "vectors")
     taking, others, dimension = vectors.usable(rows)
@@ -80,16 +94,19 @@ def groups(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     )
     nodes = common.staged(nodes, "vector-nodes")
     count = nodes.count()
-    points = vectors.sample(nodes, dimension)
+    wanted = int(np.clip(round(np.sqrt(count) / 4), 1, most_cells))
+    size = min(max(vectors.SAMPLE, SAMPLE_PER_CELL * wanted), max(wanted, SAMPLE_BYTES // (8 * dimension)))
+    points = vectors.sample(nodes, dimension, size)
     points /= np.linalg.norm(points, axis=1, keepdims=True)
-    centroids = vectors.kmeans(points, int(np.clip(round(np.sqrt(count) / 4), 1, MOST_CELLS)), True)
+    centroids = vectors.kmeans(points, wanted, True)
+    apart = distances(centroids)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 unit = vectors.matrix(pdf["embedding"], dimension)
                 unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-                home, other = visits(unit, centroids, similarity)
+                home, other = visits(unit, centroids, apart, similarity)
                 yield pd.DataFrame(
                     {
                         "node": pdf["node"],
