@@ -111,13 +111,16 @@ def _blocks(texts: list, rows: int = 512):
             yield at, min(at + rows, hi)
 
 
-def project(counts: np.ndarray, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    weighted = np.log1p(counts) * weights
+def _directions(weighted: np.ndarray, basis: np.ndarray) -> np.ndarray:
     vectors = weighted @ basis
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
     return (vectors / np.where(length > 0, length, 1)).astype(np.float32)
 
 
+def project(counts: np.ndarray, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    return _directions(np.log1p(counts) * weights, basis)
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_texts: int = TRAIN_TEXTS) -> Model:
     """Model from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality): at most ``train_texts`` rows, one of each doc_id."""
     marked = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL")
@@ -151,13 +154,16 @@ def fit(docs: DataFrame, labels: DataFrame, train_texts: int = TRAIN_TEXTS) -> M
     if not rows:
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), targets, 0.5)
     weights = np.log((1 + len(rows)) / (1 + (matrix > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
-    basis = singular_basis(np.log1p(matrix) * weights, RANK)
-    return Model(weights, basis, project(matrix, weights, basis), targets, float(targets.mean()))
+    # in place: the sample's matrix is the driver's largest array
+    np.log1p(matrix, out=matrix)
+    matrix *= weights
+    basis = singular_basis(matrix, RANK)
+    return Model(weights, basis, _directions(matrix, basis), targets, float(targets.mean()))
 
 
 def singular_basis(matrix: np.ndarray, rank: int) -> np.ndarray:
     """Leading right singular vectors by subspace iteration from a fixed start."""
-    matrix = matrix.astype(np.float32)
+    matrix = matrix.astype(np.float32, copy=False)
     start = np.random.default_rng(7).standard_normal((matrix.shape[1], min(rank + 16, *matrix.shape)))
     span = np.linalg.qr(start)[0].astype(np.float32)
     for _ in range(4):
