@@ -173,7 +173,7 @@ def test_recall_of_a_walk_that_leaves_cells_out(spark, hot):
     x = rng.standard_normal((6000, 32)).astype(np.float32).astype(np.float64)
     x[:hot] = x[0] + 0.01 * rng.standard_normal((hot, 32)).astype(np.float32)
     x = x.astype(np.float32).astype(np.float64)
-    assert multi_index.SHARE * len(x) > multi_index.LEAST
+    assert len(x) > 2 * multi_index.LEAST
     table = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
     found = {}
     for r in multi_index.nearest(table, table.filter("vec_id % 40 = 0")).collect():
@@ -190,6 +190,47 @@ def test_recall_of_a_walk_that_leaves_cells_out(spark, hot):
             assert hits < 20 * len(part)  # nothing is lost only where nothing is left out
 
 
+def test_blocks_and_tasks_do_not_change_the_nearest(spark):
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((3000, 8)).astype(np.float32).astype(np.float64)
+    x[1000:2500] = x[7]  # one cell over many blocks
+    table = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    queries = table.filter("vec_id % 20 = 0")
+    rows = [
+        sorted(map(tuple, multi_index.nearest(table, queries, **sizes).collect()))
+        for sizes in ({}, {"block_rows": 100}, {"block_rows": 700, "visits": 9})
+    ]
+    assert len(rows[0]) == 150 * 20
+    assert rows[0] == rows[1] == rows[2]
+
+
+def test_visits_rank_few_entries_of_grouped_vectors():
+    rng = np.random.default_rng(22)
+    x = rng.standard_normal((200, 32))[rng.integers(0, 200, 12000)] + 0.2 * rng.standard_normal((12000, 32))
+    halves = multi_index.Halves(x, 31)
+    cell, rests = halves.cells(x)
+    n = len(halves.books[0]) * len(halves.books[1])
+    sizes = np.bincount(cell, minlength=n)
+    means = np.stack([np.bincount(cell, r, minlength=n) / np.maximum(sizes, 1) for r in rests])
+    asked = np.arange(0, 12000, 100)
+    best = np.argsort(-(x[asked] @ x.T), axis=1)[:, :20]
+    seen = np.stack(list(halves.visits(x[asked], sizes, means, 20, 0.95)))
+    assert np.mean([seen[i][cell[best[i]]].mean() for i in range(len(asked))]) >= 0.9
+    assert (seen * sizes).sum(axis=1).mean() < 0.4 * len(x)
+
+
+def test_expected_hits_add_up_and_follow_the_normal_tail():
+    rng = np.random.default_rng(23)
+    middle, spread = rng.standard_normal(30), rng.uniform(0.1, 1.0, 30)
+    counts = rng.integers(1, 2000, 30)
+    hits = multi_index.expected_hits(middle, spread, counts, 50)
+    assert 50 <= hits.sum() <= 50.5 and (hits <= counts).all()
+    drawn = np.concatenate([m + s * rng.standard_normal(n) for m, s, n in zip(middle, spread, counts)])
+    best = np.bincount(np.repeat(np.arange(30), counts)[np.argsort(-drawn)[:50]], minlength=30)
+    assert np.abs(best - hits).max() <= 15
+    assert multi_index.expected_hits(middle, spread, np.ones(30, dtype=int), 50).tolist() == [1] * 30
+
+
 def test_walk_visits_cells_in_order():
     rng = np.random.default_rng(1)
     a, b = rng.standard_normal(6), rng.standard_normal(5)
