@@ -167,7 +167,9 @@ def nearest(
     if dimension is None:
         return spark.createDataFrame([], schema)
     queries, _, _ = vectors.usable(queries.select("vec_id", "embedding").filter("vec_id IS NOT NULL"))
-    queries = queries.filter(F.size("embedding") == dimension).distinct()
+    # numbers of tasks are fixed: small in bytes, rows that need long walks would share few tasks
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    queries = queries.filter(F.size("embedding") == dimension).repartition(width, "vec_id", "embedding").distinct()
     # no list of k can hold more than the k + 1 smallest ids of one vector (one may be the query's own)
     # and k rows of each; rows that agree in both are alike
     copies = W.partitionBy("embedding").orderBy("vec_id")
@@ -300,8 +302,7 @@ def nearest(
                 elif held:
                     yield from ranked(held, pdf.iloc[lo:hi])
 
-    # a fixed number of tasks, which small blocks of bytes would otherwise share
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks)
+    tasks = max(width, n_blocks)
     best = given.unionByName(asked).repartition(tasks, "block", "part").sortWithinPartitions("block", "part", "kind")
     best = best.mapInPandas(rank, "query_id long, asked long, vec_id long, score double")
     order = W.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id")
