@@ -6,6 +6,7 @@ import random
 import re
 import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -190,6 +191,17 @@ def test_recall_of_a_walk_that_leaves_cells_out(spark, hot):
             assert hits < 20 * len(part)  # nothing is lost only where nothing is left out
 
 
+def test_components_keep_one_table_of_their_rounds(spark):
+    folder = Path(common.lineage.shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("llm-stars-*"))
+    # a path, whose rounds are many, and a star
+    edges = [(i, i + 1) for i in range(200)] + [(300, 301 + i) for i in range(20)]
+    found = common.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    want = {i: 0 for i in range(201)} | {300 + i: 300 for i in range(21)}
+    assert len(found) == len(want) and {r["node"]: r["root"] for r in found} == want
+    assert len(set(folder.glob("llm-stars-*")) - before) == 1
+
+
 def test_blocks_and_tasks_do_not_change_the_nearest(spark):
     rng = np.random.default_rng(21)
     x = rng.standard_normal((3000, 8)).astype(np.float32).astype(np.float64)

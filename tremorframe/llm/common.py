@@ -103,12 +103,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node reachable by ``edges``, for nodes that have an edge.
 
     Alternating large-star and small-star rounds over tables in the shared folder. Every round
-    replaces edges by edges to smaller nodes, never by all pairs of a group, until all are stars.
+    replaces edges by edges to smaller nodes, never by all pairs of a group, until all are stars. A
+    round's table is removed once the next one is written.
     """
     spark = edges.sparkSession
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     pairs = pairs.filter("u <> v").distinct()
-    mark = None
+    mark = before = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
@@ -129,6 +130,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = small.filter("u <> v").distinct()
         path = lineage.scratch_path(spark, "llm-stars")
         pairs = lineage.as_table(small, "llm-stars", path=path)
+        if before:
+            lineage.remove(spark, before)
+        before = path
         seen = pairs.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
         ).first()
