@@ -214,6 +214,15 @@ def test_blocks_and_tasks_do_not_change_the_nearest(spark):
     ]
     assert len(rows[0]) == 150 * 20
     assert rows[0] == rows[1] == rows[2]
+    # batches of entries alone, of queries alone and of both
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(limit)
+    try:
+        spark.conf.set(limit, "64")
+        small = sorted(map(tuple, multi_index.nearest(table, queries, block_rows=700).collect()))
+    finally:
+        spark.conf.set(limit, usual)
+    assert small == rows[0]
 
 
 def test_visits_rank_few_entries_of_grouped_vectors():

@@ -240,7 +240,8 @@ def nearest(
         F.lit(1).alias("kind"),
         "vec_id",
         "embedding",
-        F.lit(None).cast("long").alias("cell"),
+        # no NULL, which would turn a batch's whole numbers into rounded floating ones
+        F.lit(-1).cast("long").alias("cell"),
         F.xxhash64("embedding").alias("asked"),
         "cells",
     )
@@ -251,7 +252,7 @@ def nearest(
         "vec_id",
         "embedding",
         "cell",
-        F.lit(None).cast("long").alias("asked"),
+        F.lit(0).cast("long").alias("asked"),
         F.lit(None).cast("binary").alias("cells"),
     )
 
@@ -280,7 +281,7 @@ def nearest(
             yield pd.DataFrame(
                 {
                     "query_id": own[at[keep]],
-                    "asked": some["asked"].to_numpy()[at[keep]].astype(np.int64),
+                    "asked": some["asked"].to_numpy()[at[keep]],
                     "vec_id": ids[to[keep]],
                     "score": exact[keep],
                 }
