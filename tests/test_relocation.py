@@ -12,7 +12,7 @@ from tremorframe.functions.geodesy import EqualArea
 from tremorframe.functions.travel_time import StraightRay
 from tremorframe import lineage
 from tremorframe.operators import forward
-from tremorframe.operators.blocks import ObservationBlocks
+from tremorframe.operators.blocks import ObservationBlocks, in_blocks
 from tremorframe.operators.minibatches import permuted, store_minibatches
 from tremorframe.params import RunParams
 from tremorframe.plans import relocate as plan
@@ -342,3 +342,18 @@ def test_training_pairs_stay_in_the_box(spark):
     assert set(phase) == {0, 1} and phase.mean() == pytest.approx(0.5, abs=0.04)
     slow = np.array([r["s_true"] for r in rows])
     assert slow[phase == 0].max() <= 1 / 6.0 and slow[phase == 1].min() >= 1 / 3.6
+
+
+def test_blocks_grow_with_events_and_not_with_their_square(spark):
+    obs = spark.range(4000).selectExpr("id % 400 AS evid1", "id % 400 + 1 + id % 3 AS evid2", "id AS arid")
+    path = lineage.scratch_path(spark, "blocks")
+    blocks = in_blocks(obs, 400, path, block_events=10, block_rows=1000)
+    assert blocks.side == 40 and blocks.n_blocks <= 160  # one per row and column would be near 1,000
+    # an event goes to the blocks that hold it, and to no other
+    sent = blocks.routes.selectExpr("sum(size(blocks1))", "sum(size(blocks2))").first()
+    held = blocks.table.selectExpr("count(DISTINCT block, evid1)", "count(DISTINCT block, evid2)").first()
+    assert tuple(sent) == tuple(held) and blocks.table.count() == 4000
+    tall = blocks.table.groupBy("block").agg(F.countDistinct("evid2").alias("n")).agg(F.max("n")).first()[0]
+    assert tall <= 20
+    blocks.free()
+    assert not os.path.exists(path) and not os.path.exists(f"{path}-routes")

@@ -1,13 +1,13 @@
-"""Observations in two-dimensional blocks, for event states that are too large to broadcast.
+"""Observations in blocks, for event states that are too large to broadcast.
 
-A block holds the observations whose first event hashes to one row and whose second to one column, so
-the event state that it needs is one part of the events for its row and one for its column. Blocks are
-the buckets of a table: they are written once, and in every step the parts of the state are sent to
-them, so the observations themselves never move again. Blocks with very many rows, such as that of a
-hot pair, are split by row hash.
+A block holds the observations of some first events. Blocks are the buckets of a table: they are written
+once, with the list of blocks that hold each event at either end. In every step each event is sent to
+just those blocks, so the observations themselves never move again, and what is sent is at most one row
+for each event and block that meet. The number of blocks grows with the events and observations alone.
 
-A step sends each event to every block of its row and of its column, which is small beside the
-observations; its sums per event are combined within the blocks before they leave them.
+First events are dealt by hash. Where a block would meet too many second events for a task's hash table,
+these are dealt by hash as well, and blocks that still have very many rows, such as that of a hot pair,
+are split by row hash. Sums per event are combined within the blocks before they leave them.
 """
 
 from __future__ import annotations
@@ -23,10 +23,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tremorframe import lineage
-from tremorframe.operators.scaling import small_side
 
-# Events whose state one task holds as a hash table (about 100 MB), and rows of a block.
-BLOCK_EVENTS, BLOCK_ROWS = 1_000_000, 20_000_000
+# Events of either end whose state one task holds as a hash table (about 100 MB), and rows of a block.
+BLOCK_EVENTS, BLOCK_ROWS = 1_000_000, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -34,8 +33,8 @@ class ObservationBlocks:
     """A bucketed table of observations and its layout."""
 
     table: DataFrame
-    # row, col, block: one row per block
-    layout: DataFrame
+    # evid, blocks1, blocks2: the blocks that hold an event as first and as second one
+    routes: DataFrame
     n_blocks: int
     side: int
     name: str
@@ -54,22 +53,20 @@ class ObservationBlocks:
 
         The observations stay in their buckets if the plan is made inside :func:`in_place`.
         """
-        out = self.table
-        for end, line in (("1", "row"), ("2", "col")):
-            part = state.selectExpr(
+        out, sent = self.table, state.join(self.routes, "evid")
+        for end in "12":
+            part = sent.selectExpr(
                 f"evid AS evid{end}",
                 *[f"{a}0 + d{a} AS {a}{end}" for a in "xyz"],
                 f"dt AS s{end}",
-                f"pmod(xxhash64(evid), {self.side}) AS {line}",
+                f"explode(blocks{end}) AS block",
             )
-            blocks = small_side(self.layout.select(line, "block"), self.n_blocks)
-            part = part.join(blocks, line).drop(line)
             out = out.join(part.hint("shuffle_hash"), ["block", f"evid{end}"])
         return out.drop("block")
 
     def free(self) -> None:
         self.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
-        for folder in (self.path, f"{self.path}-cells", f"{self.path}-layout"):
+        for folder in (self.path, *(f"{self.path}-{part}" for part in ("cells", "layout", "routes"))):
             lineage.remove(self.sparkSession, folder)
 
 
@@ -107,21 +104,35 @@ def in_blocks(
     """Write ``obs`` by block to ``path``; ``row_key`` spreads the rows of a block that is split."""
     spark = obs.sparkSession
     side = max(1, math.ceil(n_events / block_events))
-    at = lambda end: F.pmod(F.xxhash64(f"evid{end}"), F.lit(side))
-    placed = obs.withColumns({"row": at(1), "col": at(2)})
-    sizes = placed.groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block_rows) - 1)
-    # one row per block: (events / BLOCK_EVENTS) squared, and one per BLOCK_ROWS observations
-    cells = sizes.select("row", "col", F.explode(parts).alias("part"))
-    number = F.row_number().over(W.orderBy("row", "col", "part")) - 1
-    cells = lineage.as_table(cells.withColumn("bucket", number.cast("int")), "cells", path=f"{path}-cells")
+    # a quarter more than needed, as hashes deal unevenly
+    parts = max(1, math.ceil(1.25 * obs.count() / (side * block_rows)))
+    dealt = lambda n, *of: F.pmod(F.xxhash64(*of), n)
+    at = {"row": dealt(F.lit(side), "evid1"), "part": dealt(F.lit(parts), "evid1", F.lit("part"))}
+    # one row per block in all of these: (events / ``block_events``) and (rows / ``block_rows``) of them
+    met = obs.select("evid2", *[v.alias(k) for k, v in at.items()]).groupBy("row", "part")
+    met = met.agg(F.ceil(F.approx_count_distinct("evid2") / block_events).cast("int").alias("cols"))
+    met = lineage.as_table(met, "cells", path=f"{path}-cells")
+    placed = obs.withColumns(at).join(F.broadcast(met), ["row", "part"])
+    placed = placed.withColumn("col", dealt(F.col("cols"), "evid2", F.lit("col"))).drop("cols")
+    sizes = placed.groupBy("row", "part", "col").agg(F.count(F.lit(1)).alias("n"))
+    slices = F.sequence(F.lit(0), F.ceil(F.col("n") / block_rows).cast("int") - 1)
+    cells = sizes.select("row", "part", "col", F.explode(slices).alias("slice"))
+    number = F.row_number().over(W.orderBy("row", "part", "col", "slice")) - 1
+    cells = lineage.as_table(cells.withColumn("bucket", number.cast("int")), "layout", path=f"{path}-layout")
     n_blocks = max(cells.count(), 1)
-    layout = cells.join(_labels(spark, n_blocks), "bucket").select("row", "col", "block")
-    layout = lineage.as_table(layout, "layout", path=f"{path}-layout")
-    lists = layout.groupBy("row", "col").agg(F.array_sort(F.collect_list("block")).alias("blocks"))
-    rows = placed.join(small_side(lists, n_blocks), ["row", "col"])
-    pick = F.pmod(F.xxhash64(row_key, F.lit("part")), F.size("blocks")).cast("int") + 1
+    lists = cells.join(F.broadcast(_labels(spark, n_blocks)), "bucket")
+    lists = lists.groupBy("row", "part", "col").agg(F.array_sort(F.collect_list("block")).alias("blocks"))
+    rows = placed.join(F.broadcast(lists), ["row", "part", "col"])
+    pick = F.pmod(F.xxhash64(row_key, F.lit("slice")), F.size("blocks")).cast("int") + 1
     rows = rows.withColumn("block", F.element_at("blocks", pick)).select(*obs.columns, "block")
     name = f"observation_blocks_{uuid.uuid4().hex}"
     rows.repartition(n_blocks, "block").write.bucketBy(n_blocks, "block").format("parquet").option("path", path).saveAsTable(name)
-    return ObservationBlocks(spark.table(name), layout, n_blocks, side, name, path)
+    table = spark.table(name)
+    return ObservationBlocks(table, _routes(table, f"{path}-routes"), n_blocks, side, name, path)
+
+
+def _routes(table: DataFrame, path: str) -> DataFrame:
+    # found within the buckets: no more rows than events met by blocks leave them
+    ends = table.selectExpr("block", "inline(array(struct(evid1 AS evid, 1 AS end), struct(evid2 AS evid, 2 AS end)))")
+    blocks = [F.collect_list(F.when(F.col("end") == end, F.col("block"))).alias(f"blocks{end}") for end in (1, 2)]
+    return lineage.as_table(ends.distinct().groupBy("evid").agg(*blocks), "routes", path=path)
