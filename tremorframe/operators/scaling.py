@@ -12,8 +12,11 @@ from tremorframe import lineage
 
 # Groups up to this many rows may be gathered by one task.
 GATHER_ROWS = 1_000_000
-# Tables up to this many rows of a few numbers (about 100 MB) may be broadcast.
-BROADCAST_ROWS = 2_000_000
+# Tables up to this many rows of a few numbers (about 10 MB) may be broadcast. Each passes through the
+# driver, three of them in a step of a relocation.
+BROADCAST_ROWS = 200_000
+# Rows per task where tasks hold groups as lists, hash tables or Python objects, many times the bytes shuffled.
+TASK_ROWS = 100_000
 _CELLS = 4096
 # Quantile cells are narrowed until the rows of distinct values left in one are no more than this.
 FINAL_ROWS = 65_536
