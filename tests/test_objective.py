@@ -10,6 +10,7 @@ from checks.queries_model import network_model
 from tremorframe import lineage
 from tremorframe.functions.travel_time import StraightRay
 from tremorframe.operators import convergence, forward, objective, updates
+from tremorframe.operators import observations as ops
 from tremorframe.schemas import COMPONENTS
 
 OBS = "evid1 long, evid2 long, dt double, X double, Y double, Z double, phase int"
@@ -191,3 +192,17 @@ def test_shift_stats_against_numpy(scene):
             assert row[f"median_abs_d{a}"] == np.sort(np.abs(d[:, i]))[5]
         assert row["max_radius"] == pytest.approx(radius.max())
         assert row["quantile_90_radius"] == pytest.approx(np.quantile(radius, 0.9))
+
+
+def test_observations_matched_with_the_catalog_move_once_more_for_their_sources(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        origins = spark.range(9).selectExpr("id AS evid", "1D AS x0", "1D AS y0", "1D AS z0", "0D AS dx", "0D AS dy", "0D AS dz", "0D AS dt")
+        obs = spark.range(40).selectExpr("id % 10 AS evid1", "(id + 1) % 10 AS evid2", "0.1D AS dt", "id AS arid")
+        joined = forward.attach_sources(ops.with_known_events(obs, origins), origins)
+        text = joined._jdf.queryExecution().executedPlan().toString()
+        # four of events, and three of the observations: those of the second source lie in place
+        assert text.count("Exchange hashpartitioning(evid1") + text.count("Exchange hashpartitioning(evid2") == 7
+        assert joined.count() == 32
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

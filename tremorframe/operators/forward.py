@@ -51,13 +51,14 @@ def by_receiver(obs: DataFrame, parts: int, spread: int = 1) -> DataFrame:
 def attach_sources(obs: Observations, state: DataFrame, n_events: Optional[int] = None) -> DataFrame:
     """Join both ends of each observation to the current event positions and time shifts.
 
-    ``n_events`` is the known size of ``state``; a small state is broadcast, a large one joined.
+    ``n_events`` is the known size of ``state``; a small state is broadcast, a large one joined. The
+    second end comes first: rows that were matched with the catalog lie by second event already.
     Observations in blocks stay where they are and get their parts of the state.
     """
     if isinstance(obs, ObservationBlocks):
         return obs.attach(state)
     out = obs
-    for end in ("1", "2"):
+    for end in ("2", "1"):
         side = state.selectExpr(
             f"evid AS evid{end}",
             *[f"{a}0 + d{a} AS {a}{end}" for a in "xyz"],
