@@ -138,3 +138,17 @@ def test_quantiles_of_widely_different_magnitudes(spark, monkeypatch, infinite):
     assert [row[n] for n in probs] == [ordered[max(int(np.ceil(p * len(values))) - 1, 0)] for p in probs.values()]
     folder = lineage.shared_dir(spark).removeprefix("file://")
     assert not glob.glob(f"{folder}/values-*")
+
+
+def test_in_tasks_bounds_the_rows_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(scaling, "TASK_ROWS", 50)
+    df = spark.range(1000).selectExpr("id % 100 AS k", "id AS v")
+    tasks = scaling.in_tasks(df, ["k"], 1000).withColumn("p", F.spark_partition_id())
+    assert tasks.agg(F.countDistinct("p")).first()[0] > 10
+    assert tasks.groupBy("k").agg(F.countDistinct("p").alias("n")).agg(F.max("n")).first()[0] == 1
+    assert scaling.in_tasks(df, ["k"], 10**9).rdd.getNumPartitions() == 200
+
+
+def test_broadcasts_of_a_run_stay_small():
+    # six steps send three tables of up to 64 bytes a row through the driver
+    assert 6 * 3 * 64 * scaling.BROADCAST_ROWS < 300e6

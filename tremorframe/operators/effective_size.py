@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremorframe.operators.chains import ChainLayout, chain_layout, check_window, thinned_chain
-from tremorframe.operators.scaling import exact_quantiles
+from tremorframe.operators.scaling import exact_quantiles, in_tasks
 
 AXES = ("x", "y", "z")
 # Draws that one task gathers of one chain.
@@ -76,7 +76,7 @@ def effective_sample_size(
     gather = F.sort_array(F.collect_list(F.struct("rank", *AXES))).alias("_d")
     if n <= block:
         # whole chains: one grouping gives the draws and their moments
-        gathered = draws.groupBy("evid").agg(gather, *moments).withColumn("_own", F.col("n"))
+        gathered = in_tasks(draws, ["evid"], samples.count()).groupBy("evid").agg(gather, *moments).withColumn("_own", F.col("n"))
     else:
         home = F.floor(F.col("rank") / block)
         # the first ``lag`` draws of a block also close the block before it
@@ -84,7 +84,7 @@ def effective_sample_size(
         homes = F.when(shared, F.array(home, home - 1)).otherwise(F.array(home))
         own = F.sum((F.col("rank") < (F.col("_block") + 1) * block).cast("long")).alias("_own")
         gathered = (
-            draws.withColumn("_block", F.explode(homes))
+            in_tasks(draws.withColumn("_block", F.explode(homes)), ["evid", "_block"], samples.count())
             .groupBy("evid", "_block")
             .agg(gather, own)
             .join(draws.groupBy("evid").agg(*moments), "evid")

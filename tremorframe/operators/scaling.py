@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from typing import Optional, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,17 @@ def small_side(df: DataFrame, rows: Optional[int]) -> DataFrame:
     return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
 
 
+def in_tasks(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """Rows of a key in one task, some ``TASK_ROWS`` of the known ``rows`` in each.
+
+    For groups that are small enough to be gathered. The planner does not merge these tasks, as it does
+    with others by the bytes that they shuffle. There are no more than 200, above which a task that deals
+    rows out sorts them in memory, or than the session's shuffle partitions if these are more.
+    """
+    most = max(200, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(min(max(1, math.ceil(rows / TASK_ROWS)), most), *keys)
+
+
 def keep_frequent(
     df: DataFrame, keys: dict[str, Column], min_rows: int, hot_rows: int = GATHER_ROWS
 ) -> DataFrame:
