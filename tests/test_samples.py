@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tremorframe.operators import chains, distributions, forward, posterior
+from tremorframe.operators import chains, distributions, forward, posterior, scaling
 from tremorframe.operators import effective_size as ess_ops
 from tremorframe.schemas import SAMPLE_FIELDS
 from tremorframe.sources import sample_store as store
@@ -313,3 +313,11 @@ def test_shift_statistics_on_both_paths(spark, gather_rows):
     for axis, column in zip("XYZ", moves.T):
         assert got[f"median_abs_d{axis}"] == np.sort(np.abs(column))[250]
         assert got[f"mean_d{axis}"] == pytest.approx(column.mean())
+
+
+def test_curves_and_sizes_bound_the_rows_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(scaling, "TASK_ROWS", 30)
+    df = spark.range(200).selectExpr("id % 20 AS evid", "id div 20 AS draw", "0L AS batch_id", *[f"sin(id * {k}) AS {c}" for k, c in enumerate("XYZ", 1)])
+    for out in (distributions.density_curve(df, n_eval=16), ess_ops.effective_sample_size(df)):
+        used = out.withColumn("p", F.spark_partition_id()).agg(F.countDistinct("p")).first()[0]
+        assert used > 4

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tremorframe.operators.chains import centred, scale_units, unit_factor, unpivot
-from tremorframe.operators.scaling import GATHER_ROWS, exact_quantiles, running_total
+from tremorframe.operators.scaling import GATHER_ROWS, exact_quantiles, group_sizes, in_tasks, running_total
 
 # Fixed value: default histogram bin width in km.
 BIN_WIDTH = 0.003
@@ -199,8 +199,11 @@ def density_curve(
     if xlim is None:
         xlim = (-300.0, 300.0) if unit_factor(units) == 1000.0 else (-0.3, 0.3)
     every = unpivot(_scaled(samples, coords, units, False), ["evid"], coords)
-    long = finite_only(every)
     keys = ["evid", "coord"]
+    sizes = sizes or group_sizes(finite_only(every), keys)
+    if sizes[1] <= gather_rows:
+        every = in_tasks(every, keys, samples.count() * len(coords))
+    long = finite_only(every)
     quartiles = exact_quantiles(
         long, keys, "value", {"q1": 0.25, "q3": 0.75}, sizes=sizes, gather_rows=gather_rows
     )
