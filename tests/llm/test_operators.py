@@ -9,6 +9,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tremorframe.llm import (
@@ -710,6 +711,41 @@ def test_votes_tell_words_of_equal_shape_apart(spark):
     assert all((r["s"] >= quality.THRESHOLD) == (r["doc_id"] % 2 == 1) for r in found)
 
 
+def traced_peak(work):
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def test_a_workers_arrays_do_not_grow_with_its_batch():
+    rng = random.Random(5)
+    texts = [None, "", *(prose(rng, 800) for _ in range(600))]
+    assert sum(len(t or "") for t in texts) > 1_900_000
+    quality.term_counts(texts[:3])
+    near_copies.band_keys(texts[:3])
+    counted = traced_peak(lambda: [quality.term_counts(texts[lo:hi]).sum() for lo, hi in quality._blocks(texts)])
+    assert counted < 60 << 20
+    assert traced_peak(lambda: near_copies.band_keys(texts)) < 60 << 20
+
+
+def test_scores_of_a_batch_are_those_of_its_texts():
+    rng = random.Random(6)
+    texts = [prose(rng, rng.choice([3, 40, 800])) for _ in range(200)]
+    texts[5], texts[130], texts[131] = None, "", "long " * 60_000
+    counts = np.log1p(quality.term_counts(texts[:100]))
+    basis = quality.singular_basis(counts, 8)
+    weights = np.ones(quality.TERMS, np.float32)
+    labels = np.arange(100, dtype=np.float32) % 2
+    model = quality.Model(weights, basis, quality.project(np.expm1(counts), weights, basis), labels, 0.25)
+    batch = pa.array(["outside", *texts])[1:]
+    whole = quality.scores(batch, model).to_pylist()
+    alone = [quality.scores(pa.array([t], pa.string()), model)[0].as_py() for t in texts]
+    assert whole == pytest.approx(alone, abs=1e-4) and whole[5] == whole[130] == 0.25
+    assert len(quality.scores(pa.array([], pa.string()), model)) == 0
+
+
 def test_votes_match_brute_force(spark, awkward, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(common.fold("doc_id", 4) != 2)

@@ -110,8 +110,8 @@ def band_keys(texts: list, bands: int = BANDS, rows: int = ROWS) -> list[Optiona
     Texts that repeat a run have the bands of their counted and of their distinct runs.
     """
     out: list[Optional[np.ndarray]] = [None] * len(texts)
-    for begin in range(0, len(texts), 512):
-        for lo, hi in common.slices(texts[begin : begin + 512], 2_000_000):
+    for begin in range(0, len(texts), 256):
+        for lo, hi in common.slices(texts[begin : begin + 256], 1_000_000):
             lo, hi = begin + lo, begin + hi
             owner, run, weight = runs(texts[lo:hi])
             key = _keys(signatures(hi - lo, owner, run, weight, bands * rows), bands, rows)
@@ -199,7 +199,7 @@ def _run_table(texts: DataFrame) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             values = list(pdf["text"])
-            for lo, hi in common.slices(values, 2_000_000):
+            for lo, hi in common.slices(values, 1_000_000):
                 owner, run, weight = runs(values[lo:hi])
                 ends = np.searchsorted(owner, np.arange(hi - lo + 1))
                 spans = list(zip(ends[:-1], ends[1:]))

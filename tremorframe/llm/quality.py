@@ -22,6 +22,7 @@ from typing import Iterator, NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ NEIGHBOURS = 25
 TRAIN_TEXTS = 4000
 THRESHOLD = 0.7
 _REPEATS = 64
+# Texts whose counts a worker holds at a time; a batch of texts stays Arrow data but for these.
+_ROWS = 128
 
 
 class Model(NamedTuple):
@@ -104,9 +107,9 @@ def term_counts(texts: list) -> np.ndarray:
     return out
 
 
-def _blocks(texts: list, rows: int = 512):
-    """Ranges of ``texts`` of about a million characters and at most ``rows`` texts, so that counts stay bounded."""
-    for lo, hi in common.slices(texts, 1_000_000):
+def _blocks(texts: list, rows: int = _ROWS):
+    """Ranges of ``texts`` of about 250,000 characters and at most ``rows`` texts, so that counts stay bounded."""
+    for lo, hi in common.slices(texts, 250_000):
         for at in range(lo, hi, rows):
             yield at, min(at + rows, hi)
 
@@ -190,21 +193,27 @@ def vote(vectors: np.ndarray, model: Model) -> np.ndarray:
     return np.clip(out, 0.0, 1.0)
 
 
+def scores(batch: pa.Array, model: Model) -> pa.Array:
+    """Scores of an Arrow batch of texts, of which a few at a time become strings and counts."""
+    out = np.zeros(len(batch))
+    for begin in range(0, len(batch), _ROWS):
+        texts = [t if isinstance(t, str) and t else None for t in batch.slice(begin, _ROWS).to_pylist()]
+        for lo, hi in _blocks(texts):
+            vectors = project(term_counts(texts[lo:hi]), model.weights, model.basis)
+            vectors[[t is None for t in texts[lo:hi]]] = 0
+            out[begin + lo : begin + hi] = vote(vectors, model)
+    return pa.array(out)
+
+
 def scorer(spark: SparkSession, model: Model):
     """Column function text -> score; the broadcast model is bounded by the sample's size."""
     shared = spark.sparkContext.broadcast(tuple(model))
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         held = Model(*shared.value)
-        for series in batches:
-            texts = [t if isinstance(t, str) and t else None for t in series]
-            parts = []
-            for lo, hi in _blocks(texts):
-                vectors = project(term_counts(texts[lo:hi]), held.weights, held.basis)
-                vectors[[t is None for t in texts[lo:hi]]] = 0
-                parts.append(vote(vectors, held))
-            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+        for texts in batches:
+            yield scores(texts, held)
 
     return score
 
